@@ -83,39 +83,55 @@ def pii_rules(kinds: tuple[str, ...] | None = None) -> list[Rule]:
     return [r for r in rules if kinds is None or r.name in kinds]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, computing ``value`` once however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _step(rule: Rule) -> Callable[[Column], Column]:
+    """State (text, counts) after one rule."""
+    token = F.lit(rule.token)
+
+    def state(s: Column, text: Column, n: Column) -> Column:
+        return F.struct(text.alias("text"), F.concat(s["counts"], F.array(n)).alias("counts"))
+
+    def plain(s: Column) -> Column:
+        return state(s, F.regexp_replace(s["text"], rule.pattern, rule.token),
+                     F.regexp_count(s["text"], F.lit(rule.pattern)))
+
+    def conditional(s: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(s["text"], F.lit(rule.pattern), F.lit(0)),
+                            lambda m: F.when(rule.keep(m), m).otherwise(token))
+
+        def rebuilt(marks: Column) -> Column:
+            # Text between matches, each piece followed by its match or the token.
+            pieces = F.zip_with(F.split(s["text"], rule.pattern, -1), marks,
+                                lambda t, m: F.concat(t, F.coalesce(m, F.lit(""))))
+            return state(s, F.array_join(pieces, ""), F.size(F.filter(marks, lambda m: m == token)))
+
+        return _let(found, rebuilt)
+
+    return plain if rule.keep is None else conditional
+
+
 def redact(df: DataFrame, text_col: str, rules: list[Rule], *, out_text: str, out_names: str,
            out_count: str) -> DataFrame:
     """Apply ``rules`` in order, each on the previous rule's output.
 
-    Rows that no pattern touches (nearly all) pay for one test per pattern and no rewriting.
-    Each step is its own projection so that a step's text is computed once.
+    Rows that no pattern touches (nearly all) pay for one test per pattern and no rewriting; if
+    nothing matches the raw text, no step can change it. The steps are nested lets, so the
+    expression grows linearly with the rules.
     """
-    hit = reduce(lambda a, b: a | b, [F.col(text_col).rlike(r.pattern) for r in rules])
-    out = df.withColumns({"_hit": F.coalesce(hit, F.lit(False)), out_text: F.col(text_col)})
-    counts: list[str] = []
-    for i, rule in enumerate(rules):
-        text, n, pattern = F.col(out_text), f"_n{i}", F.lit(rule.pattern)
-        counts.append(n)
-        if rule.keep is None:
-            out = out.withColumn(
-                n, F.when(F.col("_hit"), F.regexp_count(text, pattern)).otherwise(F.lit(0)))
-            out = out.withColumn(
-                out_text,
-                F.when(F.col(n) > 0, F.regexp_replace(text, rule.pattern, rule.token)).otherwise(text))
-        else:
-            keep = rule.keep
-            out = out.withColumn(
-                "_m", F.when(F.col("_hit") & text.rlike(rule.pattern),
-                             F.regexp_extract_all(text, pattern, F.lit(0))))
-            out = out.withColumn("_r", F.transform("_m", lambda m: F.when(keep(m), m).otherwise(F.lit(rule.token))))
-            out = out.withColumn(
-                n, F.when(F.col("_m").isNull(), F.lit(0))
-                    .otherwise(F.size(F.filter("_m", lambda m: ~keep(m)))))
-            # Text between matches, with either the match or its token put back after each piece.
-            pieces = F.zip_with(F.split(text, rule.pattern, -1), F.col("_r"),
-                                lambda t, m: F.concat(t, F.coalesce(m, F.lit(""))))
-            out = out.withColumn(out_text, F.when(F.col(n) > 0, F.array_join(pieces, "")).otherwise(text))
-            out = out.drop("_m", "_r")
-    names = F.array_compact(F.array(*[F.when(F.col(n) > 0, F.lit(r.name)) for n, r in zip(counts, rules)]))
-    total = reduce(lambda a, b: a + b, [F.col(n) for n in counts])
-    return out.withColumns({out_names: names, out_count: total}).drop("_hit", *counts)
+    text = F.col(text_col)
+    none = F.array_repeat(F.lit(0), len(rules))
+    hit = reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
+    chain = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+    for rule in rules:
+        chain = _let(chain, _step(rule))
+    result = F.when(hit, chain).otherwise(F.struct(text.alias("text"), none.alias("counts")))
+    names = F.filter(F.array(*[F.lit(r.name) for r in rules]),
+                     lambda name, i: F.get(F.col("_redacted.counts"), i) > 0)
+    total = F.aggregate("_redacted.counts", F.lit(0), lambda acc, n: acc + n)
+    return (df.withColumn("_redacted", result)
+            .withColumns({out_text: F.col("_redacted.text"), out_names: names, out_count: total})
+            .drop("_redacted"))

@@ -142,41 +142,44 @@ def _prune(pdf: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows: int = 2048,
-                     salts: int = 64) -> DataFrame:
+def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows: int = 2048) -> DataFrame:
     """Online novelty per (tenant, service), in arrival order (``ts``, ``id``).
 
     The first row of a series is stored silently; a later row is novel, and stored, if its best
     similarity to the stored rows is below the threshold. Columns in: tenant_id, service, id, ts,
     embedding. Exact, in rounds: the next ``block_rows`` undecided rows of every series are settled
     by a bounded fold; all remaining rows are then scored against the new stored rows in parallel
-    (a hot series is cut into ``salts`` parts) and known ones drop out.
+    (a hot series is cut into parts of about ``block_rows``) and known ones drop out.
     """
     shared_dir(logs_vec.sparkSession)
-    schema = "tenant_id string, service string, id long, ts timestamp, embedding array<float>, best double"
+    plain = "tenant_id string, service string, id long, ts timestamp, embedding array<float>, best double"
+    cols = ["tenant_id", "service", "id", "ts", "embedding", "best"]
     rest = logs_vec.select(*SERIES, F.col("id").cast("long").alias("id"), "ts",
                            F.col("embedding").cast("array<float>").alias("embedding"),
-                           F.lit(None).cast("double").alias("best")).checkpoint()
-    found: list[DataFrame] = []
-    while not rest.isEmpty():
+                           F.lit(None).cast("double").alias("best"))
+    out: DataFrame | None = None
+    while True:
         head = newest(rest, SERIES, ["ts", "id"], block_rows).drop("_rank")
-        settled = (head.groupBy(*SERIES).applyInPandas(_greedy(threshold), schema + ", leader boolean")
-                   .where("leader").checkpoint())
-        novel = settled.where(F.col("best").isNotNull() & ~F.isnan("best"))
-        found.append(novel.select(*SERIES, "id", "ts", F.col("best").alias("similarity")))
-        # Everything up to the last row of the block is decided.
-        last = head.groupBy(*SERIES).agg(F.max(F.struct("ts", "id")).alias("_last"))
+        settled = (head.groupBy(*SERIES).applyInPandas(_greedy(threshold), plain + ", leader boolean")
+                   .checkpoint())
+        novel = (settled.where(F.col("leader") & F.col("best").isNotNull() & ~F.isnan("best"))
+                 .select(*SERIES, "id", "ts", F.col("best").alias("similarity")))
+        out = novel if out is None else out.unionByName(novel)
+        # Every row up to the last one of the block is decided; later rows go to the next round.
+        last = settled.groupBy(*SERIES).agg(F.max(F.struct("ts", "id")).alias("_last"))
         later = rest.join(last, SERIES).where(F.struct("ts", "id") > F.col("_last")).drop("_last")
-        salted = later.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-        spread = settled.select(*SERIES, "id", "embedding",
-                                F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
+        if later.isEmpty():
+            break
+        parts = (later.groupBy(*SERIES).agg(F.ceil(F.count("*") / block_rows).cast("long").alias("_parts")))
+        salted = (later.join(parts, SERIES)
+                  .withColumn("_salt", F.pmod(F.xxhash64("id"), F.col("_parts"))).drop("_parts"))
+        spread = (settled.where("leader").join(parts, SERIES)
+                  .select(*[F.col(c).alias(c) for c in (*SERIES, "id", "embedding")],
+                          F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_salt")))
         pruned = (salted.groupBy(*SERIES, "_salt").cogroup(spread.groupBy(*SERIES, "_salt"))
-                  .applyInPandas(lambda a, b: _prune(a, b)[["tenant_id", "service", "id", "ts", "embedding", "best"]],
-                                 schema))
-        rest = pruned.where(F.col("best").isNull() | F.isnan("best") | (F.col("best") < threshold)).checkpoint()
-    out = found[0] if found else rest.select(*SERIES, "id", "ts", F.col("best").alias("similarity"))
-    for more in found[1:]:
-        out = out.unionByName(more)
+                  .applyInPandas(lambda a, b: _prune(a, b)[cols], plain))
+        undecided = F.col("best").isNull() | F.isnan("best") | (F.col("best") < threshold)
+        rest = pruned.where(undecided).checkpoint()
     return out.withColumns({"distance": F.lit(1.0) - F.col("similarity"),
                             "anomaly_type": F.lit("new_error_pattern")})
 

@@ -39,7 +39,8 @@ def blocked_scores(queries: DataFrame, corpus: DataFrame, keys: list[str], *, k:
     timed = max_age_us is not None
     q_cols, c_cols = ["query_id", "embedding"], ["item_id", "embedding"]
     q = queries.select(*keys, *q_cols, *(["at"] if timed else []))
-    c = corpus.select(*keys, *c_cols, *(["at"] if timed else []))
+    # Fresh column identities: queries and corpus may come from the same table.
+    c = corpus.select(*[F.col(x).alias(x) for x in (*keys, *c_cols, *(["at"] if timed else []))])
     sizes = (q.groupBy(*keys).agg(F.count("*").alias("_q"))
              .join(c.groupBy(*keys).agg(F.count("*").alias("_c")), keys)
              .select(*keys, F.ceil(F.col("_q") / block_rows).cast("long").alias("nqb"),

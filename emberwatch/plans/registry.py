@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.plans.fixtures import Tables
 
-GROUPS = ("anomaly",)
+GROUPS = ("ingest", "security", "anomaly", "correlate")
 
 
 def _modules():
