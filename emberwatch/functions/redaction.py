@@ -122,13 +122,16 @@ def redact(df: DataFrame, text_col: str, rules: list[Rule], *, out_text: str, ou
     nothing matches the raw text, no step can change it. The steps are nested lets, so the
     expression grows linearly with the rules.
     """
-    text = F.col(text_col)
     none = F.array_repeat(F.lit(0), len(rules))
-    hit = reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
-    chain = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
-    for rule in rules:
-        chain = _let(chain, _step(rule))
-    result = F.when(hit, chain).otherwise(F.struct(text.alias("text"), none.alias("counts")))
+
+    def scan(text: Column) -> Column:
+        hit = reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
+        chain = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
+        for rule in rules:
+            chain = _let(chain, _step(rule))
+        return F.when(hit, chain).otherwise(F.struct(text.alias("text"), none.alias("counts")))
+
+    result = _let(F.col(text_col), scan)
     names = F.filter(F.array(*[F.lit(r.name) for r in rules]),
                      lambda name, i: F.get(F.col("_redacted.counts"), i) > 0)
     total = F.aggregate("_redacted.counts", F.lit(0), lambda acc, n: acc + n)

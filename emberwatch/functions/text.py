@@ -21,3 +21,14 @@ def token_count(text: Column) -> Column:
 
 def clip(text: Column, n: int, suffix: str = "") -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(suffix))).otherwise(text)
+
+
+def strip(text: Column) -> Column:
+    """Trim blanks, tabs and line breaks on both sides."""
+    return F.trim(text, F.lit(" \t\r\n"))
+
+
+def short_iso(ts: Column) -> Column:
+    """ISO text without a fraction when it is zero."""
+    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(F.unix_micros(ts) % 1_000_000 == 0, whole).otherwise(iso(ts))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import stable_id
-from emberwatch.operators.ordered import newest
+from emberwatch.functions.text import strip
 from emberwatch.schemas import LOG_LEVELS, RAW_LOG
 
 # Fixed value: RFC 3339 timestamps.
@@ -121,7 +119,7 @@ def update_by_key(base: DataFrame, updates: DataFrame, keys: list[str], cols: li
 
 def alert_label(alerts: DataFrame, labels: DataFrame, *, lo: int = 10, hi: int = 1000) -> DataFrame:
     """Set ``ground_truth`` from trimmed label texts of accepted length, tenant and alert matching."""
-    text = F.trim("label")
+    text = strip(F.col("label"))
     good = labels.where(F.length(text).between(lo, hi)).select("alert_id", "tenant_id", text.alias("ground_truth"), "seq")
     return update_by_key(alerts, good, ["alert_id", "tenant_id"], ["ground_truth"], seq="seq")
 

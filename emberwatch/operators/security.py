@@ -60,7 +60,9 @@ def security_events(scanned: DataFrame, *, id_col: str = "log_id") -> DataFrame:
                      ).otherwise(F.to_json(F.struct(F.col("names").alias("fields_redacted"),
                                                     F.col("matches").alias("redaction_count"))))
     digest = F.sha2(F.col("message"), 256)
-    return (scanned.select(id_col, "tenant_id", "service", "message", F.inline(both))
+    # The outer form keeps Spark from testing the list, and so scanning the text, a second time.
+    return (scanned.select(id_col, "tenant_id", "service", "message", F.inline_outer(both))
+            .where(F.col("event_type").isNotNull())
             .select(F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"),
                                                                            "event_type"), 256), 1, 32)).alias("event_id"),
                     id_col, "tenant_id", "service", "event_type", details.alias("details"),
@@ -84,7 +86,8 @@ def audit_hash(calls: DataFrame) -> DataFrame:
 def pii_by_field(scanned: DataFrame) -> DataFrame:
     """Messages per field type and tenant; a field counts once per message."""
     return (scanned.select(F.coalesce("tenant_id", F.lit("unknown")).alias("tenant_id"),
-                           F.explode("pii_names").alias("field_type"))
+                           F.explode_outer("pii_names").alias("field_type"))
+            .where(F.col("field_type").isNotNull())
             .groupBy("tenant_id", "field_type").agg(F.count("*").alias("messages")))
 
 

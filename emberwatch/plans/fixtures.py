@@ -38,6 +38,8 @@ _SPELLING = {
     "duckdb": [
         (r"EPOCH_US\(", "epoch_us("),
         (r"TS_MICROS\(", "make_timestamp("),
+        (r"PYISO\((\w+)\)", r"CASE WHEN epoch_us(\1) % 1000000 = 0 THEN strftime(\1, '%Y-%m-%dT%H:%M:%S') "
+                             r"ELSE strftime(\1, '%Y-%m-%dT%H:%M:%S.%f') END"),
         (r"ISO\((\w+)\)", r"strftime(\1, '%Y-%m-%dT%H:%M:%S.%f')"),
         (r"SHA256\(([^()]+)\)", r"sha256(\1)"),
         (r"SORTED_SET\((\w+)\)", r"list_sort(list(DISTINCT \1))"),
@@ -52,7 +54,7 @@ VIEWS: dict[str, str] = {
     "tenants_v": """
         SELECT CAST(r_regionkey AS STRING) AS tenant_id, r_name AS name,
                CASE WHEN r_regionkey % 2 = 0 THEN 'premium' ELSE 'standard' END AS model_tier,
-               CAST(r_regionkey AS DOUBLE) * 4e-3 + 1e-3 AS token_budget_usd_daily,
+               CAST(r_regionkey AS DOUBLE) * 4e-3 + 1.005e-3 AS token_budget_usd_daily,
                SHA256('key-' || r_name) AS api_key_hash
         FROM region""",
     "logs_v": f"""
@@ -113,6 +115,32 @@ VIEWS: dict[str, str] = {
                'svc-' || CAST(label AS STRING) AS service,
                TS_MICROS(1704067200000000 + vec_id * 600000000) AS created_at, embedding
         FROM embeddings""",
+    "kbvec_v": """
+        SELECT 'doc-' || CAST(vec_id AS STRING) AS item_id, CAST(vec_id % 5 AS STRING) AS tenant_id,
+               embedding FROM embeddings""",
+    "qvec_v": """
+        SELECT 'q-' || CAST(item_id AS STRING) AS query_id, CAST(item_id % 5 AS STRING) AS tenant_id,
+               embedding FROM benchmark JOIN embeddings ON vec_id = item_id""",
+    "entries_v": """
+        SELECT vec_id AS entry_id, CAST(label % 5 AS STRING) AS tenant_id,
+               TS_MICROS(1704067500000000 + vec_id * 600000000) AS created_at, embedding,
+               CASE WHEN vec_id % 9 = 0 THEN NULL
+                    ELSE '{"rca_id":"r' || CAST(vec_id AS STRING) || '"}' END AS rca_result
+        FROM embeddings""",
+    "outputs_v": """
+        SELECT rca_id, tenant_id,
+               CASE WHEN input_tokens % 170 = 0 THEN 'rate_limit' WHEN input_tokens % 190 = 0 THEN 'timeout' END AS error,
+               '{"root_cause":"' || root_cause || '","confidence":'
+               || CASE WHEN input_tokens % 130 = 0 THEN '1.5'
+                       ELSE '0.' || CAST(CAST(floor(input_tokens / 10) AS BIGINT) % 10 AS STRING) END
+               || ',"recommendations":' || CASE WHEN input_tokens % 70 = 0 THEN '[]' ELSE '["restart","scale"]' END
+               || CASE WHEN input_tokens % 110 = 0 THEN '' ELSE '}' END AS output
+        FROM rca_v""",
+    "judged_v": """
+        SELECT rca_id, tenant_id,
+               CASE WHEN input_tokens % 70 = 0 THEN 'no json' WHEN input_tokens % 110 = 0 THEN '{"score":"high"}'
+                    ELSE '{"score":0.' || CAST(CAST(floor(input_tokens / 10) AS BIGINT) % 10 AS STRING) || '}' END AS judged
+        FROM rca_v""",
     "lines_v": """
         SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, o_orderdate,
                CAST(o_custkey % 5 AS STRING) AS tenant_id, l_partkey,

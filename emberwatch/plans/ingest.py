@@ -124,10 +124,10 @@ ORACLES = {
       FROM gens GROUP BY incident_id""",
     "rca_insert_once": f"""WITH {_GEN} SELECT incident_id, tenant_id, rca_id, status, ISO(created_at) AS created_at FROM gens
       QUALIFY row_number() OVER (PARTITION BY incident_id ORDER BY seq) = 1""",
-    "alert_label": """SELECT a.alert_id, a.tenant_id, sha256(coalesce(trim(p.description), a.ground_truth, '-')) AS truth_hash
+    "alert_label": """SELECT a.alert_id, a.tenant_id, sha256(coalesce(trim(p.description, E' \\t\\r\\n'), a.ground_truth, '-')) AS truth_hash
       FROM alerts_v a LEFT JOIN past_v p
         ON 'al-' || regexp_extract(p.incident_id, '([0-9]+)', 1) || '-' || p.tenant_id = a.alert_id
-       AND length(trim(p.description)) BETWEEN 10 AND 1000""",
+       AND length(trim(p.description, E' \\t\\r\\n')) BETWEEN 10 AND 1000""",
     "incident_compression_update": """WITH s AS (
         SELECT incident_id, sum(output_tokens) / sum(input_tokens) AS ratio, sum(output_tokens) AS n FROM rca_v GROUP BY 1)
       SELECT i.incident_id, round(coalesce(s.ratio, i.compression_ratio), 6) AS compression_ratio,

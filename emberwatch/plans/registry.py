@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.plans.fixtures import Tables
 
-GROUPS = ("ingest", "security", "anomaly", "correlate")
+GROUPS = ("ingest", "security", "anomaly", "correlate", "context", "retrieval", "investigate")
 
 
 def _modules():
