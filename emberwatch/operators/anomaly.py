@@ -142,7 +142,7 @@ def _prune(pdf: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
     return pdf
 
 
-def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows: int = 2048) -> DataFrame:
+def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows: int = 1000) -> DataFrame:
     """Online novelty per (tenant, service), in arrival order (``ts``, ``id``).
 
     The first row of a series is stored silently; a later row is novel, and stored, if its best
@@ -184,18 +184,17 @@ def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows:
                             "anomaly_type": F.lit("new_error_pattern")})
 
 
-def evict_oldest(baseline: DataFrame, *, max_size: int = 10_000, batch: int = 1_000,
-                 chunk_s: int = 3600) -> DataFrame:
+def evict_oldest(baseline: DataFrame, *, max_size: int = 10_000, batch: int = 1_000) -> DataFrame:
     """Rows that survive eviction: a tenant above ``max_size`` loses its oldest ``batch`` rows.
 
-    Positions come from chunked running counts, so no task sees a whole tenant.
+    Only sizes and the position of the last evicted row are gathered (one row per tenant).
     """
     sizes = baseline.groupBy("tenant_id").agg(F.count("*").alias("_size"))
-    ranked = running(with_chunk(baseline, F.col("ts"), chunk_s), ["tenant_id"], ["ts", "id"],
-                     {"_pos": ("count", "id")})
-    return (ranked.join(sizes, "tenant_id")
-            .where((F.col("_size") <= max_size) | (F.col("_pos") > batch))
-            .drop("_size", "_pos", "_chunk"))
+    oldest = newest(baseline.select("tenant_id", "ts", "id"), ["tenant_id"], ["ts", "id"], batch)
+    edge = oldest.groupBy("tenant_id").agg(F.max(F.struct("ts", "id")).alias("_edge")).join(sizes, "tenant_id")
+    return (baseline.join(edge, "tenant_id")
+            .where((F.col("_size") <= max_size) | (F.struct("ts", "id") > F.col("_edge")))
+            .drop("_size", "_edge"))
 
 
 def merge_detectors(stat: DataFrame, sem: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import severity_rank, stable_id
-from emberwatch.operators.ordered import next_marked, previous_row, running, with_chunk
+from emberwatch.operators.ordered import CHUNK, attach, with_chunk
 
 ORDER = ["created_at", "alert_id"]
 
@@ -19,37 +19,71 @@ def correlate(alerts: DataFrame, *, window_s: int = 60, chunk_s: int | None = No
     single incident and stays.
 
     A window that has not fired holds one service only, including the previous alert while that is
-    young enough. So an alert fires iff its predecessor is within ``window_s``, has another service,
-    and did not fire itself; in a run of such neighbours every second one fires, starting with the
-    first. An alert belongs to the next firing at or after it, if still within the window. That needs
-    only the previous row, a running count and the next firing, all computed on time chunks.
+    young enough. So an alert is *linked* if its predecessor is within ``window_s`` and has another
+    service, and it fires iff it is linked and the predecessor did not fire: in a run of linked
+    alerts every second one fires, starting with the first. An alert belongs to the next firing at or
+    after it, if that is still within the window.
+
+    The timeline is cut into chunks. Inside a chunk everything but the state before its first alert
+    is known; one summary row per chunk carries that state and the next firing across chunks.
 
     Returns one row per (incident, member alert): incident_id, tenant_id, is_cascade, at, alert_id,
     service, severity, created_at.
     """
-    key = ["tenant_id"]
-    window_us = window_s * 1_000_000
-    base = with_chunk(alerts.select(*key, "alert_id", "service", "severity", "created_at"),
-                      F.col("created_at"), chunk_s or max(60 * window_s, 3600))
-    prev = previous_row(base, key, ORDER, ["service", "created_at"])
-    us = F.unix_micros("created_at")
-    linked = F.coalesce((F.col("_prev.service") != F.col("service"))
-                        & (us - F.unix_micros("_prev.created_at") <= window_us), F.lit(False))
-    numbered = running(prev.withColumn("_linked", linked).drop("_prev"), key, ORDER, {"_pos": ("count", "alert_id")})
-    numbered = numbered.withColumn("_break", F.when(~F.col("_linked"), F.col("_pos")))
-    runs = running(numbered, key, ORDER, {"_start": ("max", "_break")})
-    fires = F.col("_linked") & ((F.col("_pos") - F.col("_start")) % 2 == 1)
-    marked = next_marked(runs.withColumn("_fires", fires), key, ORDER,
-                         F.when(fires, F.struct("created_at", "alert_id")), out="_next")
-    in_next = F.col("_next").isNotNull() & (F.unix_micros("_next.created_at") - us <= window_us)
-    roles = F.array_compact(F.array(
-        F.when(in_next, F.struct(F.lit(True).alias("is_cascade"), F.col("_next.alert_id").alias("trigger"),
-                                 F.col("_next.created_at").alias("at"))),
-        F.when(~F.col("_fires"), F.struct(F.lit(False).alias("is_cascade"), F.col("alert_id").alias("trigger"),
-                                          F.col("created_at").alias("at")))))
-    return (marked.select(*key, "alert_id", "service", "severity", "created_at", F.inline(roles))
+    key, window_us = ["tenant_id"], window_s * 1_000_000
+    cols = ["alert_id", "service", "severity", "created_at"]
+    rows = Window.partitionBy(*key, CHUNK).orderBy(*ORDER)
+    ahead = rows.rowsBetween(0, Window.unboundedFollowing)
+    chunks = Window.partitionBy(*key).orderBy(CHUNK)
+    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+
+    def linked(before: Column, row: Column) -> Column:
+        gap = F.unix_micros(row["created_at"]) - F.unix_micros(before["created_at"])
+        return (before["service"] != row["service"]) & (gap <= window_us)
+
+    base = with_chunk(alerts.select(*key, *cols), F.col("created_at"), chunk_s or max(60 * window_s, 3600))
+    # Row number, link to the row before (unknown for the chunk's first row), last unlinked row.
+    inside = (base.withColumn("_row", F.struct(*cols))
+              .withColumns({"_n": F.row_number().over(rows), "_before": F.lag("_row").over(rows)})
+              .withColumn("_linked", linked(F.col("_before"), F.col("_row")))
+              .withColumn("_break", F.max(F.when(~F.col("_linked"), F.col("_n"))).over(rows)))
+    odd = F.col("_linked") & ((F.col("_n") - F.col("_break")) % 2 == 1)
+    mark = F.struct("created_at", "alert_id")
+    summary = inside.groupBy(*key, CHUNK).agg(
+        F.max_by("_row", F.struct("_n")).alias("last"), F.min_by("_row", F.struct("_n")).alias("first"),
+        F.max("_n").alias("n"), F.max("_break").alias("break"),
+        F.max(F.when(F.col("_n") == 2, F.struct(F.col("_linked").alias("linked"), mark.alias("mark")))).alias("second"),
+        F.min(F.when(odd, mark)).alias("rest"))
+    # Run position of the chunk's last row: counted from its own last break, else from the row before.
+    state = summary.withColumn("joined", F.coalesce(linked(F.lag("last").over(chunks), F.col("first")), F.lit(False)))
+    own = F.when(F.col("break").isNotNull(), F.col("n") - F.col("break")).when(~F.col("joined"), F.col("n") - 1)
+    state = (state.withColumn("own", own)
+             .withColumn("rows", F.sum("n").over(chunks))
+             .withColumn("reset", F.max(F.when(F.col("own").isNotNull(), F.struct(F.col(CHUNK), "own", "rows"))).over(chunks))
+             .withColumn("end", F.coalesce(F.col("reset.own") + F.col("rows") - F.col("reset.rows"), F.col("rows")))
+             .withColumn("start", F.when(F.col("joined"), F.coalesce(F.lag("end").over(chunks), F.lit(0)) + 1).otherwise(0)))
+    fired = (F.when(F.col("start") % 2 == 1, F.struct(F.col("first.created_at"), F.col("first.alert_id")))
+             .when(F.col("second.linked"), F.col("second.mark")).otherwise(F.col("rest")))
+    carry = (state.withColumn("_fired", fired)
+             .select(*key, CHUNK, F.col("start").alias("_start"),
+                     F.first("_fired", ignorenulls=True).over(later).alias("_later")))
+
+    position = F.coalesce(F.col("_n") - F.col("_break"), F.col("_start") + F.col("_n") - 1)
+    marked = (attach(inside, carry, key)
+              .withColumn("_fires", position % 2 == 1)
+              .withColumn("_next", F.coalesce(
+                  F.first(F.when(F.col("_fires"), mark), ignorenulls=True).over(ahead), F.col("_later"))))
+    member = F.unix_micros("_next.created_at") - F.unix_micros("created_at") <= window_us
+
+    def role(cascade: bool, trigger: Column) -> Column:
+        return F.struct(F.lit(cascade).alias("is_cascade"), trigger["alert_id"].alias("trigger"),
+                        trigger["created_at"].alias("at"))
+
+    roles = F.array_compact(F.array(F.when(F.coalesce(member, F.lit(False)), role(True, F.col("_next"))),
+                                    F.when(~F.col("_fires"), role(False, F.col("_row")))))
+    return (marked.select(*key, *cols, F.inline(roles))
             .select(stable_id("inc-", F.col("tenant_id"), F.col("trigger"), F.col("is_cascade").cast("string"))
-                    .alias("incident_id"), *key, "is_cascade", "at", "alert_id", "service", "severity", "created_at"))
+                    .alias("incident_id"), *key, "is_cascade", "at", *cols))
 
 
 def incident_fields(members: DataFrame, *, window_s: int = 60) -> DataFrame:

@@ -14,6 +14,7 @@ CHUNK = "_chunk"
 
 
 def with_chunk(df: DataFrame, ts: Column, seconds: int) -> DataFrame:
+    """Adds the time chunk of each row; pick ``seconds`` so that a hot key's chunk fits one task."""
     return df.withColumn(CHUNK, F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("long"))
 
 
@@ -30,18 +31,6 @@ def attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(summary, [*keys, CHUNK], "left")
 
 
-def previous_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str], *,
-                 out: str = "_prev") -> DataFrame:
-    """Struct of ``cols`` from the row before, across chunk borders. Needs the chunk column."""
-    row, pos = F.struct(*cols), F.struct(*order)
-    inside = df.withColumn(out, F.lag(row).over(_within(keys).orderBy(*order)))
-    carry = (df.groupBy(*keys, CHUNK).agg(F.max_by(row, pos).alias("_last"))
-               .withColumn("_carry", F.lag("_last").over(_across(keys)))
-               .drop("_last"))
-    return (attach(inside, carry, keys)
-            .withColumn(out, F.coalesce(out, "_carry")).drop("_carry"))
-
-
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """Running aggregates up to and including the row: ``{out: (kind, col)}``, kind sum | count | max.
 
@@ -69,21 +58,8 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tu
             .drop(*[f"_c_{o}" for o in aggs]))
 
 
-def next_marked(df: DataFrame, keys: list[str], order: list[str], value: Column, *, out: str) -> DataFrame:
-    """First non-null ``value`` at or after the row, across chunk borders."""
-    marked = df.withColumn(out, value)
-    rows = _within(keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    inside = marked.withColumn("_in", F.first(out, ignorenulls=True).over(rows))
-    firsts = marked.groupBy(*keys, CHUNK).agg(
-        F.min_by(F.when(F.col(out).isNotNull(), F.struct(F.col(out))),
-                 F.when(F.col(out).isNotNull(), F.struct(*order))).alias("_f"))
-    after = _across(keys).rowsBetween(1, Window.unboundedFollowing)
-    carry = firsts.select(*keys, CHUNK, F.first("_f", ignorenulls=True).over(after)[out].alias("_carry"))
-    return (attach(inside, carry, keys)
-            .withColumn(out, F.coalesce("_in", "_carry")).drop("_in", "_carry"))
-
-
 def newest(df: DataFrame, keys: list[str], order: list, k: int, *, rank: str = "_rank") -> DataFrame:
-    """First ``k`` rows per key in ``order``. Spark trims to k per task before the shuffle."""
+    """First ``k`` rows per key in ``order``. For k up to 1000 (Spark's default limit for it) every
+    task trims to k rows per key before the shuffle, so a hot key sends k rows per task."""
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)

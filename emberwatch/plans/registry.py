@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberwatch.plans.fixtures import Tables
 
-GROUPS = ("ingest", "security", "anomaly", "correlate", "context", "retrieval", "investigate")
+GROUPS = ("ingest", "security", "anomaly", "correlate", "context", "retrieval", "investigate", "portal",
+          "streams")
 
 
 def _modules():
