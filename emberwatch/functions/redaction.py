@@ -22,6 +22,17 @@ INJECTION_PATTERNS: list[tuple[str, str]] = [
     ("jailbreak_keywords", r"\b(jailbreak|DAN\s+mode|developer\s+mode|prompt\s+injection)\b"),
 ]
 
+# Upper-case words of which a text must hold one to match the family at all.
+INJECTION_WORDS: dict[str, tuple[str, ...]] = {
+    "ignore_instructions": ("IGNORE",),
+    "you_are_now": ("NOW",),
+    "act_as": ("ACT", "BEHAVE", "PRETEND", "ROLEPLAY"),
+    "reveal_prompt": ("PROMPT", "INSTRUCTIONS", "CONTEXT"),
+    "override": ("FORGET", "DISREGARD", "IGNORE", "OVERRIDE"),
+    "jailbreak_delimiters": ("INST]", "<|"),
+    "jailbreak_keywords": ("JAILBREAK", "MODE", "INJECTION"),
+}
+
 # Personal-data patterns.
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 IPV4 = (r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}"
@@ -39,11 +50,16 @@ UNICODE_IGNORE_CASE = "(?iU)"
 
 @dataclass(frozen=True)
 class Rule:
-    """One redaction step. ``keep`` (on a single match) spares matches that only look sensitive."""
+    """One redaction step.
+
+    ``hint(text, upper)``: a cheap test that every text with a match passes.
+    ``keep``: on a single match, spares those that only look sensitive.
+    """
 
     name: str
     pattern: str
     token: str
+    hint: Callable[[Column, Column], Column]
     keep: Callable[[Column], Column] | None = None
 
 
@@ -66,19 +82,36 @@ def luhn_valid(digits: Column) -> Column:
     return total % 10 == 0
 
 
+def _any(tests: list[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
+def _words(words: tuple[str, ...]) -> Callable[[Column, Column], Column]:
+    # Two letters fold to ASCII ones in a case-insensitive match but not in upper case.
+    return lambda text, upper: _any([F.contains(upper, F.lit(w)) for w in (*words, "\u212a", "\u0130")])
+
+
+def _has(part: str) -> Callable[[Column, Column], Column]:
+    return lambda text, upper: F.contains(text, F.lit(part))
+
+
+def _like(pattern: str) -> Callable[[Column, Column], Column]:
+    return lambda text, upper: text.rlike(pattern)
+
+
 def injection_rules() -> list[Rule]:
-    return [Rule(name, UNICODE_IGNORE_CASE + pattern, f"[INJECTION_REDACTED_{name}]")
+    return [Rule(name, UNICODE_IGNORE_CASE + pattern, f"[INJECTION_REDACTED_{name}]", _words(INJECTION_WORDS[name]))
             for name, pattern in INJECTION_PATTERNS]
 
 
 def pii_rules(kinds: tuple[str, ...] | None = None) -> list[Rule]:
     rules = [
-        Rule("email", UNICODE + EMAIL, "[REDACTED_EMAIL]"),
-        Rule("ipv4", UNICODE + IPV4, "[REDACTED_IP]", keep=is_private_ip),
-        Rule("credit_card", UNICODE + CARD, "[REDACTED_CC]", keep=lambda m: ~luhn_valid(m)),
-        Rule("phone_international", UNICODE + PHONE_INTERNATIONAL, "[REDACTED_PHONE]"),
-        Rule("phone_us", UNICODE + PHONE_US, "[REDACTED_PHONE]"),
-        Rule("user_id_context", UNICODE_IGNORE_CASE + USER_ID, "[REDACTED_USER_ID]"),
+        Rule("email", UNICODE + EMAIL, "[REDACTED_EMAIL]", _has("@")),
+        Rule("ipv4", UNICODE + IPV4, "[REDACTED_IP]", _like(r"[0-9]\.[0-9]"), keep=is_private_ip),
+        Rule("credit_card", UNICODE + CARD, "[REDACTED_CC]", _like("[0-9]{13}"), keep=lambda m: ~luhn_valid(m)),
+        Rule("phone_international", UNICODE + PHONE_INTERNATIONAL, "[REDACTED_PHONE]", _has("+")),
+        Rule("phone_us", UNICODE + PHONE_US, "[REDACTED_PHONE]", _like(r"(?s)[0-9]{3}\)?.[0-9]{3}.[0-9]{4}")),
+        Rule("user_id_context", UNICODE_IGNORE_CASE + USER_ID, "[REDACTED_USER_ID]", _has("=")),
     ]
     return [r for r in rules if kinds is None or r.name in kinds]
 
@@ -118,22 +151,25 @@ def redact(df: DataFrame, text_col: str, rules: list[Rule], *, out_text: str, ou
            out_count: str) -> DataFrame:
     """Apply ``rules`` in order, each on the previous rule's output.
 
-    Rows that no pattern touches (nearly all) pay for one test per pattern and no rewriting; if
-    nothing matches the raw text, no step can change it. The steps are nested lets, so the
-    expression grows linearly with the rules.
+    Rows that no pattern touches (nearly all) pay for cheap tests and no rewriting; if nothing
+    matches the raw text, no step can change it. The steps are nested lets, so the expression grows
+    linearly with the rules.
     """
     none = F.array_repeat(F.lit(0), len(rules))
 
-    def scan(text: Column) -> Column:
-        hit = reduce(lambda a, b: a | b, [text.rlike(r.pattern) for r in rules])
+    def decide(text: Column, upper: Column) -> Column:
+        hit = _any([r.hint(text, upper) & text.rlike(r.pattern) for r in rules])
         chain = F.struct(text.alias("text"), F.array().cast("array<int>").alias("counts"))
         for rule in rules:
             chain = _let(chain, _step(rule))
         return F.when(hit, chain).otherwise(F.struct(text.alias("text"), none.alias("counts")))
 
-    result = _let(F.col(text_col), scan)
-    names = F.filter(F.array(*[F.lit(r.name) for r in rules]),
-                     lambda name, i: F.get(F.col("_redacted.counts"), i) > 0)
+    folded = any(r.name in INJECTION_WORDS for r in rules)
+    result = _let(F.col(text_col), lambda text: _let(F.upper(text), lambda up: decide(text, up)) if folded
+                  else decide(text, text))
+    # The counts are an argument, not part of the lambda: inside, Spark could re-run the scan per name.
+    names = F.array_compact(F.zip_with(F.array(*[F.lit(r.name) for r in rules]), F.col("_redacted.counts"),
+                                       lambda name, n: F.when(n > 0, name)))
     total = F.aggregate("_redacted.counts", F.lit(0), lambda acc, n: acc + n)
     return (df.withColumn("_redacted", result)
             .withColumns({out_text: F.col("_redacted.text"), out_names: names, out_count: total})

@@ -12,7 +12,8 @@ def iso(ts: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased whitespace tokens."""
-    return F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != "")
+    trimmed = F.trim(F.lower(text), F.lit(" \t\r\n\f\x0b"))
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, r"\s+"))
 
 
 def token_count(text: Column) -> Column:

@@ -42,12 +42,16 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, *, threshold: float = 0
             .withColumns({c: F.when(F.col("cache_hit"), F.col(c)) for c in ("item_id", "rca_result")}))
 
 
+def cache_tagged(looked_up: DataFrame) -> DataFrame:
+    """One pass over the lookups with the stream each goes to, for a sink partitioned by ``stream``."""
+    return looked_up.withColumn("stream", F.when(F.col("cache_hit"), "hit").otherwise("miss"))
+
+
 def cache_split(looked_up: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hits, misses): a hit carries the cached result marked as such; a miss goes on to routing."""
-    hits = (looked_up.where("cache_hit")
-            .select("tenant_id", F.col("query_id").alias("incident_id"), "rca_result", "similarity", "cache_hit"))
-    misses = looked_up.where(~F.col("cache_hit")).select("tenant_id", F.col("query_id").alias("incident_id"))
-    return hits, misses
+    tagged = cache_tagged(looked_up).withColumnRenamed("query_id", "incident_id")
+    return (tagged.where("stream = 'hit'").select("tenant_id", "incident_id", "rca_result", "similarity", "cache_hit"),
+            tagged.where("stream = 'miss'").select("tenant_id", "incident_id"))
 
 
 def cache_write(evals: DataFrame, rca: DataFrame) -> DataFrame:

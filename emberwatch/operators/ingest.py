@@ -39,9 +39,14 @@ def reject_reason() -> Column:
             .when(~F.col("level").isin(LOG_LEVELS), "level is not valid"))
 
 
+def log_tagged(logs: DataFrame) -> DataFrame:
+    """All rows with ``reject_reason``, in one pass."""
+    return logs.withColumn("reject_reason", reject_reason())
+
+
 def log_validate(logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected); rejected rows carry ``reject_reason``."""
-    tagged = logs.withColumn("reject_reason", reject_reason())
+    tagged = log_tagged(logs)
     return tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"), tagged.where(F.col("reject_reason").isNotNull())
 
 
@@ -75,11 +80,16 @@ def dead_letter(rejected: DataFrame, *, topic: str, reason: str, payload: str, s
         F.col(seen).alias("last_attempt_at"), F.substring(payload, 1, max_chars).alias("original_payload"))
 
 
-def required_fields(messages: DataFrame, fields: list[str], *, value: str = "value") -> tuple[DataFrame, DataFrame]:
-    """(ok, bad) by key presence (a null value counts as present); bad rows list ``missing``."""
+def missing_fields(messages: DataFrame, fields: list[str], *, value: str = "value") -> DataFrame:
+    """All rows with the list of keys they lack; a null value counts as present."""
     keys = F.json_object_keys(F.get_json_object(value, "$"))
     missing = F.array_except(F.array(*[F.lit(f) for f in fields]), F.coalesce(keys, F.array().cast("array<string>")))
-    tagged = messages.withColumn("missing", missing)
+    return messages.withColumn("missing", missing)
+
+
+def required_fields(messages: DataFrame, fields: list[str], *, value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(ok, bad) by key presence; bad rows list ``missing``."""
+    tagged = missing_fields(messages, fields, value=value)
     return tagged.where(F.size("missing") == 0).drop("missing"), tagged.where(F.size("missing") > 0)
 
 

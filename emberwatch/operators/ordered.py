@@ -34,16 +34,17 @@ def attach(df: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
 def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """Running aggregates up to and including the row: ``{out: (kind, col)}``, kind sum | count | max.
 
-    ``max`` ignores nulls, so with an increasing position it is "last position so far".
+    A chunk's total is the running value of its last row. Taking that row whole keeps both uses of
+    the sorted chunks on the same columns, so Spark shuffles the rows once and reuses the exchange.
     """
     to = {"sum": F.sum, "count": F.count, "max": F.max}
     rows = _within(keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = _across(keys).rowsBetween(Window.unboundedPreceding, -1)
     inside = df.withColumns({o: to[k](c).over(rows) for o, (k, c) in aggs.items()})
-    totals = df.groupBy(*keys, CHUNK).agg(*[to[k](c).alias(f"_t_{o}") for o, (k, c) in aggs.items()])
-    carry = totals.select(
+    last = inside.groupBy(*keys, CHUNK).agg(F.max_by(F.struct(*inside.columns), F.struct(*order)).alias("_last"))
+    carry = last.select(
         *keys, CHUNK,
-        *[(F.max if k == "max" else F.sum)(f"_t_{o}").over(before).alias(f"_c_{o}")
+        *[(F.max if k == "max" else F.sum)(F.col(f"_last.{o}")).over(before).alias(f"_c_{o}")
           for o, (k, _) in aggs.items()])
     joined = attach(inside, carry, keys)
 

@@ -39,7 +39,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, *, k: int = 10, k1: float =
                             F.size("_t").alias("len"), F.explode("_t").alias("term"))
                 .join(vocabulary, ["tenant_id", "term"], "left_semi")
                 .groupBy("tenant_id", "term", "incident_id", "_at", "len").agg(F.count("*").alias("tf")))
-    df = postings.groupBy("tenant_id", "term").agg(F.count("*").alias("df"))
+    # Counting tf keeps this branch on the same exchange as the scoring below: one tokenisation.
+    df = postings.groupBy("tenant_id", "term").agg(F.count("tf").alias("df"))
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     terms = (df.join(totals, "tenant_id")
              .select("tenant_id", "term", "avg_len", (F.greatest(raw, F.lit(0.0)) if idf == "floor" else raw).alias("idf")))

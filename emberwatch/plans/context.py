@@ -23,7 +23,7 @@ def reduced(t: Tables) -> DataFrame:
 
 
 def stats(t: Tables) -> DataFrame:
-    return context.compression_stats(ctx(t), reduced(t))
+    return context.compression_stats(context.context_tagged(ctx(t), token_limit=TOKEN_LIMIT))
 
 
 def looked_up(t: Tables) -> DataFrame:
@@ -49,9 +49,8 @@ def _text_rows(t: Tables) -> DataFrame:
 
 
 def _splits(t: Tables) -> DataFrame:
-    hits, misses = cache.cache_split(looked_up(t))
-    return (hits.select("tenant_id", "incident_id", "rca_result", F.lit("hit").alias("stream"))
-            .unionByName(misses.select("tenant_id", "incident_id", F.lit("-").alias("rca_result"), F.lit("miss").alias("stream"))))
+    return cache.cache_tagged(looked_up(t)).select(
+        "tenant_id", F.col("query_id").alias("incident_id"), F.coalesce("rca_result", F.lit("-")).alias("rca_result"), "stream")
 
 
 def _vector_pairs(t: Tables) -> DataFrame:

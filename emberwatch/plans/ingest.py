@@ -21,15 +21,12 @@ def _flat(df: DataFrame) -> DataFrame:
 
 
 def _validated(t: Tables) -> DataFrame:
-    ok, bad = op.log_validate(parsed(t))
-    return (ok.withColumn("reject_reason", F.lit("-")).unionByName(bad)
-            .select("raw_id", "reject_reason"))
+    return op.log_tagged(parsed(t)).select("raw_id", F.coalesce("reject_reason", F.lit("-")).alias("reject_reason"))
 
 
 def _required(t: Tables) -> DataFrame:
-    ok, bad = op.required_fields(t.raw, ["service", "level", "message", "trace_id", "timestamp"])
-    return (ok.withColumn("missing", F.array().cast("array<string>")).unionByName(bad)
-            .select("raw_id", F.array_join("missing", ",").alias("missing")))
+    fields = ["service", "level", "message", "trace_id", "timestamp"]
+    return op.missing_fields(t.raw, fields).select("raw_id", F.array_join("missing", ",").alias("missing"))
 
 
 def _versions(t: Tables) -> tuple[DataFrame, DataFrame]:

@@ -44,8 +44,8 @@ def modes(t: Tables) -> DataFrame:
 
 
 def _validated(t: Tables) -> DataFrame:
-    ok, bad = op.result_validate(t.outputs, min_conf=0.5)
-    return ok.select("rca_id", F.lit("-").alias("failure_reason")).unionByName(bad.select("rca_id", "failure_reason"))
+    return op.result_tagged(t.outputs, min_conf=0.5).select(
+        "rca_id", F.coalesce("failure_reason", F.lit("-")).alias("failure_reason"))
 
 
 QUERIES = {
