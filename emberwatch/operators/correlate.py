@@ -33,9 +33,12 @@ def correlate(alerts: DataFrame, *, window_s: int = 60, chunk_s: int | None = No
     key, window_us = ["tenant_id"], window_s * 1_000_000
     cols = ["alert_id", "service", "severity", "created_at"]
     rows = Window.partitionBy(*key, CHUNK).orderBy(*ORDER)
-    ahead = rows.rowsBetween(0, Window.unboundedFollowing)
     chunks = Window.partitionBy(*key).orderBy(CHUNK)
-    later = chunks.rowsBetween(1, Window.unboundedFollowing)
+    # "Next firing" looks ahead: a growing frame over the reverse order costs one pass, a frame that
+    # ends at "unbounded following" would rescan the rest for every row.
+    ahead = (Window.partitionBy(*key, CHUNK).orderBy(*[F.desc(c) for c in ORDER])
+             .rowsBetween(Window.unboundedPreceding, 0))
+    later = Window.partitionBy(*key).orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
 
     def linked(before: Column, row: Column) -> Column:
         gap = F.unix_micros(row["created_at"]) - F.unix_micros(before["created_at"])
@@ -66,13 +69,13 @@ def correlate(alerts: DataFrame, *, window_s: int = 60, chunk_s: int | None = No
              .when(F.col("second.linked"), F.col("second.mark")).otherwise(F.col("rest")))
     carry = (state.withColumn("_fired", fired)
              .select(*key, CHUNK, F.col("start").alias("_start"),
-                     F.first("_fired", ignorenulls=True).over(later).alias("_later")))
+                     F.last("_fired", ignorenulls=True).over(later).alias("_later")))
 
     position = F.coalesce(F.col("_n") - F.col("_break"), F.col("_start") + F.col("_n") - 1)
     marked = (attach(inside, carry, key)
               .withColumn("_fires", position % 2 == 1)
               .withColumn("_next", F.coalesce(
-                  F.first(F.when(F.col("_fires"), mark), ignorenulls=True).over(ahead), F.col("_later"))))
+                  F.last(F.when(F.col("_fires"), mark), ignorenulls=True).over(ahead), F.col("_later"))))
     member = F.unix_micros("_next.created_at") - F.unix_micros("created_at") <= window_us
 
     def role(cascade: bool, trigger: Column) -> Column:

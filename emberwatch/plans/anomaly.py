@@ -95,7 +95,7 @@ QUERIES = {
         "tenant_id", "service", "bucket", "anomaly_type", "severity", "confidence"),
     "anomaly_description": lambda t: op.anomaly_description(merged(t)).select(
         "tenant_id", "service", "bucket", "wire_type", "description"),
-    "alert_cooldown": lambda t: op.alert_cooldown(error_candidates(t), cooldown_s=4 * HOUR, chunk_s=DAY)
+    "alert_cooldown": lambda t: op.alert_cooldown(error_candidates(t), cooldown_s=4 * HOUR)
         .select("tenant_id", "service", "id", iso(F.col("ts")).alias("ts")),
     "recent_errors": lambda t: op.recent_errors(t.logs).select(
         "tenant_id", "service", F.col("_rank").alias("position"), "log_id", "message"),

@@ -46,7 +46,7 @@ QUERIES = {
     "bm25_topk_floor": lambda t: op.bm25_topk(t.kbq, full_corpus(t), idf="floor")
         .select("tenant_id", "query_id", "incident_id", "score", "rank"),
     "vector_topk": lambda t: op.vector_topk(*all_vectors(t)).select("tenant_id", "query_id", "item_id", "similarity", "rank"),
-    "vector_topk_ann": lambda t: op.vector_topk_ann(*all_vectors(t), dim=DIM).select(
+    "vector_topk_ann": lambda t: op.vector_topk_ann(*all_vectors(t), dim=DIM, bands=8, bits=3).select(
         "tenant_id", "query_id", "item_id", "similarity", "rank"),
     "rrf": lambda t: (lambda f: f.select("tenant_id", "query_id", "item_id", *_ranks(f), F.round("rrf_score", 9).alias("rrf_score")))(fused(t)),
     "rerank_topk": lambda t: op.rerank_topk(fused(t)).select("tenant_id", "query_id", "item_id", "score", "final_rank"),
