@@ -330,11 +330,14 @@ def recent_errors(logs: DataFrame, *, k: int = 10) -> DataFrame:
                   [F.desc("ts"), F.desc("log_id")], k)
 
 
+def is_yes(verdict: str) -> Column:
+    return F.startswith(F.upper(F.trim(verdict)), F.lit("YES"))
+
+
 def verdict_filter(candidates: DataFrame, verdicts: DataFrame, *, key: str = "alert_id") -> DataFrame:
     """Keep candidates whose verdict starts with YES; a missing verdict keeps the candidate."""
-    yes = F.startswith(F.upper(F.trim("verdict")), F.lit("YES"))
     return (candidates.join(verdicts.select(key, "verdict"), key, "left")
-            .where(F.coalesce(yes, F.lit(True))).drop("verdict"))
+            .where(F.coalesce(is_yes("verdict"), F.lit(True))).drop("verdict"))
 
 
 def alerts(described: DataFrame, *, time_col: str = "bucket") -> DataFrame:

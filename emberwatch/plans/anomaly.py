@@ -53,7 +53,7 @@ def error_vectors(t: Tables) -> DataFrame:
                         F.col("created_at").alias("ts"), "embedding")
 
 
-def _verdicts(t: Tables) -> DataFrame:
+def verdicts(t: Tables) -> DataFrame:
     return (t.alerts.where(F.col("status") == "open")
             .select("alert_id", F.when(F.col("severity") == "LOW", "no").when(F.col("severity") == "HIGH", " yes, likely")
                     .when(F.col("severity") == "MEDIUM", "NO: noise").otherwise("YES").alias("verdict")))
@@ -99,7 +99,7 @@ QUERIES = {
         .select("tenant_id", "service", "id", iso(F.col("ts")).alias("ts")),
     "recent_errors": lambda t: op.recent_errors(t.logs).select(
         "tenant_id", "service", F.col("_rank").alias("position"), "log_id", "message"),
-    "verdict_filter": lambda t: op.verdict_filter(t.alerts, _verdicts(t)).select("alert_id", "tenant_id", "severity"),
+    "verdict_filter": lambda t: op.verdict_filter(t.alerts, verdicts(t)).select("alert_id", "tenant_id", "severity"),
     "alerts": lambda t: op.alerts(op.anomaly_description(merged(t))).select(
         "alert_id", "tenant_id", "service", "anomaly_type", "severity", "confidence", "created_at_text", "status"),
 }

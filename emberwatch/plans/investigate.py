@@ -76,7 +76,7 @@ QUERIES = {
     "eval_summary": lambda t: ev.eval_summary(t.evals, t.tenants),
     "ab_faithfulness": lambda t: ev.ab_faithfulness(t.evals),
     "running_pass_rate": lambda t: ev.running_pass_rate(t.evals).select(
-        "tenant_id", "eval_id", "passed", "seen", F.round("pass_rate", 6).alias("pass_rate")),
+        "tenant_id", "eval_id", "passed", "seen", "pass_rate"),
 }
 
 _SINCE = "ts > (SELECT max(ts) FROM logs_v) - INTERVAL 7 DAY"
@@ -189,7 +189,7 @@ ORACLES = {
         QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY evaluated_at DESC, eval_id DESC) <= 1000)
       SELECT tenant_id, prompt_version, round(avg(faithfulness_score), 4) AS avg_faithfulness FROM recent GROUP BY ALL""",
     "running_pass_rate": f"""SELECT tenant_id, eval_id, CAST(count(*) FILTER {_PASS} OVER w AS BIGINT) AS passed, count(*) OVER w AS seen,
-        round(count(*) FILTER {_PASS} OVER w / count(*) OVER w, 6) AS pass_rate
+        count(*) FILTER {_PASS} OVER w / count(*) OVER w AS pass_rate
       FROM evals_v WINDOW w AS (PARTITION BY tenant_id ORDER BY evaluated_at, eval_id ROWS UNBOUNDED PRECEDING)""",
 }
 ORACLES = {name: with_views(sql) for name, sql in ORACLES.items()}

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import iso
-from emberwatch.operators import ingest, metrics, portal, security
+from emberwatch.operators import anomaly, ingest, metrics, portal, security
 from emberwatch.operators.evaluate import cost
 from emberwatch.plans import anomaly as anomaly_plans
 from emberwatch.plans import context as context_plans
@@ -50,6 +50,9 @@ def _counters(t: Tables) -> DataFrame:
     parts = {
         "ingested": metrics.metric_counters(ingested, ["label", "tenant_id"]),
         "anomalies": metrics.metric_counters(anomaly_plans.merged(t).withColumnRenamed("anomaly_type", "label"), ["label", "tenant_id"]),
+        "verifications": metrics.metric_counters(
+            t.alerts.join(anomaly_plans.verdicts(t), "alert_id").withColumn(
+                "label", F.when(anomaly.is_yes("verdict"), "confirmed").otherwise("false_positive")), ["label", "tenant_id"]),
         "investigations": metrics.metric_counters(
             t.rca.withColumn("label", F.concat_ws("/", "status", "model_used")), ["label", "tenant_id"]),
         "failures": metrics.metric_counters(
@@ -193,6 +196,8 @@ ORACLES["metric_counters"] = _body(_MERGED + ", " + _PARSED, """, cnt AS (
     SELECT 'ingested' AS metric, CASE WHEN reason IS NULL THEN 'accepted' ELSE 'rejected' END AS label,
            coalesce(nullif(meta_tenant, ''), 'unknown') AS tenant_id, 1 AS v FROM checked
     UNION ALL SELECT 'anomalies', anomaly_type, tenant_id, 1 FROM merged
+    UNION ALL SELECT 'verifications', CASE WHEN severity IN ('HIGH', 'CRITICAL') THEN 'confirmed' ELSE 'false_positive' END,
+      tenant_id, 1 FROM alerts_v WHERE status = 'open'
     UNION ALL SELECT 'investigations', status || '/' || model_used, tenant_id, 1 FROM rca_v
     UNION ALL SELECT 'failures', failure_reason, tenant_id, 1 FROM rca_v WHERE status = 'failed'
     UNION ALL SELECT 'tokens', 'input', tenant_id, input_tokens FROM rca_v

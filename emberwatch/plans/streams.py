@@ -40,7 +40,7 @@ QUERIES = {
         flows.as_stream(anomaly.error_vectors(t)), threshold=0.3))
         .select("tenant_id", "service", "id", F.round("similarity", 6).alias("similarity")),
     "stream_pass_rate": lambda t: flows.run_to_table(
-        flows.pass_rate_stream(flows.as_stream(t.evals)), mode="complete").withColumn("pass_rate", F.round("pass_rate", 6)),
+        flows.pass_rate_stream(flows.as_stream(t.evals)), mode="complete"),
     "log_sink": _sink,
 }
 
@@ -57,7 +57,7 @@ ORACLES = {
     "stream_pass_rate": with_views("""
         SELECT tenant_id, CAST(count(*) FILTER (faithfulness_score > 0.7 AND hallucination_score > 0.7) AS BIGINT) AS passed,
                count(*) AS seen,
-               round(count(*) FILTER (faithfulness_score > 0.7 AND hallucination_score > 0.7) / count(*), 6) AS pass_rate
+               count(*) FILTER (faithfulness_score > 0.7 AND hallucination_score > 0.7) / count(*) AS pass_rate
         FROM evals_v GROUP BY tenant_id"""),
     "log_sink": with_views("""
         SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, tenant_id, count(*) AS logs, count(DISTINCT log_id) AS ids

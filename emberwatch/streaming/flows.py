@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.operators.evaluate import is_passed
-from emberwatch.operators.ingest import batch_dedup_trace, sink_rows, upsert_latest
+from emberwatch.operators.ingest import bad_tenants, batch_dedup_trace, dead_letter, sink_rows, upsert_latest
 from emberwatch.session import shared_dir
 from emberwatch.sources.tables import week_start
 
@@ -30,10 +30,19 @@ def pass_rate_stream(evals: DataFrame) -> DataFrame:
 
 
 def log_sink(logs: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None,
-             dedup_traces: bool = False) -> StreamingQuery:
+             dedup_traces: bool = False, dead_letters: str | None = None) -> StreamingQuery:
     """Write each micro-batch into its own folder, partitioned by week. A replayed batch overwrites
-    its folder, so every row lands once. Within a batch repeated traces can be dropped on request."""
+    its folder, so every row lands once. Within a batch repeated traces can be dropped on request.
+
+    With ``dead_letters`` tenants must be UUIDs: a batch with any other tenant is not stored but goes
+    to that folder as a whole.
+    """
     def write(batch: DataFrame, batch_id: int) -> None:
+        if dead_letters is not None and not bad_tenants(batch).isEmpty():
+            failed = batch.withColumns({"_why": F.lit("invalid tenant id"), "_value": F.to_json(F.struct("*"))})
+            (dead_letter(failed, topic="logs.enriched", reason="_why", payload="_value", seen="ts")
+             .write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}"))
+            return
         rows = sink_rows(batch).withColumn("week", week_start(F.col("ts")))
         if dedup_traces:
             rows = batch_dedup_trace(rows.withColumn("_b", F.lit(0)), batch="_b", order="log_id").drop("_b")

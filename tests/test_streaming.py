@@ -1,6 +1,7 @@
 """Several micro-batches, restarts and late rows: the streaming forms equal the batch forms."""
 
 import datetime as dt
+import os
 import random
 
 from pyspark.sql import functions as F
@@ -88,6 +89,21 @@ def test_log_sink_writes_each_row_once_on_replay(spark):
     assert "week" in got.columns
 
 
+def test_log_sink_sends_bad_batches_to_dead_letters(spark):
+    uid = "3f2b8c1e-9a4d-4c6b-8e2f-0123456789ab"
+    df = spark.createDataFrame([(1, uid, uid, T0), (2, "nope", uid, T0)], "log_id int, tenant_id string, trace_id string, ts timestamp"
+                               ).withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    for rows_in, stored, dead in ((df, 0, 2), (df.where("log_id = 1"), 1, 0)):
+        out, bad = flows.scratch(spark, "out"), flows.scratch(spark, "dead")
+        flows.log_sink(flows.as_stream(rows_in), out, flows.scratch(spark, "cp"), trigger={"availableNow": True},
+                       dead_letters=bad, dedup_traces=True).awaitTermination()
+        for path, n in ((out, stored), (bad, dead)):
+            if n:
+                assert spark.read.parquet(path).count() == n
+            else:
+                assert not os.path.exists(path.removeprefix("file:"))
+
+
 def test_change_log_merges_on_read(spark):
     df = spark.createDataFrame([("a", 1, "old", T0), ("a", 2, "new", T0 + dt.timedelta(1)), ("b", 1, "only", T0)],
                                "id string, seq int, v string, created_at timestamp")
