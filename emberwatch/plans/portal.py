@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.functions.text import iso
 from emberwatch.operators import anomaly, ingest, metrics, portal, security
 from emberwatch.operators.evaluate import cost
 from emberwatch.plans import anomaly as anomaly_plans

@@ -27,7 +27,7 @@ def write_weekly(logs: DataFrame, path: str, *, ts_col: str = "ts", files_per_we
 
     A hot week is spread over ``files_per_week`` tasks instead of one.
     """
-    salt = F.pmod(F.xxhash64(*[c for c in logs.columns if c != "metadata"]), F.lit(files_per_week))
+    salt = F.pmod(F.xxhash64("tenant_id", ts_col), F.lit(files_per_week))
     (logs.withColumn("week", week_start(F.col(ts_col)))
          .withColumn("_salt", salt)
          .repartition("week", "_salt")
