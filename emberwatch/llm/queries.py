@@ -6,9 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberwatch.llm import decontam, exact_dedup, license_scan, line_dedup
+from pyspark.sql import functions as F
+
+from emberwatch.llm import (
+    decontam, exact_dedup, html_text, langid, license_scan, line_dedup, packing, quality, simhash, token_counts,
+)
 from emberwatch.llm.common import table
 
+def tokenizer_file(name: str) -> str:
+    """Where the public tokenizer files are on this machine; executors have them at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -16,13 +27,37 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+    digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return out.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), with_ids=False)
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_digest(table(spark, sf_dir, "documents"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
     out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
@@ -76,6 +111,12 @@ FROM marked GROUP BY doc_id, th
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
+    "op3_html_text": op3_html_text,
+    "op4_token_counts": op4_token_counts,
+    "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
+    "op7_quality": op7_quality,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
