@@ -74,63 +74,68 @@ def gram_counts(data: bytes, order: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def freeze(counts: dict[str, dict[int, dict[int, int]]], order: int) -> Model:
-    """counts: language -> context length -> packed (context, byte) -> count."""
+def freeze(counts: dict[str, dict[int, dict[int, int]]], order: int, least: int = 2) -> Model:
+    """counts: language -> context length -> packed (context, byte) -> count. Contexts of the full order that were
+    met less than `least` times in all are left to their suffix: the trees grow deep only where there is evidence."""
     langs = sorted(counts)
-    seen = sorted({g for c in counts.values() for g in c.get(0, {})})
+    grams = {(lang, k): (np.array(list(c), np.int64), np.array(list(c.values()), np.float64))
+             for lang in langs for k, c in counts[lang].items()}
+    nothing = np.empty(0, np.int64), np.empty(0)
+    seen = np.unique(np.concatenate([grams.get((lang, 0), nothing)[0] for lang in langs]))
     size = len(seen) + 1
     symbols = np.full(256, size - 1)
     symbols[seen] = np.arange(len(seen))
+    left = 256 - len(seen)  # bytes behind the last symbol
 
-    def unpack(g: int, k: int) -> tuple[int, ...]:
-        return tuple(int(symbols[g >> 8 * (k - j) & 255]) for j in range(k + 1))
+    def pack(g: np.ndarray, k: int) -> np.ndarray:
+        """Packed bytes to packed symbols, for k + 1 bytes."""
+        out = np.zeros(len(g), np.int64)
+        for j in range(k, -1, -1):
+            out = out * size + symbols[g >> 8 * j & 255]
+        return out
 
-    contexts = [{(): 0}]
-    for k in range(1, order + 1):
-        known = sorted({unpack(g, k)[:-1] for c in counts.values() for g in c.get(k, {})})
-        contexts.append({x: i for i, x in enumerate(known)})
+    packed = {(lang, k): (pack(g, k), c) for (lang, k), (g, c) in grams.items()}
+    contexts = []  # for each length the sorted packed contexts
+    for k in range(order + 1):
+        both = [packed.get((lang, k), nothing) for lang in langs]
+        known, at = np.unique(np.concatenate([g // size for g, _ in both]), return_inverse=True)
+        met = np.bincount(at, np.concatenate([c for _, c in both]), len(known))
+        contexts.append(known[met >= (least if k == order else 1)])
     first = np.cumsum([0] + [len(c) for c in contexts])
     bits = np.empty((int(first[-1]), size, len(langs)), np.float32)
-    left = 256 - len(seen)  # bytes behind the last symbol
     for at, lang in enumerate(langs):
         tables = []
         for k in range(order + 1):
-            held = np.zeros((len(contexts[k]), size))
-            for g, c in counts[lang].get(k, {}).items():
-                *context, symbol = unpack(g, k)
-                held[contexts[k][tuple(context)], symbol] = c
+            g, c = packed.get((lang, k), nothing)
+            row = np.searchsorted(contexts[k], g // size)
+            kept = np.append(contexts[k], -1)[row] == g // size
+            held = np.zeros((len(contexts[k]), size), np.float32)
+            held[row[kept], (g % size)[kept]] = c[kept]
             tables.append(held)
         for k in range(order + 1):
-            for context, row in contexts[k].items():
-                cost = np.zeros(size)
-                open_ = np.ones(size, bool)
-                spent = 0.0
+            for lo in range(0, len(contexts[k]), 4096):
+                own = contexts[k][lo:lo + 4096]
+                cost, spent = np.zeros((len(own), size)), np.zeros((len(own), 1))
+                open_ = np.ones((len(own), size), bool)
                 for j in range(k, -1, -1):
-                    suffix = contexts[j].get(context[k - j:])
-                    if suffix is None:
-                        continue
-                    c = np.where(open_, tables[j][suffix], 0)
-                    n, q = c.sum(), (c > 0).sum()
-                    if q:
-                        here = c > 0
-                        cost[here] = spent - np.log2(c[here] / (n + q))
-                        spent -= np.log2(q / (n + q))
-                        open_ &= ~here
-                cost[open_] = spent + np.log2(open_[:-1].sum() + left)
-                bits[first[k] + row, :, at] = cost
+                    c = np.where(open_, tables[j][np.searchsorted(contexts[j], own % size ** j)], 0)
+                    here, n, q = c > 0, c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        cost = np.where(here, spent - np.log2(c / (n + q)), cost)
+                        spent = np.where(q > 0, spent - np.log2(q / (n + q)), spent)
+                    open_ &= ~here
+                rest = spent + np.log2(open_[:, :-1].sum(axis=1, keepdims=True) + left)
+                bits[first[k] + lo:first[k] + lo + len(own), :, at] = np.where(open_, rest, cost)
     # A context that no language has seen is coded by its longest known suffix.
-    rows = np.zeros(size ** order, np.int32)
+    rows = np.zeros((size,) * order, np.int32)
     for k in range(1, order + 1):
-        for context, row in contexts[k].items():
-            packed = 0
-            for s in context:
-                packed = packed * size + s
-            rows[packed::size ** k] = first[k] + row
-    return Model(langs, symbols, size, order, rows, bits.reshape(-1, len(langs)))
+        digits = np.unravel_index(contexts[k], (size,) * k)
+        rows[(..., *digits)] = first[k] + np.arange(len(contexts[k]))
+    return Model(langs, symbols, size, order, rows.reshape(-1), bits.reshape(-1, len(langs)))
 
 
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          order: int = 3, docs_per_lang: int = 200, max_langs: int = 64) -> Model | None:
+          order: int = 3, docs_per_lang: int = 100, max_langs: int = 64) -> Model | None:
     """Fit on the sample; usable tells the rows that may be learned from."""
     order_by = Window.partitionBy("lang").orderBy("h", "id")
     known = docs.where(usable & docs[lang_col].isNotNull() & docs[id_col].isNotNull())
