@@ -12,6 +12,9 @@ growing chain, and at last the full distance. Keys are formed by distinct finger
 cost nothing. A key that many fingerprints share is cut into blocks, and each pair of blocks is one group of bounded
 size; a group yields a spanning forest of its links, not its pairs, so groups of near copies stay linear in rows.
 
+Wide limits on 64 bits would also link strangers. With check_bits every text has 64 further bits, taken from the same
+hashes by a fixed mixing, and a link needs check_bits or fewer differing bits among all 128 as well.
+
 Documents take the smallest id of their connected component; rows sharing an id stay apart unless linked. Null ids
 are kept and label a component only if all its ids are null. Other columns play no part; an empty table gives no rows.
 """
@@ -34,41 +37,56 @@ BLOCK = 2048
 MATRIX = 512
 
 
-def fingerprint(text: str | None, words: int) -> tuple[int, int]:
-    """The fingerprint as an unsigned number, and the number of shingles."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Further 64 bits from each hash: a multiplication and shifts that spread every bit."""
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def majority(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
+
+
+def fingerprint(text: str | None, words: int, wide: bool = False) -> tuple[int, int, int]:
+    """The fingerprint and its further bits as unsigned numbers, and the number of shingles."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not found:
-        return 0, 0
+        return 0, 0, 0
     joined = b" ".join(found)
     if len(found) <= words:
-        return xxhash.xxh64_intdigest(joined, 42), 1
+        h = xxhash.xxh64_intdigest(joined, 42)
+        return h, int(mixed(np.array([h], np.uint64))[0]) if wide else 0, 1
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
     starts = np.concatenate(([0], ends[:-words])).tolist()
     digest = xxhash.xxh64_digest
     n = len(starts)
-    ones = np.zeros(64, np.int64)
+    ones, more = np.zeros(64, np.int64), np.zeros(64, np.int64)
     stops = (ends[words - 1:] - 1).tolist()
     for lo in range(0, n, 4096):
         raw = b"".join([digest(joined[a:b], 42) for a, b in zip(starts[lo:lo + 4096], stops[lo:lo + 4096])])
         ones += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big"), n
+        if wide:
+            far = mixed(np.frombuffer(raw, ">u8").astype(np.uint64)).astype(">u8")
+            more += np.unpackbits(far.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return majority(ones, n), majority(more, n) if wide else 0, n
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp, shingles, th) per row; fp holds the 64 bits as a signed long, th tells texts of one id apart."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+                 wide: bool = False) -> DataFrame:
+    """(id, fp, more, shingles, th) per row; fp and more hold 64 bits as signed longs, th tells texts of one id apart."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [fingerprint(t.as_py(), words) for t in batch.column("t")]
-            fp = np.array([f for f, _ in made], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(fp), pa.array([n for _, n in made], pa.int64()), batch.column("th")],
-                names=["id", "fp", "shingles", "th"])
+            made = np.array([fingerprint(t.as_py(), words, wide) for t in batch.column("t")], np.uint64).reshape(-1, 3)
+            fp, more, n = (pa.array(np.ascontiguousarray(x).view(np.int64)) for x in made.T)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), fp, more, n, batch.column("th")],
+                                             names=["id", "fp", "more", "shingles", "th"])
 
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("t"),
                        F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("th"))
-    return rows.mapInArrow(run, f"id {kind}, fp long, shingles long, th long")
+    return rows.mapInArrow(run, f"id {kind}, fp long, more long, shingles long, th long")
 
 
 def ring(max_bits: int) -> list[tuple[int, int]]:
@@ -112,8 +130,12 @@ def key_masks(max_bits: int) -> list[tuple[int, int]]:
     return masks
 
 
-def forest(fps: np.ndarray, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Links of a group that pass every chain budget and join all that its links join."""
+def forest(fps: np.ndarray, more: np.ndarray, steps: list[tuple[int, int]], check_bits: int) -> list[tuple[int, int]]:
+    """Links of a group that pass every chain budget and the check, enough to join all that its links join."""
+
+    def checked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(fps[a] ^ fps[b]) + np.bitwise_count(more[a] ^ more[b]) <= check_bits
+
     masks = [(np.uint64(mask), budget) for mask, budget in steps[1:] or steps]
     links: list[tuple[int, int]] = []
     if len(fps) <= MATRIX:
@@ -122,6 +144,8 @@ def forest(fps: np.ndarray, steps: list[tuple[int, int]]) -> list[tuple[int, int
         for mask, budget in masks[1:]:
             near = np.bitwise_count((fps[a] ^ fps[b]) & mask) <= budget
             a, b = a[near], b[near]
+        near = checked(a, b)
+        a, b = a[near], b[near]
         if len(a) <= 4 * len(fps):
             return list(zip(a.tolist(), b.tolist()))
     left = np.arange(len(fps))
@@ -132,6 +156,7 @@ def forest(fps: np.ndarray, steps: list[tuple[int, int]]) -> list[tuple[int, int
             near = left
             for mask, budget in masks:
                 near = near[np.bitwise_count((fps[near] ^ fps[at]) & mask) <= budget]
+            near = near[checked(near, np.full(len(near), at))]
             if len(near):
                 links += [(int(at), int(x)) for x in near]
                 front += near.tolist()
@@ -139,46 +164,50 @@ def forest(fps: np.ndarray, steps: list[tuple[int, int]]) -> list[tuple[int, int
     return links
 
 
-def fingerprint_links(fps: DataFrame, max_bits: int, block: int = BLOCK) -> DataFrame:
-    """(u, v): links between the distinct fingerprints of column fp, enough to join all that are linked."""
+def fingerprint_links(made: DataFrame, max_bits: int, check_bits: int | None = None, block: int = BLOCK) -> DataFrame:
+    """(u, v): links between the distinct (fp, more), enough to join all that are linked."""
     masks, steps = key_masks(max_bits), chains(max_bits)
+    limit = 128 if check_bits is None else check_bits
     signed = [int(np.array(mask, np.uint64).view(np.int64)) for _, mask in masks]
-    keys = fps.select("fp").distinct().select("fp", F.posexplode(F.array(
+    keys = made.select("fp", "more").distinct().select("fp", "more", F.posexplode(F.array(
         *[F.col("fp").bitwiseAND(F.lit(mask)) for mask in signed])).alias("kind", "key"))
     counts = keys.groupBy("kind", "key").agg(F.count("*").alias("n")).where("n > 1")
     shared = keys.join(counts, ["kind", "key"])
     # Block pairs (i, j), i <= j: a member of block i goes to all pairs that hold i; one block stays one group.
     blocks = F.ceil(F.col("n") / block).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    own = F.pmod(F.xxhash64("fp", "more"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
     pair = F.explode(F.when(blocks <= 2, F.array(F.lit(0))).otherwise(pairs)).alias("pair")
-    groups = shared.select("kind", "key", "fp", pair).groupBy("kind", "key", "pair").agg(
-        F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("kind", "fps")
+    groups = shared.select("kind", "key", "fp", "more", pair).groupBy("kind", "key", "pair").agg(
+        F.collect_list(F.struct("fp", "more")).alias("own")).where(F.size("own") > 1).select("kind", "own")
     firsts = [first for first, _ in masks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("fps")
-            values, at = lists.values.to_numpy(), lists.offsets.to_numpy()
-            u, v = [], []
+            lists = batch.column("own")
+            fps, more = (lists.values.field(c).to_numpy() for c in ("fp", "more"))
+            at, ends = lists.offsets.to_numpy(), []
             for i, kind in enumerate(batch.column("kind").to_pylist()):
-                own_fps = values[at[i]:at[i + 1]]
-                for a, b in forest(own_fps.view(np.uint64), steps[firsts[kind]]):
-                    u.append(own_fps[a])
-                    v.append(own_fps[b])
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                lo, hi = at[i], at[i + 1]
+                pairs = forest(fps[lo:hi].view(np.uint64), more[lo:hi].view(np.uint64), steps[firsts[kind]], limit)
+                if pairs:
+                    ends.append(np.array(pairs) + lo)
+            a, b = (np.concatenate(ends) if ends else np.empty((0, 2), np.int64)).T
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fps[a], more[a], fps[b], more[b])],
+                                             names=["fp", "more", "fp2", "more2"])
 
-    return groups.mapInArrow(run, "u long, v long").distinct()
+    links = groups.mapInArrow(run, "fp long, more long, fp2 long, more2 long").distinct()
+    return links.select(F.struct("fp", "more").alias("u"), F.struct(F.col("fp2").alias("fp"), F.col("more2").alias("more")).alias("v"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
-                    max_bits: int = 2, block: int = BLOCK) -> DataFrame:
+                    max_bits: int = 2, check_bits: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: id, th, fp, shingles, component_id (smallest id linked, itself included) and stays,
     true for one text of each component."""
-    made = stored(fingerprints(docs, id_col, text_col, words), "simhash")
-    labels = components(fingerprint_links(made, max_bits, block))
-    labelled = made.join(labels, made["fp"] == labels["node"], "left").select(
-        "id", "th", "fp", "shingles", F.coalesce("label", "fp").alias("label"))
+    made = stored(fingerprints(docs, id_col, text_col, words, check_bits is not None), "simhash")
+    labels = stored(components(fingerprint_links(made, max_bits, check_bits, block)).select("node.*", "label"), "classes")
+    labelled = made.join(labels, ["fp", "more"], "left").select(
+        "id", "th", "fp", "shingles", F.coalesce("label", F.struct("fp", "more")).alias("label"))
     heads = labelled.groupBy("label").agg(
         F.min("id").alias("component_id"),
         F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("head"))
