@@ -17,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import let
+from emberwatch.llm.common import let, stored
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
-#: Sketch rows up to which the items are broadcast; beyond, the search is a shuffled join.
+#: Rows up to which sketches or candidates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
 
@@ -44,40 +44,52 @@ def hashes(found: Column, k: int) -> Column:
         F.array().cast("array<bigint>")))
 
 
-def sketches(items: DataFrame, k: int, threshold: float, item_col: str, text_col: str) -> DataFrame:
-    """(item, q, size_class, shingles, hash): the sketch of the items whose shingles have k words."""
+def item_sets(items: DataFrame, k: int, threshold: float, item_col: str, text_col: str) -> DataFrame:
+    """(item, q, shingles, sketch) of the items whose shingles have k words."""
     rows = items.select(items[item_col].alias("item"), tokens(items[text_col]).alias("w"))
     rows = rows.select("item", F.array_distinct(shingles(F.col("w"), k)).alias("shingles"),
                        F.array_sort(F.array_distinct(hashes(F.col("w"), k))).alias("hashes"))
     rows = rows.withColumn("q", F.size("shingles")).where("q > 0").withColumn("size_class", F.floor(F.log2("q")).cast("int"))
-    largest = F.least(F.lit(2) * F.pow(F.lit(2), F.col("size_class")) - 1, F.lit(2**30))
+    largest = F.pow(F.lit(2), F.col("size_class") + 1) - 1
     length = (F.floor(largest * (1 - threshold) + 1e-9) + 1).cast("int")
-    return rows.select("item", "q", "size_class", "shingles", F.explode(F.slice("hashes", F.lit(1), length)).alias("hash"))
+    return rows.select("item", "q", "shingles", F.slice("hashes", F.lit(1), length).alias("sketch"))
+
+
+def _small(df: DataFrame) -> tuple[DataFrame, bool]:
+    """df with a broadcast hint if its rows are few, and whether they are."""
+    few = df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return (F.broadcast(df) if few else df), few
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """(id, item, item_shingles, found, containment) of every contaminated document and item."""
-    lengths = items.select(F.least(F.size(tokens(items[item_text])), F.lit(words)).alias("k")).where("k > 0").distinct()
+    own_words = F.least(F.size(tokens(items[item_text])), F.lit(words))
+    lengths = items.select(own_words.alias("k")).where("k > 0").distinct()
+    th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     parts = []
     for k in sorted(r.k for r in lengths.collect()):  # at most `words` values
-        own = items.where(F.least(F.size(tokens(items[item_text])), F.lit(words)) == k)
-        sketch = sketches(own, k, threshold, item_col, item_text)
-        if sketch.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-            sketch = F.broadcast(sketch)
-        rows = docs.select(docs[id_col].alias("id"), tokens(docs[text_col]).alias("w"))
-        rows = rows.select("id", "w", hashes(F.col("w"), k).alias("h"))
-        rows = rows.select("id", "w", F.explode(F.array_distinct("h")).alias("hash"))
+        sets = stored(item_sets(items.where(own_words == k), k, threshold, item_col, item_text), "items")
+        sketch, few_items = _small(sets.select("item", F.explode("sketch").alias("hash")))
+        rows = docs.select(docs[id_col].alias("id"), th.alias("th"), hashes(tokens(docs[text_col]), k).alias("h"))
+        # The words stay behind: only hashes are exploded, and only hits go on.
+        hits = rows.select("id", "th", F.explode("h").alias("hash")).join(sketch, "hash")
+        pairs = stored(hits.select(F.col("id").alias("pair_id"), F.col("th").alias("pair_th"), "item").distinct(), "candidates")
+        pairs, _ = _small(pairs)
+        met = docs[id_col].eqNullSafe(F.col("pair_id")) & (th == F.col("pair_th"))
+        near = docs.join(pairs, met).select("pair_id", "item", tokens(docs[text_col]).alias("w"))
+        sets = sets.withColumnRenamed("item", "set_item")
+        near = near.join(F.broadcast(sets) if few_items else sets, F.col("item").eqNullSafe(F.col("set_item")))
         found = F.size(F.array_intersect(F.col("shingles"), shingles(F.col("w"), k)))
-        hits = rows.join(sketch, "hash").select("id", "item", "q", found.alias("found"))
-        parts.append(hits.where(F.col("found") >= threshold * F.col("q") - 1e-9))
+        near = near.select(F.col("pair_id").alias("id"), "item", "q", found.alias("found"))
+        parts.append(near.groupBy("id", "item", "q").agg(F.max("found").alias("found")))
     if not parts:
-        empty = docs.select(docs[id_col].alias("id")).limit(0).crossJoin(items.select(items[item_col].alias("item")).limit(0))
-        parts = [empty.select("id", "item", F.lit(0).alias("q"), F.lit(0).alias("found"))]
+        none = docs.select(docs[id_col].alias("id")).limit(0)
+        parts = [none.select("id", F.lit(None).cast(items.schema[item_col].dataType).alias("item"), F.lit(0).alias("q"), F.lit(0).alias("found"))]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    out = out.groupBy("id", "item", "q").agg(F.max("found").alias("found"))
+    out = out.where(F.col("found") >= threshold * F.col("q") - 1e-9)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), F.col("q").cast("long").alias("item_shingles"),
                       F.col("found").cast("long").alias("found"), (F.col("found") / F.col("q")).alias("containment"))
 
