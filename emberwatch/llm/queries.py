@@ -109,6 +109,44 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id, th
 """
 
+_LICENSE_ROWS = ", ".join(
+    f"({n}, '{text}', '{label}', {str(base).lower()})" for n, (text, label, base) in enumerate(
+        [(t, x, True) for t, x in license_scan.BASE.items()] + [(t, x, False) for x, t in license_scan.NOTICES.items()]))
+
+OP10_SQL = rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents),
+templates AS (
+  SELECT template, label, is_base, string_split(phrase, ' ') AS w, least(3, len(string_split(phrase, ' '))) AS k
+  FROM (VALUES {_LICENSE_ROWS}) AS t(template, phrase, label, is_base)),
+known AS (
+  SELECT template, label, is_base, k, len(w) - k + 1 AS grams, i - 1 AS tpos, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM templates)),
+grams AS (
+  SELECT rid, k, i - 1 AS pos, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT rid, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM templates) WHERE len(w) >= k)),
+votes AS (
+  SELECT rid, template, label, is_base, k, grams, pos - tpos AS diagonal, list(tpos) AS ats, min(pos) AS lo, max(pos) + k - 1 AS hi
+  FROM grams JOIN known USING (k, gram) GROUP BY rid, template, label, is_base, k, grams, pos - tpos),
+cuts AS (
+  SELECT *, CASE WHEN is_base OR lag(lo) OVER o IS NULL OR abs(diagonal - lag(diagonal) OVER o) > 3 OR lo - lag(hi) OVER o > 4
+            THEN 1 ELSE 0 END AS new
+  FROM votes WINDOW o AS (PARTITION BY rid, template ORDER BY lo, diagonal)),
+runs AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY lo, diagonal) AS run FROM cuts),
+spans AS (
+  SELECT rid, template, label, is_base, run, min(lo) AS first_word, len(list_distinct(flatten(list(ats)))) / grams AS found
+  FROM runs GROUP BY rid, template, label, is_base, run, grams),
+good AS (SELECT * FROM spans WHERE found >= CASE WHEN is_base THEN 1 ELSE 0.7 END)
+SELECT doc_id, len(any_value(w)) AS n_words, count(*) FILTER (is_base) AS n_base, min(first_word) FILTER (is_base) AS first_word,
+       max(first_word) FILTER (is_base) AS last_word,
+       coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (is_base)), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list(DISTINCT label) FILTER (label IS NOT NULL)), ','), '') AS labels,
+       coalesce(max(found), 0) AS score
+FROM docs LEFT JOIN good USING (rid) GROUP BY rid, doc_id
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_simhash": op2_simhash,
@@ -122,4 +160,5 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL}
+ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL,
+                           "op10_license_scan": OP10_SQL}
