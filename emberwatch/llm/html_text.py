@@ -238,8 +238,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     recurring = seen.join(sizes, "host").where(F.col("pages") >= min_share * F.col("all_pages")).select("host", "tree")
     recurring = stored(recurring, "templates")
     cut = once.join(recurring, ["host", "tree"]).groupBy("host", "page").agg(F.collect_set("tree").alias("cut"))
-    rest = parsed.select("id", "url", "host", "page", "blocks").join(cut, ["host", "page"], "left")
+    # Blocks with nothing deletable around them are final: only pages with others are shuffled to their cuts.
+    parsed = parsed.select("id", "url", "host", "page", "blocks", F.exists("blocks", lambda b: F.size(b["around"]) > 0).alias("open"))
+    rest = parsed.where("open").join(cut, ["host", "page"], "left")
     left = F.filter("blocks", lambda b: F.col("cut").isNull() | ~F.arrays_overlap(b["around"], F.col("cut")))
-    text = F.array_join(F.transform(left, lambda b: b["line"]), "\n\n")
-    return rest.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn(
+    out = rest.select("id", "url", left.alias("blocks")).unionByName(parsed.where("NOT open").select("id", "url", "blocks"))
+    text = F.array_join(F.transform("blocks", lambda b: b["line"]), "\n\n")
+    return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long"))
