@@ -80,7 +80,10 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 150) -> np.ndarray:
     """Logistic regression by accelerated gradient steps."""
-    rate = 4 / (np.linalg.norm(x, 2) ** 2 / len(x) + 4 * ridge)
+    top = np.ones(x.shape[1])
+    for _ in range(30):  # power iterations towards the largest curvature
+        top = x.T @ (x @ (top / np.linalg.norm(top)))
+    rate = 3.6 / (np.linalg.norm(top) / len(x) + 4 * ridge)
     w = ahead = np.zeros(x.shape[1])
     for t in range(1, steps + 1):
         new = ahead - rate * (x.T @ (sigmoid(x @ ahead) - y) / len(x) + ridge * ahead)
@@ -160,8 +163,8 @@ def _matrices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 COLUMNS = {"id": "doc_id", "text": "text", "source": "source", "lang": "lang", "n_chars": "n_chars"}
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id", labelled: int = 3000,
-          pool: int = 3000, rounds: int = 6, per_round: int = 100, columns: dict[str, str] | None = None) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id", labelled: int = 2000,
+          pool: int = 2000, rounds: int = 6, per_round: int = 100, columns: dict[str, str] | None = None) -> Model | None:
     """Fit on the bounded samples."""
     columns = COLUMNS | (columns or {})
     marks = labels.where(labels[label_col].isNotNull() & labels[label_id].isNotNull()).groupBy(
@@ -178,16 +181,16 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta = _matrices(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("y"), pa.array(list(text.astype(np.float32))), pa.array(list(meta.astype(np.float32)))],
-                names=["id", "y", "text", "meta"])
+            packed = [pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary()) for x in (text, meta)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *packed], names=["id", "y", "text", "meta"])
 
     rows = _features(docs, columns).join(wanted, "id")
     kind = docs.schema[columns["id"]].dataType.simpleString()
-    sample = rows.mapInArrow(run, f"id {kind}, y double, text array<float>, meta array<float>").toPandas()
-    sample = sample.assign(k=[hash(tuple(m)) for m in sample["meta"]]).sort_values(["id", "k"], kind="stable").drop_duplicates("id")
+    sample = rows.mapInArrow(run, f"id {kind}, y double, text binary, meta binary")
+    # Arrow keeps the numbers packed: some 6 KB a row, at most labelled + pool rows.
+    sample = sample.toArrow().to_pandas().sort_values(["id", "text", "meta"], kind="stable").drop_duplicates("id")
     known = sample["y"].notna().to_numpy()
-    text, meta = np.stack(sample["text"]).astype(float), np.stack(sample["meta"]).astype(float)
+    text, meta = (np.stack([np.frombuffer(x, np.float32) for x in sample[c]]) for c in ("text", "meta"))
     return cotrain(text[known], meta[known], sample["y"].to_numpy()[known], text[~known], meta[~known], rounds, per_round)
 
 
