@@ -184,17 +184,17 @@ def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows:
                             "anomaly_type": F.lit("new_error_pattern")})
 
 
-def evict_oldest(baseline: DataFrame, *, max_size: int = 10_000, batch: int = 1_000) -> DataFrame:
-    """Rows that survive eviction: a tenant above ``max_size`` loses its oldest ``batch`` rows.
+def evict_oldest(baseline: DataFrame, *, max_size: int, batch: int, chunk_s: int = 3600) -> DataFrame:
+    """Rows that survive when every insert above ``max_size`` evicts the tenant's oldest ``batch`` rows.
 
-    Only sizes and the position of the last evicted row are gathered (one row per tenant).
+    Rows arrive by (``ts``, ``id``). The first eviction comes with row ``max_size + 1``, the next ones after every
+    ``batch`` rows, so a tenant of n rows has seen ``1 + floor((n - max_size - 1) / batch)`` of them. Places in the
+    order come from running counts over time chunks, so no tenant is sorted in one task.
     """
-    sizes = baseline.groupBy("tenant_id").agg(F.count("*").alias("_size"))
-    oldest = newest(baseline.select("tenant_id", "ts", "id"), ["tenant_id"], ["ts", "id"], batch)
-    edge = oldest.groupBy("tenant_id").agg(F.max(F.struct("ts", "id")).alias("_edge")).join(sizes, "tenant_id")
-    return (baseline.join(edge, "tenant_id")
-            .where((F.col("_size") <= max_size) | (F.struct("ts", "id") > F.col("_edge")))
-            .drop("_size", "_edge"))
+    sizes = baseline.groupBy("tenant_id").agg(F.count("*").alias("_n"))
+    gone = F.when(F.col("_n") > max_size, (1 + F.floor((F.col("_n") - max_size - 1) / batch)) * batch).otherwise(0)
+    placed = running(with_chunk(baseline, F.col("ts"), chunk_s), ["tenant_id"], ["ts", "id"], {"_place": ("count", "id")})
+    return placed.join(sizes, "tenant_id").where(F.col("_place") > gone).select(*baseline.columns)
 
 
 def merge_detectors(stat: DataFrame, sem: DataFrame, keys: list[str]) -> DataFrame:
@@ -218,7 +218,7 @@ def merge_detectors(stat: DataFrame, sem: DataFrame, keys: list[str]) -> DataFra
                     m.nearest_message.alias("nearest_message")))
 
 
-def anomaly_description(merged: DataFrame, *, threshold: float = 0.7, preview: int = 60) -> DataFrame:
+def anomaly_description(merged: DataFrame, *, threshold: float = 0.7, preview: int | None = None) -> DataFrame:
     """Wire type and the sentence given to reviewers."""
     def text(c: str) -> Column:
         return F.coalesce(F.col(c).cast("string"), F.lit("?"))
@@ -237,7 +237,7 @@ def anomaly_description(merged: DataFrame, *, threshold: float = 0.7, preview: i
         .when(kind == "new_error_pattern", F.concat(
             F.lit("Novel error pattern detected: similarity="), text("similarity"),
             F.lit(f" below threshold={threshold}"),
-            F.when(near != "", F.concat(F.lit(". Nearest known pattern: '"), F.substring(near, 1, preview), F.lit("'")))
+            F.when(near != "", F.concat(F.lit(". Nearest known pattern: '"), near if preview is None else F.substring(near, 1, preview), F.lit("'")))
              .otherwise(F.lit(""))))
         .when(kind == "combined", F.concat(
             F.lit("Multiple anomaly signals: statistical Z-score="), text("z_score"),
@@ -308,7 +308,8 @@ def alert_cooldown(candidates: DataFrame, *, cooldown_s: int = 60, chunk_s: int
 
     Columns in: tenant_id, service, id, ts; ties on time go to the smaller id. A gap of exactly the
     cooldown accepts. The greedy chain is cut into time chunks: each chunk is reduced to a map from
-    entry point to last accepted time, the maps are folded per series (a few rows per chunk), and
+    entry point to last accepted time (a row per entry point within one cooldown of the chunk's start, at most), the
+    maps are folded per series, and
     each chunk is then replayed from its true entry state.
     """
     chunk_s = chunk_s or max(60 * cooldown_s, 3600)
@@ -325,7 +326,7 @@ def alert_cooldown(candidates: DataFrame, *, cooldown_s: int = 60, chunk_s: int
                            f"tenant_id string, service string, id {dict(candidates.dtypes)['id']}, ts timestamp"))
 
 
-def recent_errors(logs: DataFrame, *, k: int = 10) -> DataFrame:
+def recent_errors(logs: DataFrame, *, k: int) -> DataFrame:
     return newest(logs.where(F.col("level").isin(*ERROR_LEVELS)), SERIES,
                   [F.desc("ts"), F.desc("log_id")], k)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import strip
@@ -12,10 +12,11 @@ TOKENS_PER_HIT = 2000        # fixed value: estimated tokens of one saved invest
 USD_PER_TOKEN = 0.00001      # fixed value: estimated price
 
 
-def cache_query_text(incidents: DataFrame, *, context: str = "compressed_context", chars: int = 200) -> DataFrame:
-    """Text used for both writing and reading: services, severity, start of the context."""
+def cache_query_text(incidents: DataFrame, *, context: str = "compressed_context", chars: int | None = None) -> DataFrame:
+    """Text used for both writing and reading: services, severity and the context, or its first ``chars``."""
+    said = F.coalesce(context, F.lit(""))
     return incidents.withColumn("query_text", strip(F.concat_ws(
-        " ", F.array_join("affected_services", " "), "severity", F.substring(F.coalesce(context, F.lit("")), 1, chars))))
+        " ", F.array_join("affected_services", " "), "severity", said if chars is None else F.substring(said, 1, chars))))
 
 
 def cache_lookup(queries: DataFrame, entries: DataFrame, *, threshold: float = 0.92, ttl_s: int = 86400,
@@ -33,7 +34,7 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, *, threshold: float = 0
          .select("tenant_id", F.col("entry_id").alias("item_id"), "embedding", F.unix_micros("created_at").alias("at")))
     b = F.floor(F.col("at") / ttl_us).cast("long")
     e = e.withColumn("_bucket", F.explode(F.array(b, b + 1)))
-    best = blocked_scores(q, e, ["tenant_id", "_bucket"], k=1, max_age_us=ttl_us, block_rows=block_rows)
+    best = blocked_scores(q, e, ["tenant_id", "_bucket"], k=1, max_age_us=ttl_us, block_rows=block_rows, clip=True)
     found = best.select("query_id", "tenant_id", "item_id", "similarity")
     live = entries.select("tenant_id", F.col("entry_id").alias("item_id"), "rca_result")
     scored = (queries.drop("embedding").join(found, ["query_id", "tenant_id"], "left")
@@ -64,7 +65,14 @@ def cache_write(evals: DataFrame, rca: DataFrame) -> DataFrame:
                     F.to_json(F.struct("rca_id", "root_cause")).alias("rca_result"), "created_at"))
 
 
-def cache_stats(looked_up: DataFrame, entries: DataFrame) -> DataFrame:
+def cache_stats(looked_up: DataFrame, entries: DataFrame, *, as_of: Column | None = None, ttl_s: int = 86400) -> DataFrame:
+    """Hits, misses and stored keys per tenant. An entry is stored while ``as_of - ttl < created_at <= as_of``
+    (default: the newest entry or question)."""
+    if as_of is None:
+        newest = entries.agg(F.max("created_at").alias("t")).unionByName(looked_up.agg(F.max("asked_at").alias("t")))
+        as_of = newest.agg(F.max("t")).scalar()
+    age = F.unix_micros(as_of) - F.unix_micros("created_at")
+    entries = entries.where((age >= 0) & (age < ttl_s * 1_000_000))
     used = looked_up.groupBy("tenant_id").agg(F.count_if("cache_hit").alias("hits"),
                                               F.count_if(~F.col("cache_hit")).alias("misses"))
     stored = entries.groupBy("tenant_id").agg(F.count("*").alias("keys_stored"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import price
 from emberwatch.functions.text import clip, short_iso
-from emberwatch.operators.ordered import CHUNK, newest, running, with_chunk
+from emberwatch.operators.ordered import CHUNK, newest, running, window_join, with_chunk
 from emberwatch.operators.vectors import blocked_scores
 
 DEFAULT_SCORE = 0.75  # fixed value: score of an unreadable judgement
@@ -49,13 +49,25 @@ def eval_mode(results: DataFrame, ground_truth: DataFrame, similarity: DataFrame
             .drop("_g", "_s", "_h"))
 
 
-def evidence_logs(results: DataFrame, logs: DataFrame, *, k: int = 20, max_chars: int = 3000) -> DataFrame:
-    """Newest error lines of the result's service. Built once per (tenant, service), then joined."""
+def evidence_lines(results: DataFrame, logs: DataFrame, *, hours: int = 1) -> DataFrame:
+    """Error lines of the result's service in the ``hours`` up to the result, as rows: rca_id, log_id, line."""
+    line = F.concat(short_iso(F.col("ts")), F.lit("Z ["), "level", F.lit("]: "), "message")
+    errors = logs.where(F.col("level").isin("ERROR", "FATAL")).select("tenant_id", "service", "log_id", "ts", line.alias("line"))
+    wanted = results.select("rca_id", "tenant_id", "service", "created_at")
+    met = window_join(wanted, errors, ["tenant_id", "service"], at=F.col("created_at"), ts=F.col("ts"), span_s=hours * 3600)
+    return met.select("rca_id", "tenant_id", "service", "log_id", "line")
+
+
+def evidence_logs(results: DataFrame, logs: DataFrame, *, k: int, max_chars: int | None = None) -> DataFrame:
+    """Newest ``k`` error lines of the result's service as one text. Built once per (tenant, service), then
+    joined; ``evidence_lines`` gives all lines before each result as rows."""
     top = newest(logs.where(F.col("level").isin("ERROR", "FATAL")), ["tenant_id", "service"],
                  [F.desc("ts"), F.desc("log_id")], k)
     line = F.concat(short_iso(F.col("ts")), F.lit("Z ["), "level", F.lit("]: "), "message")
     parts = F.array_sort(F.collect_list(F.struct("_rank", line.alias("line"))))
-    text = F.substring(F.array_join(F.transform(parts, lambda p: p["line"]), "\n"), 1, max_chars)
+    text = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
+    if max_chars is not None:
+        text = F.substring(text, 1, max_chars)
     evidence = top.groupBy("tenant_id", "service").agg(text.alias("_e"))
     return (results.join(evidence, ["tenant_id", "service"], "left")
             .withColumn("evidence", F.coalesce("_e", F.lit(NO_LOGS))).drop("_e"))
@@ -95,22 +107,22 @@ def learn(evals: DataFrame, results: DataFrame, *, f_min: float = 0.8, h_min: fl
                     F.lit("auto_learned").alias("source"), F.col("evaluated_at").alias("created_at")))
 
 
-def notify_candidates(evals: DataFrame, results: DataFrame, *, f_min: float = 0.7, max_chars: int = 500) -> DataFrame:
-    """Critical results with a trusted explanation; the cause is cut with an ellipsis."""
+def notify_candidates(evals: DataFrame, results: DataFrame, *, f_min: float = 0.7, max_chars: int | None = None) -> DataFrame:
+    """Critical results with a trusted explanation; beyond ``max_chars`` the cause is cut with an ellipsis."""
     return (evals.where(F.col("faithfulness_score") > f_min).select("eval_id", "rca_id", "tenant_id", "faithfulness_score")
             .join(results.where(F.col("severity") == "CRITICAL"), ["rca_id", "tenant_id"])
             .select("eval_id", "rca_id", "tenant_id", "faithfulness_score",
                     F.when(F.size("affected_services") > 0, F.array_join("affected_services", ", "))
                      .otherwise("unknown").alias("services"),
-                    clip(F.col("root_cause"), max_chars, "…").alias("root_cause")))
+                    (F.col("root_cause") if max_chars is None else clip(F.col("root_cause"), max_chars, "…")).alias("root_cause")))
 
 
-def _recent(evals: DataFrame, k: int) -> DataFrame:
+def _recent(evals: DataFrame, k: int | None) -> DataFrame:
     return newest(evals, ["tenant_id"], [F.desc("evaluated_at"), F.desc("eval_id")], k)
 
 
-def eval_summary(evals: DataFrame, tenants: DataFrame, *, k: int = 1000) -> DataFrame:
-    """Averages, costs and mode counts over the newest ``k`` evaluations; zeros for a tenant without."""
+def eval_summary(evals: DataFrame, tenants: DataFrame, *, k: int | None = None) -> DataFrame:
+    """Averages, costs and mode counts over all or the newest ``k`` evaluations; zeros for a tenant without."""
     def avg(c: str, digits: int) -> Column:
         return F.round(F.coalesce(F.avg(c), F.lit(0.0)), digits)
 
@@ -124,8 +136,8 @@ def eval_summary(evals: DataFrame, tenants: DataFrame, *, k: int = 1000) -> Data
             .withColumn("pass_rate", F.round(F.coalesce(F.try_divide("passed_count", "total_evaluations"), F.lit(0.0)), 4)))
 
 
-def ab_faithfulness(evals: DataFrame, *, k: int = 1000) -> DataFrame:
-    """Mean faithfulness per prompt version over the newest ``k`` evaluations that have a version."""
+def ab_faithfulness(evals: DataFrame, *, k: int | None = None) -> DataFrame:
+    """Mean faithfulness per prompt version over all or the newest ``k`` evaluations that have a version."""
     return (_recent(evals.where(F.col("prompt_version").isNotNull()), k)
             .groupBy("tenant_id", "prompt_version")
             .agg(F.round(F.coalesce(F.avg("faithfulness_score"), F.lit(0.0)), 4).alias("avg_faithfulness")))

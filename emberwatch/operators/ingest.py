@@ -72,12 +72,14 @@ def batch_dedup_trace(df: DataFrame, *, batch: str, order: str, trace: str = "tr
 
 
 def dead_letter(rejected: DataFrame, *, topic: str, reason: str, payload: str, seen: str,
-                retries: int = 0, max_chars: int = 5000) -> DataFrame:
-    """Envelope for rows that could not be processed; the payload is cut as the contract says."""
+                retries: int | Column = 0, max_chars: int | None = None) -> DataFrame:
+    """Envelope for rows that could not be processed, with their whole payload unless ``max_chars`` is given."""
+    whole = F.col(payload)
+    tries = F.lit(retries) if isinstance(retries, int) else retries
     return rejected.select(
         F.lit(topic).alias("original_topic"), F.col(reason).alias("failure_reason"),
-        F.lit(retries).alias("retry_count"), F.col(seen).alias("first_seen_at"),
-        F.col(seen).alias("last_attempt_at"), F.substring(payload, 1, max_chars).alias("original_payload"))
+        tries.alias("retry_count"), F.col(seen).alias("first_seen_at"),
+        F.col(seen).alias("last_attempt_at"), (whole if max_chars is None else F.substring(whole, 1, max_chars)).alias("original_payload"))
 
 
 def missing_fields(messages: DataFrame, fields: list[str], *, value: str = "value") -> DataFrame:

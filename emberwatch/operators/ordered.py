@@ -59,8 +59,24 @@ def running(df: DataFrame, keys: list[str], order: list[str], aggs: dict[str, tu
             .drop(*[f"_c_{o}" for o in aggs]))
 
 
-def newest(df: DataFrame, keys: list[str], order: list, k: int, *, rank: str = "_rank") -> DataFrame:
-    """First ``k`` rows per key in ``order``. For k up to 1000 (Spark's default limit for it) every
+def window_join(wanted: DataFrame, rows: DataFrame, keys: list[str], *, at: Column, ts: Column, span_s: int) -> DataFrame:
+    """Pairs with equal ``keys`` and ``at - span < ts <= at``.
+
+    Both sides meet in time buckets as long as the span, so each wanted row is copied to two buckets and reads
+    two buckets of its key, not the key's history.
+    """
+    width = span_s * 1_000_000
+    slot = F.floor(F.col("_at") / width)
+    left = wanted.withColumn("_at", F.unix_micros(at)).withColumn("_slot", F.explode(F.array(slot - 1, slot)))
+    right = rows.withColumn("_ts", F.unix_micros(ts)).withColumn("_slot", F.floor(F.col("_ts") / width))
+    near = (F.col("_ts") <= F.col("_at")) & (F.col("_ts") > F.col("_at") - width)
+    return left.join(right, [*keys, "_slot"]).where(near).drop("_at", "_ts", "_slot")
+
+
+def newest(df: DataFrame, keys: list[str], order: list, k: int | None, *, rank: str = "_rank") -> DataFrame:
+    """First ``k`` rows per key in ``order``; without ``k`` all rows, and no rank. For k up to 1000 (Spark's default limit for it) every
     task trims to k rows per key before the shuffle, so a hot key sends k rows per task."""
+    if k is None:
+        return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)

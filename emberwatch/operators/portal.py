@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import clip
@@ -20,10 +20,10 @@ def optional(df: DataFrame, **filters: str | None) -> DataFrame:
     return df
 
 
-def recent_logs(logs: DataFrame, *, service: str | None = None, level: str | None = None, limit: int = 20) -> DataFrame:
-    """Newest logs per tenant; at most 100 each."""
+def recent_logs(logs: DataFrame, *, service: str | None = None, level: str | None = None, limit: int) -> DataFrame:
+    """The ``limit`` newest logs per tenant."""
     return newest(optional(logs, service=service, level=level), ["tenant_id"],
-                  [F.desc("ts"), F.desc("log_id")], min(limit, 100), rank="position")
+                  [F.desc("ts"), F.desc("log_id")], limit, rank="position")
 
 
 def _latest_incident(incidents: DataFrame, cols: list[str]) -> DataFrame:
@@ -64,13 +64,13 @@ def alert_detail(alerts: DataFrame, incidents: DataFrame, rca: DataFrame) -> Dat
     return joined.join(results, ["tenant_id", "incident_id"], "left")
 
 
-def investigations(rca: DataFrame, *, status: str | None = None, limit: int = 50, chars: int = 200) -> DataFrame:
-    """Newest results per tenant, causes cut for display."""
-    return (newest(optional(rca, status=status), ["tenant_id"], [F.desc("created_at"), F.desc("rca_id")], limit,
-                   rank="position").withColumn("root_cause", clip(F.col("root_cause"), chars)))
+def investigations(rca: DataFrame, *, status: str | None = None, limit: int, chars: int | None = None) -> DataFrame:
+    """The ``limit`` newest results per tenant; causes are cut for display if ``chars`` is given."""
+    page = newest(optional(rca, status=status), ["tenant_id"], [F.desc("created_at"), F.desc("rca_id")], limit, rank="position")
+    return page if chars is None else page.withColumn("root_cause", clip(F.col("root_cause"), chars))
 
 
-def failed_investigations(rca: DataFrame, *, limit: int = 50) -> DataFrame:
+def failed_investigations(rca: DataFrame, *, limit: int) -> DataFrame:
     return investigations(rca, status="failed", limit=limit)
 
 
@@ -99,13 +99,12 @@ def manual_trigger_payload(incidents: DataFrame, alerts: DataFrame, *, model: st
                  F.lit(".")).alias("incident_description"), "created_at"))
 
 
-def security_events_page(events: DataFrame, *, event_type: str | None = None, limit: int = 50,
-                         order: Column | str = "event_id") -> DataFrame:
-    """Newest events per tenant with the total before the limit. The total is an aggregate joined to
+def security_events_page(events: DataFrame, *, event_type: str | None = None, limit: int) -> DataFrame:
+    """The ``limit`` newest events per tenant with the total before the limit. The total is an aggregate joined to
     the few page rows, not a count over the whole partition."""
     wanted = optional(events, event_type=event_type).withColumn("tenant_id", F.coalesce("tenant_id", F.lit("unknown")))
     total = wanted.groupBy("tenant_id").agg(F.count("*").alias("total"))
-    return newest(wanted, ["tenant_id"], [F.desc(order), F.desc("event_id")], limit, rank="position").join(total, "tenant_id")
+    return newest(wanted, ["tenant_id"], [F.desc("logged_at"), F.desc("event_id")], limit, rank="position").join(total, "tenant_id")
 
 
 def kb_stats(past: DataFrame) -> DataFrame:

@@ -12,8 +12,8 @@ from emberwatch.operators.ordered import newest
 from emberwatch.operators.vectors import blocked_scores, hash_bands
 
 
-def corpus_recent(past: DataFrame, *, k: int = 200) -> DataFrame:
-    """Newest ``k`` incidents per tenant with their search text."""
+def corpus_recent(past: DataFrame, *, k: int | None = None) -> DataFrame:
+    """Incidents with their search text: all, or the newest ``k`` of each tenant."""
     return (newest(past, ["tenant_id"], [F.desc("created_at"), F.desc("incident_id")], k).drop("_rank")
             .withColumn("text", F.concat_ws(" ", "description", "root_cause")))
 
@@ -88,8 +88,8 @@ def rerank_topk(fused: DataFrame, scores: DataFrame | None = None, *, k: int = 3
 
 
 def hybrid_search(queries: DataFrame, corpus: DataFrame, query_vectors: DataFrame, vectors: DataFrame, *,
-                  k: int = 3, depth: int = 10) -> DataFrame:
-    """BM25 and vector lists of ``depth``, fused, top ``k``. A query without any result is ``novel``."""
+                  k: int = 3, depth: int) -> DataFrame:
+    """BM25 and vector lists of ``depth`` (required: ranks beyond it do not enter the fusion), fused, top ``k``. A query without any result is ``novel``."""
     words = bm25_topk(queries, corpus, k=depth).withColumnRenamed("incident_id", "item_id")
     near = vector_topk(query_vectors, vectors, k=depth)
     top = rerank_topk(rrf(words, near), k=k)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import ab_variant
+from emberwatch.operators.ordered import running, with_chunk
 
 # Default model per severity for premium tenants, for standard ones and past the budget.
 ROUTES = {
@@ -28,10 +29,26 @@ def unknown_tenant(incidents: DataFrame, tenants: DataFrame) -> DataFrame:
     return incidents.join(tenants, "tenant_id", "left_anti")
 
 
+def spend_so_far(incidents: DataFrame, evals: DataFrame, *, chunk_s: int = 3600) -> DataFrame:
+    """Per incident, what its tenant had spent on the incident's UTC day up to the incident itself.
+
+    Evaluations and incidents form one timeline per tenant and day; running sums over its chunks. Costs are added
+    as decimals, so the sum does not depend on the order.
+    """
+    cost = F.col("cost_usd").cast("decimal(28,9)")
+    spent = evals.select("tenant_id", F.col("evaluated_at").alias("_t"), F.lit(0).alias("_kind"), F.lit("").alias("incident_id"),
+                         F.col("eval_id").alias("_id"), cost.alias("_cost"))
+    asked = incidents.select("tenant_id", F.col("created_at").alias("_t"), F.lit(1).alias("_kind"), "incident_id",
+                             F.col("incident_id").alias("_id"), F.lit(0).cast("decimal(28,9)").alias("_cost"))
+    line = with_chunk(spent.unionByName(asked).withColumn("_day", F.to_date("_t")), F.col("_t"), chunk_s)
+    sums = running(line, ["tenant_id", "_day"], ["_t", "_kind", "_id"], {"_sum": ("sum", "_cost")})
+    return sums.where("_kind = 1").select("incident_id", "tenant_id", F.col("_sum").cast("double").alias("spend"))
+
+
 def route(incidents: DataFrame, tenants: DataFrame, spend: DataFrame, *, low_skip: bool = False,
           standard_model: str = STANDARD_MODEL, fallback: str = OVER_BUDGET_MODEL) -> DataFrame:
-    """Model, reason and prompt variant per incident of a known tenant. Spend is that of the
-    incident's day. Join strategies are left to the optimizer, which knows the sizes."""
+    """Model, reason and prompt variant per incident of a known tenant. ``spend`` (incident_id, tenant_id, spend) is
+    what was spent that day when the incident came in, see ``spend_so_far``; none counts as zero."""
     severity = F.upper(F.coalesce("severity", F.lit("MEDIUM")))
     over = F.coalesce(F.col("spend"), F.lit(0.0)) >= F.col("token_budget_usd_daily")
     premium = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv]),
@@ -39,13 +56,13 @@ def route(incidents: DataFrame, tenants: DataFrame, spend: DataFrame, *, low_ski
     model = (F.when(over, fallback).when(F.col("model_tier") == "premium", premium).otherwise(standard_model))
     reason = F.when(over, "budget_exceeded").otherwise(
         F.concat(F.lit("severity_"), "severity", F.lit("_tier_"), "model_tier"))
-    routed = (incidents.withColumns({"severity": severity, "day": F.to_date("created_at")})
+    routed = (incidents.withColumn("severity", severity)
               .join(tenants.select("tenant_id", "model_tier", "token_budget_usd_daily"), "tenant_id")
-              .join(spend, ["tenant_id", "day"], "left")
+              .join(spend.select("incident_id", "tenant_id", "spend"), ["incident_id", "tenant_id"], "left")
               .withColumns({"model_id": model, "reason": reason, "prompt_variant": ab_variant(F.col("incident_id"))}))
     if low_skip:
         routed = routed.where((F.col("severity") != "LOW") | (F.col("reason") == "budget_exceeded"))
-    return routed.drop("spend", "token_budget_usd_daily", "day")
+    return routed.drop("spend", "token_budget_usd_daily")
 
 
 def routing_counts(routed: DataFrame) -> DataFrame:

@@ -47,8 +47,8 @@ def security_clean(logs: DataFrame) -> DataFrame:
         F.col("pii_names").alias("pii_fields_redacted"))
 
 
-def security_events(scanned: DataFrame, *, id_col: str = "log_id") -> DataFrame:
-    """Up to two events per scanned log, with the digest of the raw message only."""
+def security_events(scanned: DataFrame, *, id_col: str = "log_id", time_col: str = "ts") -> DataFrame:
+    """Up to two events per scanned log at the log's time, with the digest of the raw message only."""
     def event(kind: str, names: str, count: str):
         return F.when(F.col(count) > 0, F.struct(
             F.lit(kind).alias("event_type"), F.col(names).alias("names"), F.col(count).alias("matches")))
@@ -61,20 +61,24 @@ def security_events(scanned: DataFrame, *, id_col: str = "log_id") -> DataFrame:
                                                     F.col("matches").alias("redaction_count"))))
     digest = F.sha2(F.col("message"), 256)
     # The outer form keeps Spark from testing the list, and so scanning the text, a second time.
-    return (scanned.select(id_col, "tenant_id", "service", "message", F.inline_outer(both))
+    return (scanned.select(id_col, "tenant_id", "service", "message", F.col(time_col).alias("logged_at"), F.inline_outer(both))
             .where(F.col("event_type").isNotNull())
             .select(F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"),
                                                                            "event_type"), 256), 1, 32)).alias("event_id"),
                     id_col, "tenant_id", "service", "event_type", details.alias("details"),
-                    digest.alias("original_message_hash")))
+                    digest.alias("original_message_hash"), "logged_at"))
 
 
-def parse_errors(rejected: DataFrame, *, reason_col: str = "reject_reason") -> DataFrame:
-    """Events for rows that did not parse; they are published but not stored with the others."""
+def parse_errors(rejected: DataFrame, *, id_col: str = "raw_id", reason_col: str = "reject_reason",
+                 time_col: str = "received_at") -> DataFrame:
+    """Events for rows that did not parse, with the columns of ``security_events`` (the tenant is not known)."""
+    raw = F.coalesce("value", F.lit(""))
     return rejected.select(
-        F.concat(F.lit("sec-"), F.substring(F.sha2(F.coalesce("value", F.lit("")), 256), 1, 32)).alias("event_id"),
-        F.lit("parse_error").alias("event_type"), F.lit("security-scan").alias("service"),
-        F.to_json(F.struct(F.col(reason_col).alias("error"))).alias("details"))
+        F.concat(F.lit("sec-"), F.substring(F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), F.lit("parse_error")), 256), 1, 32))
+         .alias("event_id"),
+        F.col(id_col).alias("log_id"), F.lit("unknown").alias("tenant_id"), F.lit("security-scan").alias("service"),
+        F.lit("parse_error").alias("event_type"), F.to_json(F.struct(F.col(reason_col).alias("error"))).alias("details"),
+        F.sha2(raw, 256).alias("original_message_hash"), F.col(time_col).alias("logged_at"))
 
 
 def audit_hash(calls: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from emberwatch.operators.ordered import newest
 
 
+OUT = -2.0  # below every cosine: a pair that does not count
+
+
 def unit_rows(vectors: pd.Series) -> np.ndarray:
     """Rows scaled to length 1; a zero vector stays zero, so its similarity is 0."""
     m = np.array(vectors.tolist(), dtype="float64")
@@ -27,14 +30,15 @@ def _blocks(df: DataFrame, sizes: DataFrame, keys: list[str], id_col: str, mine:
 
 def blocked_scores(queries: DataFrame, corpus: DataFrame, keys: list[str], *, k: int,
                    block_rows: int = 4096, max_age_us: int | None = None, exclude_self: bool = False,
-                   decimals: int = 6, distinct: bool = False) -> DataFrame:
+                   decimals: int = 6, distinct: bool = False, clip: bool = False) -> DataFrame:
     """Top ``k`` corpus rows per query by cosine, among rows with equal ``keys``.
 
     Queries: keys, ``query_id``, ``embedding`` (and ``at``, microseconds). Corpus: keys, ``item_id``,
     ``embedding`` (and ``at``). Each key is cut into blocks of about ``block_rows`` on both sides, so
     a hot key becomes many equal tasks; a task multiplies two blocks and emits k rows per query, not
     pairs. With ``max_age_us`` an item counts only if ``at_query - max_age < at_item <= at_query``.
-    Similarities are rounded before ranking; ties go to the smaller item id.
+    Similarities are rounded before ranking; ties go to the smaller item id. ``clip`` raises negative
+    ones to 0, as the cache wants it.
     """
     timed = max_age_us is not None
     q_cols, c_cols = ["query_id", "embedding"], ["item_id", "embedding"]
@@ -59,12 +63,13 @@ def blocked_scores(queries: DataFrame, corpus: DataFrame, keys: list[str], *, k:
         parts = []
         for lo in range(0, len(qs), 1024):
             part = qs.iloc[lo:lo + 1024]
-            sim = np.round(np.clip(unit_rows(part["embedding"]) @ cm.T, 0.0, 1.0), decimals)
+            sim = np.clip(unit_rows(part["embedding"]) @ cm.T, 0.0 if clip else -1.0, 1.0)
+            sim = np.round(sim, decimals) + 0.0  # no negative zero
             if timed:
                 age = part["at"].to_numpy()[:, None] - cs["at"].to_numpy()[None, :]
-                sim[(age < 0) | (age >= max_age_us)] = -1.0
+                sim[(age < 0) | (age >= max_age_us)] = OUT
             if exclude_self:
-                sim[part["query_id"].to_numpy()[:, None] == items[None, :]] = -1.0
+                sim[part["query_id"].to_numpy()[:, None] == items[None, :]] = OUT
             top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
             rows = np.repeat(np.arange(len(part)), top.shape[1])
             flat = top.ravel()
@@ -72,7 +77,7 @@ def blocked_scores(queries: DataFrame, corpus: DataFrame, keys: list[str], *, k:
             out["query_id"] = part["query_id"].to_numpy()[rows]
             out["item_id"] = items[flat]
             out["similarity"] = sim[rows, flat]
-            parts.append(out[out["similarity"] >= 0])
+            parts.append(out[out["similarity"] > OUT])
         return pd.concat(parts)[cols]
 
     best = (_blocks(q, sizes, keys, "query_id", "qb", "cb").groupBy(*group)

@@ -97,7 +97,7 @@ QUERIES = {
         "tenant_id", "service", "bucket", "wire_type", "description"),
     "alert_cooldown": lambda t: op.alert_cooldown(error_candidates(t), cooldown_s=4 * HOUR)
         .select("tenant_id", "service", "id", iso(F.col("ts")).alias("ts")),
-    "recent_errors": lambda t: op.recent_errors(t.logs).select(
+    "recent_errors": lambda t: op.recent_errors(t.logs, k=10).select(
         "tenant_id", "service", F.col("_rank").alias("position"), "log_id", "message"),
     "verdict_filter": lambda t: op.verdict_filter(t.alerts, verdicts(t)).select("alert_id", "tenant_id", "severity"),
     "alerts": lambda t: op.alerts(op.anomaly_description(merged(t))).select(
@@ -206,10 +206,16 @@ ORACLES = {
                                    ORDER BY similarity DESC, c.vec_id) = 1)
       SELECT *, round(1 - similarity, 6) AS distance FROM best WHERE similarity < 0.5""",
     "novelty_severity": "WITH " + _SEM[2:] + " SELECT tenant_id, service, bucket, distance, severity, confidence FROM sem",
-    "evict_oldest": """WITH ranked AS (
-        SELECT tenant_id, log_id AS id, count(*) OVER (PARTITION BY tenant_id) AS size,
-               row_number() OVER (PARTITION BY tenant_id ORDER BY ts, log_id) AS pos FROM logs_v)
-      SELECT tenant_id, id FROM ranked WHERE size <= 1500 OR pos > 300""",
+    "evict_oldest": """WITH RECURSIVE ranked AS (
+        SELECT tenant_id, log_id AS id, row_number() OVER (PARTITION BY tenant_id ORDER BY ts, log_id) AS pos FROM logs_v),
+      inserts AS (
+        SELECT tenant_id, 0 AS pos, 0 AS stored, 0 AS gone FROM ranked WHERE pos = 1
+        UNION ALL
+        SELECT i.tenant_id, r.pos, CASE WHEN stored + 1 > 1500 THEN stored + 1 - 300 ELSE stored + 1 END,
+               CASE WHEN stored + 1 > 1500 THEN gone + 300 ELSE gone END
+        FROM inserts i JOIN ranked r ON r.tenant_id = i.tenant_id AND r.pos = i.pos + 1)
+      SELECT r.tenant_id, r.id FROM ranked r
+      WHERE r.pos > (SELECT max(gone) FROM inserts i WHERE i.tenant_id = r.tenant_id)""",
     "merge_detectors": f"WITH {_MERGED} SELECT tenant_id, service, bucket, anomaly_type, severity, confidence FROM merged",
     "anomaly_description": f"WITH {_MERGED} SELECT tenant_id, service, bucket, wire_type, description FROM described",
     "alert_cooldown": """WITH RECURSIVE cand AS (

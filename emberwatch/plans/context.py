@@ -9,21 +9,22 @@ from emberwatch.functions.scoring import cosine
 from emberwatch.functions.text import iso
 from emberwatch.operators import cache, context, routing
 from emberwatch.operators.correlate import incident_severity
+from emberwatch.plans.correlate import FOLD
+from emberwatch.plans.correlate import incidents as log_incidents
 from emberwatch.plans.fixtures import Tables, with_views
 
-TOKEN_LIMIT = 1000
-
 
 def ctx(t: Tables) -> DataFrame:
-    return context.context_logs(context.service_sets(t.incidents), t.logs)
+    """Logs of the day before each incident that the log table's own errors raised."""
+    return context.context_logs_before(log_incidents(t), t.logs, minutes=24 * 60)
 
 
 def reduced(t: Tables) -> DataFrame:
-    return context.context_compress(ctx(t), token_limit=TOKEN_LIMIT)
+    return context.context_compress(ctx(t))
 
 
 def stats(t: Tables) -> DataFrame:
-    return context.compression_stats(context.context_tagged(ctx(t), token_limit=TOKEN_LIMIT))
+    return context.compression_stats(context.context_tagged(ctx(t)))
 
 
 def looked_up(t: Tables) -> DataFrame:
@@ -40,7 +41,7 @@ def spend(t: Tables) -> DataFrame:
 
 
 def routed(t: Tables, **options) -> DataFrame:
-    return routing.route(severe_incidents(t), t.tenants, spend(t), **options)
+    return routing.route(severe_incidents(t), t.tenants, routing.spend_so_far(t.incidents, t.evals), **options)
 
 
 def _text_rows(t: Tables) -> DataFrame:
@@ -61,8 +62,8 @@ def _vector_pairs(t: Tables) -> DataFrame:
 
 QUERIES = {
     "context_logs": lambda t: ctx(t).select("set_id", "service", "log_id", "level"),
-    "context_text": lambda t: context.context_text(ctx(t)).select(
-        "set_id", "tenant_id", "log_count", F.sha2("text", 256).alias("text_hash")),
+    "context_text": lambda t: context.context_lines(ctx(t)).select(
+        "set_id", "tenant_id", "position", F.sha2("line", 256).alias("line_hash")),
     "context_compress": lambda t: reduced(t).select("set_id", "log_id"),
     "compression_stats": lambda t: stats(t).withColumn("compression_ratio", F.round("compression_ratio", 6)),
     "requests_by_flag": lambda t: context.requests_by_flag(stats(t)),
@@ -86,26 +87,22 @@ QUERIES = {
         "tenant_id", F.col("day").cast("string").alias("day"), F.round("used_share", 4).alias("used_share"), "exceeded"),
 }
 
-_CTX = """sets AS (
-    SELECT DISTINCT tenant_id, affected_services,
-           'set-' || substr(sha256(tenant_id || '|' || array_to_string(affected_services, ',')), 1, 32) AS set_id
-    FROM incidents_v),
-  recent AS (
-    SELECT * FROM logs_v QUALIFY row_number() OVER (PARTITION BY tenant_id, service ORDER BY ts DESC, log_id DESC) <= 500),
+_CTX = FOLD.removeprefix("WITH ") + """,
   ctx AS (
     SELECT s.set_id, s.tenant_id, r.service, r.log_id, r.ts, r.level, r.message,
            (PYISO(ts)) || 'Z [' || r.level || '] ' || r.service || ': ' || r.message AS line
-    FROM (SELECT set_id, tenant_id, unnest(affected_services) AS service FROM sets) s
-    JOIN recent r ON r.tenant_id = s.tenant_id AND r.service = s.service)"""
-_RED = _CTX + f""", sized AS (
+    FROM (SELECT DISTINCT incident_id AS set_id, tenant_id, opened, unnest(list_distinct(list_transform(win, lambda x: x.svc))) AS service
+          FROM incs) s
+    JOIN logs_v r ON r.tenant_id = s.tenant_id AND r.service = s.service AND r.ts <= s.opened
+     AND r.ts > s.opened - INTERVAL 1 DAY)"""
+_RED = _CTX + """, sized AS (
     SELECT *, len(list_filter(string_split_regex(line, '\\s+'), lambda x: x <> '')) AS tok FROM ctx),
   totals AS (SELECT set_id, tenant_id, count(*) AS log_count, sum(tok) AS tokens FROM sized GROUP BY ALL),
   ranked AS (
-    SELECT s.*, t.tokens > {TOKEN_LIMIT} AS large,
-           row_number() OVER (PARTITION BY s.set_id, s.service, s.level, s.message ORDER BY s.ts, s.log_id) AS nth
-    FROM sized s JOIN totals t USING (set_id)),
+    SELECT s.*, row_number() OVER (PARTITION BY s.set_id, s.service, s.level, s.message ORDER BY s.ts, s.log_id) AS nth
+    FROM sized s),
   reduced AS (
-    SELECT * FROM ranked WHERE NOT large OR level IN ('ERROR', 'FATAL')
+    SELECT * FROM ranked WHERE level IN ('ERROR', 'FATAL')
       OR (level <> 'DEBUG' AND message NOT LIKE 'GET /health%' AND message NOT LIKE 'GET /metrics%'
           AND (level <> 'INFO' OR nth = 1))),
   stats AS (
@@ -128,11 +125,15 @@ _LOOK = """pairs AS (
     FROM vec_v q LEFT JOIN best b ON b.query_id = q.vec_id)"""
 _SPEND = """spend AS (
     SELECT tenant_id, CAST(evaluated_at AS DATE) AS day, sum(cost_usd) AS spend FROM evals_v GROUP BY ALL)"""
-_ROUTE = _SPEND + """, sev AS (
+_ROUTE = """sev AS (
     SELECT incident_id, arg_max(a.severity, CASE a.severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END)
            AS severity
     FROM (SELECT incident_id, tenant_id, unnest(alert_ids) AS alert_id FROM incidents_v) i
     JOIN alerts_v a ON a.alert_id = i.alert_id AND a.tenant_id = i.tenant_id GROUP BY incident_id),
+  spent AS (
+    SELECT i.incident_id, sum(CAST(e.cost_usd AS DECIMAL(28, 9))) AS spend
+    FROM incidents_v i JOIN evals_v e ON e.tenant_id = i.tenant_id AND e.evaluated_at <= i.created_at
+     AND CAST(e.evaluated_at AS DATE) = CAST(i.created_at AS DATE) GROUP BY 1),
   routed AS (
     SELECT i.incident_id, i.tenant_id, v.severity,
            CASE WHEN coalesce(s.spend, 0) >= t.token_budget_usd_daily THEN 'gpt-3.5-turbo'
@@ -142,12 +143,12 @@ _ROUTE = _SPEND + """, sev AS (
                 ELSE 'severity_' || v.severity || '_tier_' || t.model_tier END AS reason,
            CASE WHEN CAST('0x' || substr(md5(i.incident_id), 1, 8) AS BIGINT) % 2 = 0 THEN 'v1' ELSE 'v2' END AS prompt_variant
     FROM incidents_v i JOIN tenants_v t ON t.tenant_id = i.tenant_id JOIN sev v ON v.incident_id = i.incident_id
-    LEFT JOIN spend s ON s.tenant_id = i.tenant_id AND s.day = CAST(i.created_at AS DATE))"""
+    LEFT JOIN spent s ON s.incident_id = i.incident_id)"""
 
 ORACLES = {
     "context_logs": f"WITH {_CTX} SELECT set_id, service, log_id, level FROM ctx",
-    "context_text": f"""WITH {_CTX} SELECT set_id, tenant_id, count(*) AS log_count,
-        sha256(string_agg(line, chr(10) ORDER BY ts, log_id)) AS text_hash FROM ctx GROUP BY ALL""",
+    "context_text": f"""WITH {_CTX} SELECT set_id, tenant_id, sha256(line) AS line_hash,
+        row_number() OVER (PARTITION BY set_id, tenant_id ORDER BY ts, log_id) AS position FROM ctx""",
     "context_compress": f"WITH {_RED} SELECT set_id, log_id FROM reduced",
     "compression_stats": f"WITH {_RED} SELECT * FROM stats",
     "requests_by_flag": f"WITH {_RED} SELECT tenant_id, was_compressed, count(*) AS requests FROM stats GROUP BY ALL",
@@ -156,7 +157,7 @@ ORACLES = {
       FROM vec_v a JOIN vec_v b ON b.vec_id = a.vec_id + 10 AND b.tenant_id = a.tenant_id AND b.service = a.service""",
     "cache_lookup": f"""WITH {_LOOK} SELECT tenant_id, query_id, coalesce(item_id, -1) AS item_id,
         coalesce(similarity, -1) AS similarity, cache_hit FROM looked""",
-    "cache_query_text": """SELECT incident_id, trim(service || ' ' || upper(source) || ' ' || substr(description, 1, 200), E' \\t\\r\\n')
+    "cache_query_text": """SELECT incident_id, trim(service || ' ' || upper(source) || ' ' || description, E' \\t\\r\\n')
         AS query_text FROM past_v""",
     "cache_split": f"""WITH {_LOOK} SELECT tenant_id, query_id AS incident_id, coalesce(rca_result, '-') AS rca_result,
         CASE WHEN cache_hit THEN 'hit' ELSE 'miss' END AS stream FROM looked""",
@@ -169,7 +170,9 @@ ORACLES = {
         SELECT tenant_id, count(*) FILTER (cache_hit) AS hits, count(*) FILTER (NOT cache_hit) AS misses FROM looked GROUP BY 1)
       SELECT tenant_id, hits, misses, e.n AS keys_stored, round(hits / (hits + misses), 4) AS hit_rate,
              hits * 2000 AS tokens_saved, round(hits * 2e-2, 6) AS cost_saved_usd
-      FROM used JOIN (SELECT tenant_id, count(*) AS n FROM entries_v GROUP BY 1) e USING (tenant_id)""",
+      FROM used JOIN (SELECT tenant_id, count(*) FILTER (created_at <= t AND created_at > t - INTERVAL 1 DAY) AS n
+        FROM entries_v, (SELECT greatest((SELECT max(created_at) FROM entries_v), (SELECT max(created_at) FROM vec_v)) AS t)
+        GROUP BY 1) e USING (tenant_id)""",
     "daily_spend": f"WITH {_SPEND} SELECT tenant_id, CAST(day AS VARCHAR) AS day, round(spend, 6) AS spend FROM spend",
     "route": f"WITH {_ROUTE} SELECT * FROM routed",
     "route_low_skip": f"""WITH {_ROUTE} SELECT tenant_id, severity, reason, count(*) AS routed FROM routed

@@ -111,7 +111,7 @@ ORACLES = {
     "weekly_partition": """SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week,
         'logs_y' || strftime(ts, '%G') || '_w' || strftime(ts, '%V') AS label, count(*) AS logs FROM logs_v GROUP BY ALL""",
     "dead_letter": f"""WITH {_PARSED} SELECT 'logs.raw' AS original_topic, reason AS failure_reason, 0 AS retry_count,
-        ISO(received_at) AS first_seen_at, substr(value, 1, 5000) AS original_payload FROM checked WHERE reason IS NOT NULL""",
+        ISO(received_at) AS first_seen_at, value AS original_payload FROM checked WHERE reason IS NOT NULL""",
     "required_fields": """WITH k AS (
         SELECT raw_id, CASE WHEN json_valid(value) THEN json_keys(value) ELSE [] END AS keys FROM raw_v)
       SELECT raw_id, array_to_string(list_filter(['service', 'level', 'message', 'trace_id', 'timestamp'],

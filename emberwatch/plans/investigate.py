@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from emberwatch.functions.text import iso
 from emberwatch.operators import evaluate as ev
 from emberwatch.operators import investigate as op
-from emberwatch.operators.context import service_sets
 from emberwatch.operators.correlate import incident_severity
+from emberwatch.plans.correlate import FOLD
+from emberwatch.plans.correlate import incidents as log_incidents
 from emberwatch.plans.fixtures import Tables, with_views
 
 WEEK = 7 * 24 * 60
@@ -21,13 +22,21 @@ def json_steps(t: Tables) -> DataFrame:
 
 
 def timeline(t: Tables) -> DataFrame:
-    return op.error_timeline(service_sets(t.incidents), t.logs, minutes=WEEK)
+    return op.error_timeline(log_incidents(t), t.logs, minutes=24 * 60)
 
 
 def results(t: Tables) -> DataFrame:
     return ev.eval_input(t.rca, incident_severity(t.incidents, t.alerts))
 
 
+def near_results(t: Tables) -> DataFrame:
+    """Results moved into the time of the logs (the tables' own dates lie years apart): the first log plus
+    half hours by the tokens read."""
+    first = t.logs.select(F.min(F.unix_micros("ts"))).scalar()
+    return results(t).select("rca_id", "tenant_id", "service", F.timestamp_micros(
+        first + (F.col("input_tokens") % 600) * F.lit(1_800_000_000)).alias("created_at"))
+
+
 def truth(t: Tables) -> DataFrame:
     return ev.ground_truth_lookup(results(t), t.alerts)
 
@@ -49,23 +58,23 @@ def _validated(t: Tables) -> DataFrame:
 
 
 QUERIES = {
-    "query_logs": lambda t: op.query_logs(t.logs, level="error", minutes=WEEK).select("tenant_id", "service", "position", "log_id"),
-    "service_dependencies": lambda t: op.service_dependencies(t.logs, minutes=WEEK),
-    "error_timeline": lambda t: timeline(t).select("set_id", "tenant_id", "position", "service", "log_id"),
+    "query_logs": lambda t: op.query_logs(t.logs, level="error", minutes=WEEK, limit=50).select("tenant_id", "service", "position", "log_id"),
+    "service_dependencies": lambda t: op.service_dependencies(t.logs, minutes=WEEK, k=10),
+    "error_timeline": lambda t: timeline(t).select("incident_id", "tenant_id", "position", "service", "log_id"),
     "first_failing_service": lambda t: op.first_failing_service(timeline(t)),
     "steps_explode": lambda t: op.steps_explode(json_steps(t)).select(
         "rca_id", F.col("step_number").cast("long").alias("step_number"), F.coalesce("action", F.lit("-")).alias("action"),
         F.sha2(F.coalesce("observation", F.lit("")), 256).alias("observation_hash")),
     "tool_calls": lambda t: op.tool_calls(op.steps_explode(json_steps(t))),
-    "observations_text": lambda t: op.observations_text(t.steps, chunk_steps=2),
+    "observations_text": lambda t: op.observations(t.steps),
     "result_validate": _validated,
     "step_stream_filter": lambda t: op.step_stream_filter(t.steps).select("rca_id", "step_number", "step_type"),
     "eval_input": lambda t: results(t).select("rca_id", "incident_id", "tenant_id", "service", "severity", "is_cascade"),
     "ground_truth_lookup": truth,
     "similarity_proxy": lambda t: proxy(t).select("tenant_id", "query_id", "item_id", "similarity", "past_root_cause"),
     "eval_mode": modes,
-    "evidence_logs": lambda t: ev.evidence_logs(results(t).select("rca_id", "tenant_id", "service"), t.logs)
-        .select("rca_id", F.sha2("evidence", 256).alias("evidence_hash")),
+    "evidence_logs": lambda t: ev.evidence_lines(near_results(t), t.logs, hours=24).select(
+        "rca_id", "log_id", F.sha2("line", 256).alias("line_hash")),
     "judge_parse": lambda t: ev.judge_parse(t.judged, "judged").select("rca_id", "score"),
     "cost": lambda t: ev.cost(t.rca).select("rca_id", F.round("cost_usd", 6).alias("cost_usd")),
     "passed": lambda t: ev.passed(t.evals).select("eval_id", F.coalesce(F.col("passed").cast("string"), F.lit("null")).alias("passed")),
@@ -80,17 +89,14 @@ QUERIES = {
 }
 
 _SINCE = "ts > (SELECT max(ts) FROM logs_v) - INTERVAL 7 DAY"
-_TIMELINE = f"""errors AS (
-    SELECT * FROM logs_v WHERE level IN ('ERROR', 'FATAL') AND {_SINCE}),
-  sets AS (
-    SELECT set_id, tenant_id, unnest(affected_services) AS service
-    FROM (SELECT DISTINCT tenant_id, affected_services,
-                 'set-' || substr(sha256(tenant_id || '|' || array_to_string(affected_services, ',')), 1, 32) AS set_id
-          FROM incidents_v)),
+_TIMELINE = FOLD + """,
   timeline AS (
-    SELECT s.set_id, s.tenant_id, e.service, e.log_id, e.ts,
-           row_number() OVER (PARTITION BY s.set_id ORDER BY e.ts, e.log_id) AS position
-    FROM sets s JOIN errors e ON e.tenant_id = s.tenant_id AND e.service = s.service QUALIFY position <= 100)"""
+    SELECT s.incident_id, s.tenant_id, e.service, e.log_id,
+           row_number() OVER (PARTITION BY s.incident_id ORDER BY e.ts, e.log_id) AS position
+    FROM (SELECT DISTINCT incident_id, tenant_id, opened, unnest(list_distinct(list_transform(win, lambda x: x.svc))) AS service
+          FROM incs) s
+    JOIN logs_v e ON e.tenant_id = s.tenant_id AND e.service = s.service AND e.level IN ('ERROR', 'FATAL')
+     AND e.ts <= s.opened AND e.ts > s.opened - INTERVAL 1 DAY)"""
 _RANK = "CASE {0} WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 _RESULTS = f"""linked AS (
     SELECT i.incident_id, a.alert_id, a.severity, a.ground_truth, a.created_at
@@ -107,7 +113,7 @@ _RESULTS = f"""linked AS (
     FROM results r JOIN (SELECT *, created_at AS l_at FROM linked) l ON l.incident_id = r.incident_id
     WHERE l.ground_truth IS NOT NULL GROUP BY ALL)"""
 _SCORE = "TRY_CAST(CASE WHEN json_valid(judged) THEN json_extract_string(judged, '$.score') END AS DOUBLE)"
-_COS = "round(greatest(0, least(1, list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])))), 6)"
+_COS = "round(list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])), 6)"
 _PASS = "(faithfulness_score > 0.7 AND hallucination_score > 0.7)"
 
 ORACLES = {
@@ -120,13 +126,12 @@ ORACLES = {
         GROUP BY ALL)
       SELECT *, row_number() OVER (PARTITION BY tenant_id, service ORDER BY shared_traces DESC, depends_on) AS position
       FROM c QUALIFY position <= 10""",
-    "error_timeline": f"WITH {_TIMELINE} SELECT set_id, tenant_id, position, service, log_id FROM timeline",
-    "first_failing_service": f"WITH {_TIMELINE} SELECT set_id, tenant_id, service AS first_failing_service FROM timeline WHERE position = 1",
+    "error_timeline": f"{_TIMELINE} SELECT incident_id, tenant_id, position, service, log_id FROM timeline",
+    "first_failing_service": f"{_TIMELINE} SELECT incident_id, tenant_id, service AS first_failing_service FROM timeline WHERE position = 1",
     "steps_explode": """SELECT rca_id, step_number, coalesce(action, '-') AS action,
         sha256(coalesce(observation, '')) AS observation_hash FROM steps_v""",
     "tool_calls": "SELECT tenant_id, action AS tool, count(*) AS calls FROM steps_v WHERE action IS NOT NULL GROUP BY ALL",
-    "observations_text": """SELECT rca_id, tenant_id,
-        substr(string_agg(coalesce(observation, ''), ' ' ORDER BY step_number), 1, 2000) AS observations FROM steps_v GROUP BY ALL""",
+    "observations_text": "SELECT rca_id, tenant_id, step_number, coalesce(observation, '') AS observation FROM steps_v",
     "result_validate": """WITH j AS (
         SELECT *, json_valid(output) AS good, CASE WHEN json_valid(output) THEN output END AS o FROM outputs_v)
       SELECT rca_id, CASE WHEN error = 'rate_limit' THEN 'api_error' WHEN error IS NOT NULL THEN 'unexpected_error'
@@ -152,14 +157,13 @@ ORACLES = {
                   WHEN r.tenant_id = '1' AND s.score IS NOT NULL THEN 'similarity' ELSE 'heuristic' END AS eval_mode,
              coalesce(s.score, 0.75) AS faithfulness_score
       FROM results r LEFT JOIN truth t ON t.rca_id = r.rca_id LEFT JOIN s ON s.rca_id = r.rca_id""",
-    "evidence_logs": f"""WITH {_RESULTS}, top AS (
-        SELECT *, row_number() OVER (PARTITION BY tenant_id, service ORDER BY ts DESC, log_id DESC) AS n FROM logs_v
-        WHERE level IN ('ERROR', 'FATAL') QUALIFY n <= 20),
-      e AS (
-        SELECT tenant_id, service, substr(string_agg((PYISO(ts)) || 'Z [' || level || ']: ' || message, chr(10) ORDER BY n), 1, 3000) AS t
-        FROM top GROUP BY ALL)
-      SELECT r.rca_id, sha256(coalesce(e.t, 'No recent error logs available for verification.')) AS evidence_hash
-      FROM results r LEFT JOIN e ON e.tenant_id = r.tenant_id AND e.service = r.service""",
+    "evidence_logs": f"""WITH {_RESULTS}, near AS (
+        SELECT r.rca_id, r.tenant_id, r.service,
+               make_timestamp((SELECT min(epoch_us(ts)) FROM logs_v) + CAST(l.n AS BIGINT) * 1800000000) AS at
+        FROM results r JOIN (SELECT rca_id, input_tokens % 600 AS n FROM rca_v) l ON l.rca_id = r.rca_id)
+      SELECT n.rca_id, l.log_id, sha256((PYISO(ts)) || 'Z [' || level || ']: ' || message) AS line_hash
+      FROM near n JOIN logs_v l ON l.tenant_id = n.tenant_id AND l.service = n.service
+       AND l.ts <= n.at AND l.ts > n.at - INTERVAL 24 HOUR WHERE level IN ('ERROR', 'FATAL')""",
     "judge_parse": f"SELECT rca_id, coalesce({_SCORE}, 0.75) AS score FROM judged_v",
     "cost": """SELECT rca_id, round((input_tokens * CASE WHEN model_used IN ('gpt-4', 'gpt-4-turbo') THEN 1e-2 ELSE 1e-3 END
         + output_tokens * CASE WHEN model_used IN ('gpt-4', 'gpt-4-turbo') THEN 3e-2 ELSE 2e-3 END) / 1e3, 6) AS cost_usd FROM rca_v""",
@@ -172,10 +176,9 @@ ORACLES = {
       FROM evals_v e JOIN results r ON r.rca_id = e.rca_id WHERE e.faithfulness_score > 0.8 AND e.hallucination_score > 0.7""",
     "notify_candidates": f"""WITH {_RESULTS} SELECT e.eval_id, e.rca_id, e.tenant_id, e.faithfulness_score,
         array_to_string(r.affected_services, ', ') AS services,
-        CASE WHEN length(r.root_cause) > 500 THEN substr(r.root_cause, 1, 500) || '…' ELSE r.root_cause END AS root_cause
+        r.root_cause
       FROM evals_v e JOIN results r ON r.rca_id = e.rca_id WHERE r.severity = 'CRITICAL' AND e.faithfulness_score > 0.7""",
-    "eval_summary": f"""WITH recent AS (
-        SELECT * FROM evals_v QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY evaluated_at DESC, eval_id DESC) <= 1000)
+    "eval_summary": f"""WITH recent AS (SELECT * FROM evals_v)
       SELECT tenant_id, count(*) AS total_evaluations, round(avg(faithfulness_score), 4) AS avg_faithfulness,
              round(avg(hallucination_score), 4) AS avg_hallucination, round(avg(cost_usd), 6) AS avg_cost_usd,
              round(sum(cost_usd), 6) AS total_cost_usd, count(*) FILTER {_PASS.replace('(', '(', 1)} AS passed_count,
@@ -185,8 +188,7 @@ ORACLES = {
              round(count(*) FILTER {_PASS} / count(*), 4) AS pass_rate
       FROM recent GROUP BY tenant_id""",
     "ab_faithfulness": """WITH recent AS (
-        SELECT * FROM evals_v WHERE prompt_version IS NOT NULL
-        QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY evaluated_at DESC, eval_id DESC) <= 1000)
+        SELECT * FROM evals_v WHERE prompt_version IS NOT NULL)
       SELECT tenant_id, prompt_version, round(avg(faithfulness_score), 4) AS avg_faithfulness FROM recent GROUP BY ALL""",
     "running_pass_rate": f"""SELECT tenant_id, eval_id, CAST(count(*) FILTER {_PASS} OVER w AS BIGINT) AS passed, count(*) OVER w AS seen,
         count(*) FILTER {_PASS} OVER w / count(*) OVER w AS pass_rate

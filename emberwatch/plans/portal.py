@@ -80,7 +80,7 @@ QUERIES = {
         F.coalesce("rca_status", F.lit("-")).alias("rca_status")),
     "investigations": lambda t: portal.investigations(t.rca, limit=50).select(
         "tenant_id", "position", "rca_id", "status", "root_cause", "confidence"),
-    "failed_investigations": lambda t: portal.failed_investigations(t.rca).select(
+    "failed_investigations": lambda t: portal.failed_investigations(t.rca, limit=50).select(
         "tenant_id", "position", "rca_id", "failure_reason"),
     "investigation_detail": lambda t: portal.investigation_detail(t.rca, t.incidents, t.evals).select(
         "rca_id", "incident_id", "tenant_id", "is_cascade", F.array_join("alert_ids", ",").alias("alert_ids"),
@@ -88,7 +88,7 @@ QUERIES = {
         F.coalesce("hallucination_score", F.lit(-1.0)).alias("hallucination_score")),
     "manual_trigger_payload": lambda t: portal.manual_trigger_payload(t.incidents, t.alerts).select(
         "incident_id", "tenant_id", "severity", "model_id", "compressed_context", "compression_ratio", "incident_description"),
-    "security_events_page": lambda t: portal.security_events_page(events_table(t), event_type="pii").select(
+    "security_events_page": lambda t: portal.security_events_page(events_table(t), event_type="pii", limit=50).select(
         "tenant_id", "position", "event_id", "total"),
     "kb_stats": lambda t: portal.kb_stats(t.past).withColumn("services", F.array_join("services", ",")),
     "alert_search": lambda t: portal.alert_search(t.alerts, service="PUR", severity="HIGH").select(
@@ -134,7 +134,7 @@ ORACLES = {
       FROM alerts_v a LEFT JOIN latest l ON l.alert_id = a.alert_id AND l.tenant_id = a.tenant_id
       LEFT JOIN lr r ON r.incident_id = l.incident_id AND r.tenant_id = l.tenant_id""",
     "investigations": """SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, rca_id DESC) AS position,
-        rca_id, status, substr(root_cause, 1, 200) AS root_cause, confidence FROM rca_v QUALIFY position <= 50""",
+        rca_id, status, root_cause, confidence FROM rca_v QUALIFY position <= 50""",
     "failed_investigations": """SELECT tenant_id,
         row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, rca_id DESC) AS position, rca_id, failure_reason
       FROM rca_v WHERE status = 'failed' QUALIFY position <= 50""",
@@ -182,8 +182,8 @@ def _body(ctes: str, select: str) -> str:
 
 ORACLES["security_events_page"] = f"""{_FULL}, ev AS (
     SELECT coalesce(tenant_id, 'unknown') AS tenant_id,
-           'sec-' || substr(sha256(log_id || '|pii'), 1, 32) AS event_id FROM {_last_p} WHERE {_sum(_PII, 'p')} > 0)
-  SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY event_id DESC) AS position, event_id,
+           'sec-' || substr(sha256(log_id || '|pii'), 1, 32) AS event_id, ts FROM {_last_p} WHERE {_sum(_PII, 'p')} > 0)
+  SELECT tenant_id, row_number() OVER (PARTITION BY tenant_id ORDER BY ts DESC, event_id DESC) AS position, event_id,
          count(*) OVER (PARTITION BY tenant_id) AS total FROM ev QUALIFY position <= 50"""
 ORACLES["latency_histogram"] = _body(_RED, " UNION ALL ".join([
     _hist("llm_seconds", "rca_v", "llm_latency_ms / 1e3", metrics.LLM_SECONDS),

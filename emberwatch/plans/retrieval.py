@@ -33,7 +33,7 @@ def fused(t: Tables) -> DataFrame:
 
 
 def hybrid(t: Tables) -> DataFrame:
-    return op.hybrid_search(t.kbq, op.corpus_recent(t.past), t.qvec, t.kbvec)
+    return op.hybrid_search(t.kbq, op.corpus_recent(t.past), t.qvec, t.kbvec, depth=10)
 
 
 def _ranks(df: DataFrame) -> list:
@@ -55,7 +55,7 @@ QUERIES = {
         F.coalesce("final_rank", F.lit(0)).alias("final_rank"), "novel"),
 }
 
-_COS = "round(greatest(0, least(1, list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])))), 6)"
+_COS = "round(list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[])), 6)"
 
 
 def _bm25(corpus: str, idf: str = "raw") -> str:
@@ -87,7 +87,6 @@ def _bm25(corpus: str, idf: str = "raw") -> str:
 
 
 _FULL = "SELECT tenant_id, incident_id, created_at, description || ' ' || root_cause AS text FROM past_v"
-_RECENT = _FULL + " QUALIFY row_number() OVER (PARTITION BY tenant_id ORDER BY created_at DESC, incident_id DESC) <= 200"
 _NEAR = f"""near AS (
     SELECT q.tenant_id, q.query_id, v.item_id, {_COS.format('q.embedding', 'v.embedding')} AS similarity
     FROM qvec_v q JOIN kbvec_v v ON v.tenant_id = q.tenant_id),
@@ -103,7 +102,7 @@ _NEAR = f"""near AS (
     FROM fused QUALIFY final_rank <= 3)"""
 
 ORACLES = {
-    "corpus_recent": f"WITH c AS ({_RECENT}) SELECT tenant_id, incident_id, sha256(text) AS text_hash FROM c",
+    "corpus_recent": f"WITH c AS ({_FULL}) SELECT tenant_id, incident_id, sha256(text) AS text_hash FROM c",
     "bm25_topk": f"WITH {_bm25(_FULL)} SELECT * FROM words",
     "bm25_topk_floor": f"WITH {_bm25(_FULL, 'floor')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words",
     "vector_topk": f"""SELECT q.tenant_id, q.vec_id AS query_id, v.vec_id AS item_id,
@@ -113,7 +112,7 @@ ORACLES = {
     "rrf": f"""WITH {_bm25(_FULL)}, {_NEAR} SELECT tenant_id, query_id, item_id, coalesce(bm25_rank, 0) AS bm25_rank,
         coalesce(vector_rank, 0) AS vector_rank, round(rrf_score, 9) AS rrf_score FROM fused""",
     "rerank_topk": f"WITH {_bm25(_FULL)}, {_NEAR} SELECT * FROM top3",
-    "hybrid_search": f"""WITH {_bm25(_RECENT)}, {_NEAR} SELECT k.tenant_id, k.query_id, coalesce(t.item_id, '-') AS item_id,
+    "hybrid_search": f"""WITH {_bm25(_FULL)}, {_NEAR} SELECT k.tenant_id, k.query_id, coalesce(t.item_id, '-') AS item_id,
         coalesce(t.final_rank, 0) AS final_rank, t.item_id IS NULL AS novel
       FROM kbq_v k LEFT JOIN top3 t ON t.query_id = k.query_id""",
 }

@@ -10,8 +10,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.redaction import EMAIL, INJECTION_PATTERNS, IPV4, PHONE_INTERNATIONAL, USER_ID
+from emberwatch.functions.text import iso
 from emberwatch.operators import security as op
+from emberwatch.operators.ingest import log_validate
 from emberwatch.plans.fixtures import Tables, with_views
+from emberwatch.plans.ingest import _PARSED, parsed
 
 
 def _scan_out(df: DataFrame, prefix: str) -> DataFrame:
@@ -39,7 +42,9 @@ QUERIES = {
         F.array_join("pii_fields_redacted", ",").alias("pii_fields_redacted")),
     "security_events": lambda t: op.security_events(op.security_scan(t.scan)).select(
         "event_id", "service", F.coalesce("tenant_id", F.lit("-")).alias("tenant_id"), "event_type", "details",
-        "original_message_hash"),
+        "original_message_hash", iso(F.col("logged_at")).alias("logged_at")),
+    "parse_error_events": lambda t: op.parse_errors(log_validate(parsed(t))[1]).select(
+        "event_id", "tenant_id", "service", "event_type", "details", "original_message_hash", iso(F.col("logged_at")).alias("logged_at")),
     "audit_hash": lambda t: op.audit_hash(calls(t)),
     "pii_by_field": lambda t: op.pii_by_field(op.security_scan(t.scan)),
     "injection_by_service": lambda t: op.injection_by_service(op.injection_scan(t.scan)),
@@ -129,16 +134,20 @@ ORACLES = {
     "security_clean": f"""{_FULL} SELECT log_id, sha256(txt) AS text_hash, ({_sum(_INJ, 'i')}) > 0 AS injection_attempted,
         {_names(_PII, 'p')} AS pii_fields_redacted FROM {_last_p}""",
     "security_events": f"""{_FULL}, ev AS (
-        SELECT log_id, service, coalesce(tenant_id, '-') AS tenant_id, message, 'injection' AS event_type,
+        SELECT log_id, service, coalesce(tenant_id, '-') AS tenant_id, message, ts, 'injection' AS event_type,
                {_names(_INJ, 'i')} AS names, {_sum(_INJ, 'i')} AS n FROM {_last_p}
-        UNION ALL SELECT log_id, service, coalesce(tenant_id, '-'), message, 'pii', {_names(_PII, 'p')}, {_sum(_PII, 'p')}
+        UNION ALL SELECT log_id, service, coalesce(tenant_id, '-'), message, ts, 'pii', {_names(_PII, 'p')}, {_sum(_PII, 'p')}
         FROM {_last_p})
       SELECT 'sec-' || substr(sha256(log_id || '|' || event_type), 1, 32) AS event_id, service, tenant_id, event_type,
              CASE event_type WHEN 'injection'
                THEN '{{"matched_patterns":' || {_JSON_LIST.format('names')} || ',"match_count":' || n || '}}'
                ELSE '{{"fields_redacted":' || {_JSON_LIST.format('names')} || ',"redaction_count":' || n || '}}' END AS details,
-             sha256(message) AS original_message_hash
+             sha256(message) AS original_message_hash, ISO(ts) AS logged_at
       FROM ev WHERE n > 0""",
+    "parse_error_events": f"""WITH {_PARSED} SELECT 'sec-' || substr(sha256(raw_id || '|parse_error'), 1, 32) AS event_id,
+        'unknown' AS tenant_id, 'security-scan' AS service, 'parse_error' AS event_type,
+        '{{"error":"' || reason || '"}}' AS details, sha256(value) AS original_message_hash, ISO(received_at) AS logged_at
+      FROM checked WHERE reason IS NOT NULL""",
     "audit_hash": """SELECT 'call-' || conv_id || '-' || turn AS call_id, CAST(conv_id % 5 AS VARCHAR) AS tenant_id,
         'rca' AS service, sha256(text) AS input_hash, sha256(role || ': ' || text) AS output_hash FROM conversations""",
     "pii_by_field": f"""{_FULL}, per_message AS (

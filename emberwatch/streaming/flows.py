@@ -35,17 +35,25 @@ def log_sink(logs: DataFrame, path: str, checkpoint: str, *, trigger: dict | Non
     its folder, so every row lands once. Within a batch repeated traces can be dropped on request.
 
     With ``dead_letters`` tenants must be UUIDs: a batch with any other tenant is not stored but goes
-    to that folder as a whole.
+    to that folder as a whole, every row with its whole payload.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            store(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def store(batch: DataFrame, batch_id: int) -> None:
         if dead_letters is not None and not bad_tenants(batch).isEmpty():
             failed = batch.withColumns({"_why": F.lit("invalid tenant id"), "_value": F.to_json(F.struct("*"))})
             (dead_letter(failed, topic="logs.enriched", reason="_why", payload="_value", seen="ts")
              .write.mode("overwrite").parquet(f"{dead_letters}/batch={batch_id}"))
             return
-        rows = sink_rows(batch).withColumn("week", week_start(F.col("ts")))
+        # Repeats go by the trace as sent; only then do traces that are no UUID become null.
         if dedup_traces:
-            rows = batch_dedup_trace(rows.withColumn("_b", F.lit(0)), batch="_b", order="log_id").drop("_b")
+            batch = batch_dedup_trace(batch.withColumn("_b", F.lit(0)), batch="_b", order="log_id").drop("_b")
+        rows = sink_rows(batch).withColumn("week", week_start(F.col("ts")))
         (rows.sortWithinPartitions("week", "tenant_id", "ts")
          .write.mode("overwrite").partitionBy("week").parquet(f"{path}/batch={batch_id}"))
 

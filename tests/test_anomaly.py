@@ -89,9 +89,20 @@ def test_verdicts(spark):
     assert {r[0] for r in rows(anomaly.verdict_filter(cand, verdicts))} == {"a", "d"}
 
 
+def evict_one_by_one(ids, max_size, batch):
+    stored = []
+    for i in ids:
+        stored.append(i)
+        if len(stored) > max_size:
+            stored = stored[batch:]
+    return stored
+
+
 def test_eviction(spark):
-    df = spark.createDataFrame([("big", i, BASE + dt.timedelta(seconds=i)) for i in range(11)]
-                               + [("small", i, BASE) for i in range(10)], "tenant_id string, id int, ts timestamp")
-    left = anomaly.evict_oldest(df, max_size=10, batch=3)
-    assert sorted(rows(left.where("tenant_id = 'big'").select("id"))) == [(i,) for i in range(3, 11)]
-    assert left.where("tenant_id = 'small'").count() == 10
+    sizes = {"small": 10, "one": 11, "edge": 13, "next": 14, "big": 250}
+    df = spark.createDataFrame([(t, i, BASE + dt.timedelta(seconds=i // 3)) for t, n in sizes.items() for i in range(n)],
+                               "tenant_id string, id int, ts timestamp")
+    for chunk in (5, 3600):
+        left = anomaly.evict_oldest(df, max_size=10, batch=3, chunk_s=chunk)
+        assert sorted(rows(left.select("tenant_id", "id"))) == sorted(
+            (t, i) for t, n in sizes.items() for i in evict_one_by_one(range(n), 10, 3))

@@ -43,9 +43,10 @@ def test_required_fields_checks_presence_not_value(spark):
         1: ["service", "anomaly_type", "severity"], 2: REQUIRED_FIELDS["alerts"]}
 
 
-def test_dead_letter_cuts_payload(spark):
+def test_dead_letter_keeps_the_payload_unless_told(spark):
     df = raw(spark, "x" * 6000).withColumn("why", F.lit("bad"))
-    r = ingest.dead_letter(df, topic="logs.raw", reason="why", payload="value", seen="received_at").first()
+    assert len(ingest.dead_letter(df, topic="logs.raw", reason="why", payload="value", seen="received_at").first().original_payload) == 6000
+    r = ingest.dead_letter(df, topic="logs.raw", reason="why", payload="value", seen="received_at", max_chars=5000).first()
     assert (r.original_topic, r.failure_reason, len(r.original_payload)) == ("logs.raw", "bad", 5000)
 
 

@@ -4,12 +4,12 @@ import pytest
 
 import __spark_entry__ as entry_point
 from check_oracle import compare
+from emberwatch.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_point.queries(), entry_point.oracle_sql()
+QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
 EAGER = {"semantic_novelty", "log_sink", *[n for n in QUERIES if n.startswith("stream_")]}
-TOP_K = ("recent_errors", "corpus_recent", "context_logs", "query_logs", "service_dependencies", "eval_summary", "recent_logs",
-         "investigations", "bm25_topk", "vector_topk", "evict_oldest", "error_timeline")
+TOP_K = ("recent_errors", "query_logs", "service_dependencies", "recent_logs", "investigations", "bm25_topk", "vector_topk")
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
@@ -22,6 +22,10 @@ def test_only_approximate_search_lacks_an_oracle():
     assert set(QUERIES) - set(ORACLES) == {"vector_topk_ann"}
 
 
+def test_registered():
+    assert set(QUERIES) <= set(entry_point.queries()) and set(ORACLES) <= set(entry_point.oracle_sql())
+
+
 def test_entry(spark):
     df = entry_point.entry(spark)
     assert {"tenant_id", "service", "bucket", "severity", "z_score"} <= set(df.columns) and df.count() > 0

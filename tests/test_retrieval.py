@@ -31,7 +31,7 @@ def test_blocked_scores_equal_brute_force(spark, block_rows):
     cs = c.collect()
     for r in q.collect():
         v = np.array(r.embedding, dtype=float)
-        sims = [(round(max(0.0, float(v @ np.array(x.embedding) / np.linalg.norm(v) / np.linalg.norm(x.embedding))), 6), x.item_id)
+        sims = [(round(float(v @ np.array(x.embedding) / np.linalg.norm(v) / np.linalg.norm(x.embedding)), 6) + 0.0, x.item_id)
                 for x in cs if x.tenant_id == r.tenant_id]
         want = sorted(sims, key=lambda s: (-s[0], s[1]))[:5]
         assert [(i + 1, item, sim) for i, (sim, item) in enumerate(want)] == sorted(have[r.query_id])
@@ -96,6 +96,9 @@ def test_cache_lookup_respects_ttl_and_threshold(spark):
     queries = queries.withColumn("asked_at", F.timestamp_seconds("s")).drop("s")
     got = {r.query_id: (r.cache_hit, r.item_id, r.rca_result) for r in cache.cache_lookup(queries, entries).collect()}
     assert got == {1: (True, 1, "r1"), 2: (True, 2, "r2"), 3: (False, None, None), 4: (False, None, None), 5: (True, 4, "r4"), 6: (False, None, None)}
-    stats = {r.tenant_id: r for r in cache.cache_stats(cache.cache_lookup(queries, entries), entries).collect()}
+    looked = cache.cache_lookup(queries, entries)
+    assert {r.tenant_id: r.keys_stored for r in cache.cache_stats(looked, entries, as_of=F.timestamp_seconds(F.lit(87400))).collect()} == {
+        "t": 3, "u": 1, "v": 0}
+    stats = {r.tenant_id: r for r in cache.cache_stats(looked, entries).collect()}
     assert (stats["t"].hits, stats["t"].misses, stats["t"].hit_rate, stats["t"].cost_saved_usd) == (2, 2, 0.5, 0.04)
     assert stats["v"].hit_rate == 0.0 and stats["v"].keys_stored == 0

@@ -75,12 +75,16 @@ def test_luhn(spark):
 
 def test_null_message_and_events(spark):
     df = spark.createDataFrame([(1, "t", "s", None), (2, None, "s", MESSAGES[-1]), (3, "t", "s", "fine")],
-                               "log_id int, tenant_id string, service string, message string")
+                               "log_id int, tenant_id string, service string, message string").withColumn("ts", F.timestamp_seconds("log_id"))
     scanned = security.security_scan(df)
     assert rows(scanned.orderBy("log_id").select("injection_count", "pii_count")) == [(0, 0), (1, 4), (0, 0)]
     events = security.security_events(scanned).orderBy("event_type").collect()
     assert [(e.log_id, e.event_type, e.tenant_id) for e in events] == [(2, "injection", None), (2, "pii", None)]
     assert events[0].details == '{"matched_patterns":["ignore_instructions"],"match_count":1}'
+    assert {e.logged_at.timestamp() for e in events} == {2.0}
+    bad = spark.createDataFrame([(7, "{", "broken")], "raw_id int, value string, reject_reason string").withColumn("received_at", F.timestamp_seconds("raw_id"))
+    both = security.security_events(scanned).unionByName(security.parse_errors(bad))
+    assert [e.event_type for e in both.orderBy(F.desc("logged_at")).limit(1).collect()] == ["parse_error"]
     assert rows(security.pii_by_field(scanned).where("tenant_id <> 'unknown'")) == []
     clean = security.security_clean(df).where("log_id = 2").first()
     assert clean.injection_attempted and "203.0.113.9" not in clean.message

@@ -104,6 +104,24 @@ def test_log_sink_sends_bad_batches_to_dead_letters(spark):
                 assert not os.path.exists(path.removeprefix("file:"))
 
 
+def test_log_sink_drops_repeats_before_bad_traces_become_null(spark):
+    df = spark.createDataFrame([(1, "t", "same", T0), (2, "t", "same", T0), (3, "t", "other", T0), (4, "t", None, T0), (5, "t", None, T0)],
+                               "log_id int, tenant_id string, trace_id string, ts timestamp").withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    out = flows.scratch(spark, "out")
+    flows.log_sink(flows.as_stream(df), out, flows.scratch(spark, "cp"), trigger={"availableNow": True}, dedup_traces=True).awaitTermination()
+    assert {r.log_id for r in spark.read.parquet(out).collect()} == {1, 3, 4, 5}
+
+
+def test_dead_letters_keep_long_rows_whole(spark):
+    df = spark.createDataFrame([(1, "nope", "x" * 9000, T0)], "log_id int, tenant_id string, message string, ts timestamp").withColumns(
+        {"trace_id": F.lit("a"), "metadata": F.lit(None).cast("map<string,string>")})
+    bad = flows.scratch(spark, "dead")
+    flows.log_sink(flows.as_stream(df), flows.scratch(spark, "out"), flows.scratch(spark, "cp"), trigger={"availableNow": True},
+                   dead_letters=bad).awaitTermination()
+    kept = spark.read.parquet(bad).select(F.get_json_object("original_payload", "$.message").alias("m")).first().m
+    assert kept == "x" * 9000
+
+
 def test_change_log_merges_on_read(spark):
     df = spark.createDataFrame([("a", 1, "old", T0), ("a", 2, "new", T0 + dt.timedelta(1)), ("b", 1, "only", T0)],
                                "id string, seq int, v string, created_at timestamp")
