@@ -26,15 +26,25 @@ def token_counters(rca: DataFrame) -> DataFrame:
 
 def latency_histogram(df: DataFrame, value: Column, labels: list[str], bounds: list[float], *,
                       positive_only: bool = True) -> DataFrame:
-    """Cumulative buckets, sum and count per label set. One aggregate per bound in a single pass;
-    rows are not multiplied by bounds."""
-    rows = df.withColumn("_v", value).where(F.col("_v") > 0 if positive_only else F.col("_v").isNotNull())
-    agg = rows.groupBy(*labels).agg(
-        *[F.count_if(F.col("_v") <= b).alias(f"b{i}") for i, b in enumerate(bounds)],
-        F.count("*").alias("count"), F.sum("_v").alias("sum"))
-    pairs = F.array(*[F.struct(F.lit(str(b)).alias("le"), F.col(f"b{i}").alias("bucket_count")) for i, b in enumerate(bounds)],
-                    F.struct(F.lit("+Inf").alias("le"), F.col("count").alias("bucket_count")))
-    return agg.select(*labels, F.inline(pairs), "count", "sum")
+    """Cumulative buckets, sum and count per label set."""
+    return latency_histograms(df, {"": (value, bounds, positive_only)}, labels).drop("metric")
+
+
+def latency_histograms(df: DataFrame, metrics: dict[str, tuple[Column, list[float], bool]], labels: list[str]) -> DataFrame:
+    """Histograms of several values of the same rows, ``{metric: (value, bounds, positive only)}``: one aggregate
+    per bound in a single pass, rows are not multiplied by bounds. A label set without values has no buckets."""
+    names = list(metrics)
+    counted, sums = [], []
+    for m, (value, bounds, positive) in enumerate(metrics.values()):
+        v = F.when(F.col(f"_v{m}") > 0, F.col(f"_v{m}")) if positive else F.col(f"_v{m}")
+        counted += [F.count_if(v <= b).alias(f"_b{m}_{i}") for i, b in enumerate(bounds)] + [F.count(v).alias(f"_n{m}")]
+        sums.append(F.sum(v).alias(f"_s{m}"))
+    agg = df.select(*labels, *[metrics[n][0].alias(f"_v{m}") for m, n in enumerate(names)]).groupBy(*labels).agg(*counted, *sums)
+    rows = [F.struct(F.lit(n).alias("metric"), F.lit(le).alias("le"), F.col(count).alias("bucket_count"),
+                     F.col(f"_n{m}").alias("count"), F.col(f"_s{m}").cast("double").alias("sum"))
+            for m, n in enumerate(names)
+            for le, count in [(str(b), f"_b{m}_{i}") for i, b in enumerate(metrics[n][1])] + [("+Inf", f"_n{m}")]]
+    return agg.select(*labels, F.inline(F.array(*rows))).where(F.col("count") > 0)
 
 
 def latest_gauge(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:

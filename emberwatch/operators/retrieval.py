@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.text import tokens
 from emberwatch.operators.ordered import newest
 from emberwatch.operators.vectors import blocked_scores, hash_bands
+from emberwatch.session import saved
 
 
 def corpus_recent(past: DataFrame, *, k: int | None = None) -> DataFrame:
@@ -25,25 +26,33 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, *, k: int = 10, k1: float =
     Queries: query_id, tenant_id, query. Corpus: incident_id, tenant_id, created_at, text. Tokens are
     lower-case whitespace words; a repeated query word counts repeatedly. IDF is
     ``ln((N - df + 0.5) / (df + 0.5))``, negative for words in most documents; ``idf="floor"``
-    replaces negative values by 0. Ranks are taken over all documents, then rows with score <= 0
-    drop out (they rank behind every positive one). Ties: newer document first.
+    replaces negative values by 0, ``idf="epsilon"`` by a quarter of the mean IDF of the tenant's words.
+    Ranks are taken over all documents, then rows with score <= 0 drop out (they rank behind every
+    positive one). Ties: newer document first.
 
-    Only words that occur in some query of the tenant are kept, before anything is counted.
+    Each text is split once: its words that occur in some query of the tenant, and an empty word that
+    stands for the document, are counted and written to the shared folder; sizes, document
+    frequencies and scores all read that table.
     """
     wanted = (queries.select("tenant_id", "query_id", F.explode(tokens(F.col("query"))).alias("term"))
               .groupBy("tenant_id", "query_id", "term").agg(F.count("*").alias("qtf")))
-    vocabulary = wanted.select("tenant_id", "term").distinct()
-    docs = corpus.select("tenant_id", "incident_id", "created_at", tokens(F.col("text")).alias("_t"))
-    totals = docs.groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg(F.size("_t")).alias("avg_len"))
-    postings = (docs.select("tenant_id", "incident_id", F.unix_micros("created_at").alias("_at"),
-                            F.size("_t").alias("len"), F.explode("_t").alias("term"))
-                .join(vocabulary, ["tenant_id", "term"], "left_semi")
-                .groupBy("tenant_id", "term", "incident_id", "_at", "len").agg(F.count("*").alias("tf")))
-    # Counting tf keeps this branch on the same exchange as the scoring below: one tokenisation.
-    df = postings.groupBy("tenant_id", "term").agg(F.count("tf").alias("df"))
+    vocabulary = wanted.select("tenant_id", "term").unionByName(queries.select("tenant_id", F.lit("").alias("term"))).distinct()
+    docs = corpus.select("tenant_id", "incident_id", F.unix_micros("created_at").alias("_at"), tokens(F.col("text")).alias("_t"))
+    words = docs.select("tenant_id", "incident_id", "_at", F.size("_t").alias("len"),
+                        F.explode(F.concat(F.array(F.lit("")), "_t")).alias("term"))
+    counted = saved(words.join(vocabulary, ["tenant_id", "term"], "left_semi")
+                    .groupBy("tenant_id", "term", "incident_id", "_at", "len").agg(F.count("*").alias("tf")), "postings")
+    totals = (counted.where("term = ''").groupBy("tenant_id").agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len")))
+    postings = counted.where("term <> ''")
     raw = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    terms = (df.join(totals, "tenant_id")
-             .select("tenant_id", "term", "avg_len", (F.greatest(raw, F.lit(0.0)) if idf == "floor" else raw).alias("idf")))
+    terms = (postings.groupBy("tenant_id", "term").agg(F.count("tf").alias("df")).join(totals, "tenant_id")
+             .withColumn("idf", F.greatest(raw, F.lit(0.0)) if idf == "floor" else raw))
+    if idf == "epsilon":
+        every = docs.select("tenant_id", F.explode(F.array_distinct("_t")).alias("term")).groupBy("tenant_id", "term").agg(
+            F.count("*").alias("df")).join(totals, "tenant_id")
+        means = every.groupBy("tenant_id").agg(F.avg(raw).alias("_mean"))
+        terms = terms.join(means, "tenant_id").withColumn("idf", F.when(F.col("idf") < 0, 0.25 * F.col("_mean")).otherwise(F.col("idf")))
+    terms = terms.select("tenant_id", "term", "avg_len", "idf")
     part = (F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1)
             / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))))
     scored = (wanted.join(terms, ["tenant_id", "term"]).join(postings, ["tenant_id", "term"])

@@ -72,12 +72,15 @@ def _r4(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 4) for c in cols})
 
 
+def zscore_columns(scored: DataFrame) -> DataFrame:
+    plain = scored.withColumn("defined", F.col("z_score").isNotNull()).withColumns(
+        {c: F.coalesce(c, F.lit(-1.0)) for c in ("z_score", "baseline_mean", "baseline_std")})
+    return _r4(plain, "z_score", "baseline_mean", "baseline_std")
+
+
 QUERIES = {
     "bucket_counts": _buckets,
-    "zscore": lambda t: _r4(op.zscore(_buckets(t), window_s=DAY, bucket_s=HOUR)
-                            .withColumn("defined", F.col("z_score").isNotNull())
-                            .withColumns({c: F.coalesce(c, F.lit(-1.0)) for c in ("z_score", "baseline_mean", "baseline_std")}),
-                            "z_score", "baseline_mean", "baseline_std"),
+    "zscore": lambda t: zscore_columns(op.zscore(_buckets(t), window_s=DAY, bucket_s=HOUR)),
     "zscore_anomalies": lambda t: _r4(_anomalies(t), "confidence"),
     "spike_priority": flagship,
     "zscore_per_event": lambda t: op.zscore_per_event(t.logs, window_s=DAY, bucket_s=HOUR, slice_s=60)
@@ -108,7 +111,7 @@ _COUNTS = """buckets AS (
     SELECT tenant_id, service, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket,
            count(*) FILTER (level IN ('ERROR', 'FATAL')) AS errors, count(*) AS volume
     FROM logs_v GROUP BY ALL)"""
-_SCORED = _COUNTS + """, series AS (
+SCORED = _COUNTS + """, series AS (
     SELECT tenant_id, service, bucket, 'errors' AS metric, errors AS x FROM buckets WHERE errors > 0
     UNION ALL SELECT tenant_id, service, bucket, 'volume', volume FROM buckets),
   base AS (
@@ -118,7 +121,7 @@ _SCORED = _COUNTS + """, series AS (
     WINDOW w AS (PARTITION BY tenant_id, service, metric ORDER BY bucket
                  RANGE BETWEEN 172800 PRECEDING AND 3600 PRECEDING)),
   scored AS (SELECT *, CASE WHEN baseline_std > 0 THEN (current_value - baseline_mean) / baseline_std END AS z FROM base)"""
-_ANOM = _SCORED + """, anom AS (
+_ANOM = SCORED + """, anom AS (
     SELECT tenant_id, service, bucket, metric,
            CASE metric WHEN 'errors' THEN 'error_rate_spike' ELSE 'volume_spike' END AS anomaly_type,
            CASE WHEN z >= 7 THEN 'CRITICAL' WHEN z >= 5 THEN 'HIGH' WHEN z >= 4 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
@@ -163,12 +166,12 @@ _MERGED = _ANOM + _SEM + f""", merged AS (
 
 ORACLES = {
     "bucket_counts": f"WITH {_COUNTS} SELECT * FROM buckets",
-    "zscore": f"""WITH {_SCORED} SELECT tenant_id, service, bucket, metric, current_value, baseline_points,
+    "zscore": f"""WITH {SCORED} SELECT tenant_id, service, bucket, metric, current_value, baseline_points,
         round(coalesce(baseline_mean, -1), 4) AS baseline_mean, round(coalesce(baseline_std, -1), 4) AS baseline_std,
         z IS NOT NULL AS defined, round(coalesce(z, -1), 4) AS z_score FROM scored""",
     "zscore_anomalies": f"WITH {_ANOM} SELECT * FROM anom",
     "spike_priority": f"WITH {_ANOM} SELECT * FROM spikes",
-    "zscore_per_event": f"""WITH {_SCORED}, counted AS (
+    "zscore_per_event": f"""WITH {SCORED}, counted AS (
         SELECT tenant_id, service, log_id, ts, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket, level,
                count(*) OVER w AS volume,
                count(*) FILTER (level IN ('ERROR', 'FATAL')) OVER w AS errors

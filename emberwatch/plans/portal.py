@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.operators import anomaly, ingest, metrics, portal, security
@@ -31,15 +31,15 @@ def _seconds(col: str):
 
 
 def _histograms(t: Tables) -> DataFrame:
-    llm = metrics.latency_histogram(t.rca, _seconds("llm_latency_ms"), ["tenant_id"], metrics.LLM_SECONDS)
-    tool = metrics.latency_histogram(t.rca, _seconds("tool_latency_ms"), ["tenant_id"], metrics.TOOL_SECONDS)
+    times = metrics.latency_histograms(t.rca, {
+        "llm_seconds": (_seconds("llm_latency_ms"), metrics.LLM_SECONDS, True),
+        "tool_seconds": (_seconds("tool_latency_ms"), metrics.TOOL_SECONDS, True)}, ["tenant_id"])
     faith = metrics.latency_histogram(t.evals, F.col("faithfulness_score"), ["tenant_id"], metrics.SCORES, positive_only=False)
     ratio = metrics.latency_histogram(context_plans.stats(t), F.col("compression_ratio"), ["tenant_id"], metrics.RATIOS)
-    out = None
-    for name, df in (("llm_seconds", llm), ("tool_seconds", tool), ("faithfulness", faith), ("compression_ratio", ratio)):
-        df = df.select(F.lit(name).alias("metric"), "tenant_id", "le", "bucket_count", "count", F.round("sum", 3).alias("sum"))
-        out = df if out is None else out.unionByName(df)
-    return out
+    named = times
+    for name, df in (("faithfulness", faith), ("compression_ratio", ratio)):
+        named = named.unionByName(df.withColumn("metric", F.lit(name)))
+    return named.select("metric", "tenant_id", "le", "bucket_count", "count", F.round("sum", 3).alias("sum"))
 
 
 def _counters(t: Tables) -> DataFrame:
@@ -52,20 +52,28 @@ def _counters(t: Tables) -> DataFrame:
         "verifications": metrics.metric_counters(
             t.alerts.join(anomaly_plans.verdicts(t), "alert_id").withColumn(
                 "label", F.when(anomaly.is_yes("verdict"), "confirmed").otherwise("false_positive")), ["label", "tenant_id"]),
-        "investigations": metrics.metric_counters(
-            t.rca.withColumn("label", F.concat_ws("/", "status", "model_used")), ["label", "tenant_id"]),
-        "failures": metrics.metric_counters(
-            t.rca.where(F.col("status") == "failed").withColumnRenamed("failure_reason", "label"), ["label", "tenant_id"]),
-        "tokens": metrics.token_counters(t.rca).withColumnsRenamed({"token_type": "label", "tokens": "value"}),
-        "micro_usd": metrics.metric_counters(
-            cost(t.rca).withColumns({"label": F.col("model_used"), "micro_usd": F.round(F.col("cost_usd") * 1e6).cast("long")}),
-            ["label", "tenant_id"], value="micro_usd"),
     }
     out = None
     for name, df in parts.items():
         df = df.select(F.lit(name).alias("metric"), "label", "tenant_id", F.col("value").cast("long").alias("value"))
         out = df if out is None else out.unionByName(df)
-    return out
+    return out.unionByName(_result_counters(t))
+
+
+def _result_counters(t: Tables) -> DataFrame:
+    """All counters of investigation results from one aggregate of the results."""
+    base = cost(t.rca).withColumn("_usd", F.round(F.col("cost_usd") * 1e6).cast("long")).groupBy(
+        "tenant_id", "status", "model_used", "failure_reason").agg(
+        F.count("*").alias("n"), F.sum("input_tokens").alias("input"), F.sum("output_tokens").alias("output"), F.sum("_usd").alias("usd"))
+
+    def counter(metric: str, label: Column, value: str) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), label.alias("label"), F.col(value).cast("long").alias("value"))
+
+    rows = F.array(counter("investigations", F.concat_ws("/", "status", "model_used"), "n"),
+                   counter("tokens", F.lit("input"), "input"), counter("tokens", F.lit("output"), "output"),
+                   counter("micro_usd", F.col("model_used"), "usd"), counter("failures", F.col("failure_reason"), "n"))
+    wide = base.select("tenant_id", "status", F.inline(rows)).where((F.col("metric") != "failures") | (F.col("status") == "failed"))
+    return wide.groupBy("metric", "label", "tenant_id").agg(F.sum("value").alias("value"))
 
 
 _ALERT_COLS = ["alert_id", "tenant_id", "service", "severity", "status"]

@@ -45,6 +45,8 @@ QUERIES = {
     "bm25_topk": lambda t: bm25(t).select("tenant_id", "query_id", "item_id", "score", "rank"),
     "bm25_topk_floor": lambda t: op.bm25_topk(t.kbq, full_corpus(t), idf="floor")
         .select("tenant_id", "query_id", "incident_id", "score", "rank"),
+    "bm25_topk_epsilon": lambda t: op.bm25_topk(t.kbq, full_corpus(t), idf="epsilon")
+        .select("tenant_id", "query_id", "incident_id", "score", "rank"),
     "vector_topk": lambda t: op.vector_topk(*all_vectors(t)).select("tenant_id", "query_id", "item_id", "similarity", "rank"),
     "vector_topk_ann": lambda t: op.vector_topk_ann(*all_vectors(t), dim=DIM, bands=8, bits=3).select(
         "tenant_id", "query_id", "item_id", "similarity", "rank"),
@@ -60,7 +62,7 @@ _COS = "round(list_cosine_similarity(CAST({} AS DOUBLE[]), CAST({} AS DOUBLE[]))
 
 def _bm25(corpus: str, idf: str = "raw") -> str:
     raw = "ln((n_docs - df + 0.5) / (df + 0.5))"
-    idf_sql = f"greatest({raw}, 0)" if idf == "floor" else raw
+    idf_sql = {"floor": f"greatest({raw}, 0)", "epsilon": f"CASE WHEN {raw} < 0 THEN 0.25e0 * mean_idf ELSE {raw} END"}.get(idf, raw)
     return f"""corpus AS ({corpus}),
   toks AS (
     SELECT tenant_id, incident_id, created_at,
@@ -70,6 +72,7 @@ def _bm25(corpus: str, idf: str = "raw") -> str:
     SELECT tenant_id, incident_id, created_at, len, term, count(*) AS tf
     FROM (SELECT tenant_id, incident_id, created_at, len(t) AS len, unnest(t) AS term FROM toks) GROUP BY ALL),
   dfs AS (SELECT tenant_id, term, count(*) AS df FROM post GROUP BY ALL),
+  means AS (SELECT tenant_id, avg({raw}) AS mean_idf FROM dfs JOIN totals USING (tenant_id) GROUP BY 1),
   qs AS (
     SELECT tenant_id, query_id, term, count(*) AS qtf
     FROM (SELECT tenant_id, query_id,
@@ -79,7 +82,7 @@ def _bm25(corpus: str, idf: str = "raw") -> str:
            round(sum(q.qtf * {idf_sql} * p.tf * 2.5e0 / (p.tf + 1.5e0 * (0.25e0 + 0.75e0 * p.len / t.avg_len))), 6) AS score
     FROM qs q JOIN post p ON p.tenant_id = q.tenant_id AND p.term = q.term
     JOIN dfs d ON d.tenant_id = q.tenant_id AND d.term = q.term JOIN totals t ON t.tenant_id = q.tenant_id
-    GROUP BY ALL),
+    JOIN means m ON m.tenant_id = q.tenant_id GROUP BY ALL),
   words AS (
     SELECT tenant_id, query_id, item_id, score,
            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, item_id DESC) AS rank
@@ -105,6 +108,7 @@ ORACLES = {
     "corpus_recent": f"WITH c AS ({_FULL}) SELECT tenant_id, incident_id, sha256(text) AS text_hash FROM c",
     "bm25_topk": f"WITH {_bm25(_FULL)} SELECT * FROM words",
     "bm25_topk_floor": f"WITH {_bm25(_FULL, 'floor')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words",
+    "bm25_topk_epsilon": f"WITH {_bm25(_FULL, 'epsilon')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words",
     "vector_topk": f"""SELECT q.tenant_id, q.vec_id AS query_id, v.vec_id AS item_id,
              {_COS.format('q.embedding', 'v.embedding')} AS similarity,
              row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, v.vec_id) AS rank

@@ -31,6 +31,8 @@ def _sink(t: Tables) -> DataFrame:
 
 QUERIES = {
     "stream_bucket_counts": _buckets,
+    "stream_zscore": lambda t: anomaly.zscore_columns(flows.run_to_table(stateful.zscore_stream(
+        flows.as_stream(_buckets(t), "closed"), window_s=anomaly.DAY, bucket_s=HOUR), name="zscores")),
     "stream_cooldown": lambda t: flows.run_to_table(stateful.cooldown_stream(
         flows.as_stream(anomaly.error_candidates(t)), cooldown_s=4 * HOUR)).withColumn("ts", iso(F.col("ts"))),
     "stream_correlate": lambda t: flows.run_to_table(stateful.correlate_stream(
@@ -51,6 +53,10 @@ ORACLES = {
                  count(*) FILTER (level IN ('ERROR', 'FATAL')) AS errors, count(*) AS volume
           FROM logs_v GROUP BY ALL)
         SELECT * FROM b WHERE bucket + 3600 <= (SELECT epoch(max(ts)) FROM logs_v)"""),
+    "stream_zscore": with_views(f"""WITH {anomaly.SCORED} SELECT tenant_id, service, bucket, metric, current_value, baseline_points,
+        round(coalesce(baseline_mean, -1), 4) AS baseline_mean, round(coalesce(baseline_std, -1), 4) AS baseline_std,
+        z IS NOT NULL AS defined, round(coalesce(z, -1), 4) AS z_score FROM scored
+      WHERE bucket + 3600 <= (SELECT epoch(max(ts)) FROM logs_v)"""),
     "stream_cooldown": anomaly.ORACLES["alert_cooldown"],
     "stream_correlate": correlate.ORACLES["correlate"],
     "stream_novelty": anomaly.ORACLES["semantic_novelty"],

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "emberwatch", master: str | None = None, **conf) -> SparkSession:
@@ -44,3 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir(known)
         known = spark.sparkContext.getCheckpointDir()
     return known
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """Write to the shared folder and read again, for a result that several branches of a plan use."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ stored patterns. A micro-batch is bounded by the source's trigger options.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections import Counter, deque
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,20 +71,25 @@ class Correlator(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = _batch(rows, ["created_at", "alert_id"])
-        window = list(self.window.get()) if self.window.exists() else []
+        window = deque(self.window.get() if self.window.exists() else [])
+        services = Counter(a[1] for a in window)
         out: list[tuple] = []
 
-        def emit(members: list[tuple], trigger: tuple, cascade: bool) -> None:
+        def emit(members: Iterable[tuple], trigger: tuple, cascade: bool) -> None:
             text = f"{key[0]}|{trigger[0]}|{str(cascade).lower()}"
             incident = "inc-" + hashlib.sha256(text.encode()).hexdigest()[:32]
             out.extend((incident, key[0], cascade, trigger[3], *m) for m in members)
 
         for alert in zip(pdf["alert_id"], pdf["service"], pdf["severity"], _us(pdf["created_at"]).tolist()):
-            window = [a for a in window if a[3] >= alert[3] - self.window_us] + [alert]
-            cascade = len({a[1] for a in window}) > 1
+            while window and window[0][3] < alert[3] - self.window_us:
+                services.subtract([window.popleft()[1]])
+            window.append(alert)
+            services[alert[1]] += 1
+            cascade = any(services[s] for s in services if s != alert[1])
             emit(window if cascade else [alert], alert, cascade)
             if cascade:
-                window = []
+                window.clear()
+                services.clear()
         self.window.put([tuple(a) for a in window]) if window else self.window.clear()
         cols = ["incident_id", "tenant_id", "is_cascade", "at", "alert_id", "service", "severity", "created_at"]
         done = pd.DataFrame(out, columns=cols)
@@ -95,10 +101,61 @@ class Correlator(StatefulProcessor):
         pass
 
 
+class Vectors:
+    """Rows of a growing matrix; room doubles, so adding stays cheap and one product scores a row against all."""
+
+    def __init__(self) -> None:
+        self.n, self.room = 0, None
+
+    def add(self, row: np.ndarray) -> None:
+        if self.room is None or self.n == len(self.room):
+            bigger = np.empty((max(16, 2 * self.n), len(row)))
+            if self.n:
+                bigger[:self.n] = self.room
+            self.room = bigger
+        self.room[self.n] = row
+        self.n += 1
+
+    def rows(self) -> np.ndarray:
+        return self.room[:self.n]
+
+
+class ZScore(StatefulProcessor):
+    """State: closed buckets of the last two windows of a series."""
+
+    def __init__(self, window_s: int, bucket_s: int):
+        self.window_s, self.bucket_s = window_s, bucket_s
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.past = handle.getListState("past", "bucket long, errors long, volume long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = _batch(rows, ["bucket"])
+        past = deque(tuple(r) for r in self.past.get()) if self.past.exists() else deque()
+        out: list[tuple] = []
+        for bucket, errors, volume in zip(pdf["bucket"].tolist(), pdf["errors"].tolist(), pdf["volume"].tolist()):
+            while past and past[0][0] < bucket - 2 * self.window_s:
+                past.popleft()
+            ready = [p for p in past if p[0] <= bucket - self.bucket_s]
+            for metric, value, base in (("errors", errors, [p[1] for p in ready if p[1] > 0]), ("volume", volume, [p[2] for p in ready])):
+                if metric == "errors" and not errors:
+                    continue
+                mean, std = (float(np.mean(base)), float(np.std(base))) if base else (None, None)
+                z = (value - mean) / std if std else None
+                out.append((key[0], key[1], bucket, metric, float(value), mean, std, len(base), z))
+            past.append((bucket, errors, volume))
+        self.past.put(list(past))
+        yield pd.DataFrame(out, columns=["tenant_id", "service", "bucket", "metric", "current_value", "baseline_mean",
+                                         "baseline_std", "baseline_points", "z_score"])
+
+    def close(self) -> None:
+        pass
+
+
 class Novelty(StatefulProcessor):
-    """State: stored patterns of a tenant, oldest evicted in batches above the limit."""
+    """State: stored patterns of a tenant; above a given limit the oldest are evicted in batches."""
 
-    def __init__(self, threshold: float, max_size: int, evict: int):
+    def __init__(self, threshold: float, max_size: int | None, evict: int):
         self.threshold, self.max_size, self.evict = threshold, max_size, evict
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -108,31 +165,52 @@ class Novelty(StatefulProcessor):
         pdf = _batch(rows, ["ts", "id"])
         known = [tuple(r) for r in self.stored.get()] if self.stored.exists() else []
         units, t, out = unit_rows(pdf["embedding"]), _us(pdf["ts"]), []
-        by_service: dict[str, list[np.ndarray]] = {}
-        for service, _, vector in known:
-            by_service.setdefault(service, []).append(np.array(vector))
+        before, evicted = len(known), False
+
+        def blocks() -> dict[str, Vectors]:
+            made: dict[str, Vectors] = {}
+            for service, _, vector in known:
+                made.setdefault(service, Vectors()).add(np.array(vector))
+            return made
+
+        by_service = blocks()
         for i, service in enumerate(pdf["service"]):
-            near = by_service.get(service, [])
-            best = round(float(max(np.dot(v, units[i]) for v in near)), 9) if near else None
+            near = by_service.get(service)
+            best = round(float((near.rows() @ units[i]).max()), 9) if near else None
             if best is not None and best >= self.threshold:
                 continue
             known.append((service, int(t[i]), units[i].tolist()))
-            by_service.setdefault(service, []).append(units[i])
+            by_service.setdefault(service, Vectors()).add(units[i])
             if best is None:
                 continue
             out.append((key[0], service, int(pdf["id"][i]), pdf["ts"][i], best))
-            if len(known) > self.max_size:
-                known = sorted(known, key=lambda r: r[1])[self.evict:]
-                by_service = {}
-                for s, _, vector in known:
-                    by_service.setdefault(s, []).append(np.array(vector))
-        self.stored.put(known)
+            if self.max_size is not None and len(known) > self.max_size:
+                known, evicted = sorted(known, key=lambda r: r[1])[self.evict:], True
+                by_service = blocks()
+        if evicted:
+            self.stored.put(known)
+        elif len(known) > before:
+            self.stored.appendList(known[before:])
         yield pd.DataFrame(out, columns=["tenant_id", "service", "id", "ts", "similarity"])
 
     def close(self) -> None:
         pass
 
 
+def zscore_stream(buckets: DataFrame, *, window_s: int = 3600, bucket_s: int = 60) -> DataFrame:
+    """Z-scores of closed buckets as they arrive, equal to the batch form.
+
+    Feed it closed buckets (``bucket_counts_stream``): the watermark closes a series' buckets in time order, and
+    logs later than that are not in any bucket.
+    """
+    use_rocksdb(buckets.sparkSession)
+    return (buckets.select("tenant_id", "service", "bucket", "errors", "volume").groupBy("tenant_id", "service")
+            .transformWithStateInPandas(
+                statefulProcessor=ZScore(window_s, bucket_s), outputMode="Append", timeMode="None",
+                outputStructType="tenant_id string, service string, bucket long, metric string, current_value double, "
+                                 "baseline_mean double, baseline_std double, baseline_points long, z_score double"))
+
+
 def cooldown_stream(candidates: DataFrame, *, cooldown_s: int = 60) -> DataFrame:
     use_rocksdb(candidates.sparkSession)
     kind = dict(candidates.dtypes)["id"]
@@ -151,10 +229,11 @@ def correlate_stream(alerts: DataFrame, *, window_s: int = 60) -> DataFrame:
                                  "alert_id string, service string, severity string, created_at timestamp"))
 
 
-def novelty_stream(logs_vec: DataFrame, *, threshold: float = 0.7, max_size: int = 10_000, evict: int = 1_000) -> DataFrame:
-    """Keyed by tenant, as eviction counts all services of a tenant together."""
+def novelty_stream(logs_vec: DataFrame, *, threshold: float = 0.7, max_size: int | None = None, evict: int = 1_000) -> DataFrame:
+    """Keyed by series; with a ``max_size`` by tenant, as eviction counts all services of a tenant together."""
     use_rocksdb(logs_vec.sparkSession)
-    return (logs_vec.select("tenant_id", "service", F.col("id").cast("long").alias("id"), "ts", "embedding").groupBy("tenant_id")
+    return (logs_vec.select("tenant_id", "service", F.col("id").cast("long").alias("id"), "ts", "embedding")
+            .groupBy("tenant_id", *(["service"] if max_size is None else []))
             .transformWithStateInPandas(
                 statefulProcessor=Novelty(threshold, max_size, evict), outputMode="Append", timeMode="None",
                 outputStructType="tenant_id string, service string, id long, ts timestamp, similarity double"))

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -8,6 +9,8 @@ from emberwatch.functions.scoring import cosine
 from emberwatch.operators import cache, retrieval, vectors
 from tests.conftest import rows
 
+T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
 
 def vec_table(spark, n, dim, seed, name, tenants=("t",), extra=None):
     rng = np.random.default_rng(seed)
@@ -102,3 +105,23 @@ def test_cache_lookup_respects_ttl_and_threshold(spark):
     stats = {r.tenant_id: r for r in cache.cache_stats(looked, entries).collect()}
     assert (stats["t"].hits, stats["t"].misses, stats["t"].hit_rate, stats["t"].cost_saved_usd) == (2, 2, 0.5, 0.04)
     assert stats["v"].hit_rate == 0.0 and stats["v"].keys_stored == 0
+
+
+def test_bm25_epsilon_by_hand(spark):
+    """Negative IDFs become a quarter of the mean IDF over all words of the tenant, query words or not."""
+    texts = ["a b c", "a b", "a d d", "a", "e f"]
+    corpus = spark.createDataFrame([("t", str(i), T0 + dt.timedelta(i), x) for i, x in enumerate(texts)],
+                                   "tenant_id string, incident_id string, created_at timestamp, text string")
+    queries = spark.createDataFrame([("t", "q", "A d d zzz")], "tenant_id string, query_id string, query string")
+    docs = [x.split() for x in texts]
+    n, mean_len = len(docs), sum(map(len, docs)) / len(docs)
+    idf = {w: math.log((n - df + 0.5) / (df + 0.5)) for w in {w for d in docs for w in d} for df in [sum(w in d for d in docs)]}
+    low = 0.25 * sum(idf.values()) / len(idf)
+    idf = {w: low if x < 0 else x for w, x in idf.items()}
+    want = {}
+    for i, d in enumerate(docs):
+        score = sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / mean_len)) for w in "a d d zzz".split())
+        if round(score, 6) > 0:
+            want[str(i)] = round(score, 6)
+    got = {r.incident_id: r.score for r in retrieval.bm25_topk(queries, corpus, idf="epsilon").collect()}
+    assert got == want and low > 0

@@ -67,6 +67,30 @@ def test_novelty_over_batches_and_eviction(spark):
     assert small.count() > len(want)  # forgotten patterns become novel again
 
 
+def test_zscore_over_batches(spark):
+    rng = random.Random(8)
+    data = [(rng.choice("tu"), "s", 60 * b, rng.choice([0, 0, 1, 4]), rng.randint(1, 9)) for b in sorted(rng.sample(range(200), 120))]
+    df = spark.createDataFrame(data, "tenant_id string, service string, bucket long, errors long, volume long")
+    got = run_in_batches(spark, df, lambda s: stateful.zscore_stream(s, window_s=1200, bucket_s=60), ["bucket"])
+    want = anomaly.zscore(df, window_s=1200, bucket_s=60)
+
+    def plain(x):
+        return {(r.tenant_id, r.bucket, r.metric): (r.current_value, r.baseline_points, *(None if v is None else round(v, 9) for v in (
+            r.baseline_mean, r.baseline_std, r.z_score))) for r in x.collect()}
+
+    assert plain(got) == plain(want) and got.count() == want.count() > 120
+
+
+def test_correlator_keeps_no_more_than_the_window(spark):
+    """One service floods a window, then another service makes one cascade of all of it."""
+    n = 4000
+    df = spark.range(n).select(F.lit("t").alias("tenant_id"), F.format_string("a%05d", "id").alias("alert_id"), F.lit("x").alias("service"),
+                               F.lit("LOW").alias("severity"), F.timestamp_millis(F.col("id") * 10).alias("created_at"))
+    last = spark.createDataFrame([("t", "b", "y", "LOW", dt.datetime.fromtimestamp(n / 100, dt.timezone.utc))], df.schema)
+    got = run_in_batches(spark, df.unionByName(last), lambda s: stateful.correlate_stream(s, window_s=60), ["created_at"], parts=2)
+    assert got.where("is_cascade").count() == n + 1 and got.where("NOT is_cascade").count() == n
+
+
 def test_buckets_close_with_the_watermark(spark):
     data = [("t", "s", "ERROR" if i % 3 else "INFO", T0 + dt.timedelta(seconds=10 * i), i) for i in range(60)]
     df = spark.createDataFrame(data, "tenant_id string, service string, level string, ts timestamp, log_id long")
