@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberwatch.llm.common import stored
+
 LENGTH_BUCKETS = 65536
 
 
@@ -30,9 +32,11 @@ def duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = rows.groupBy("b").agg(F.count("*").alias("c")).where("c > 1").select("b")
     close = rows.join(F.broadcast(shared), "b", "left_semi")
     prefixes = close.groupBy("n", "p").agg(F.count("*").alias("c")).where("c > 1").select("n", "p")
-    full = close.select("id", "n", "p", F.sha2("t", 256).alias("sha")).join(prefixes, ["n", "p"], "left_semi")
-    return full.groupBy("sha").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")).where(
-        "group_size > 1")
+    # Copies collapse in the task that reads them: a text held by a third of all rows is a row per task.
+    full = close.groupBy("n", "p", F.sha2("t", 256).alias("sha")).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    classes = full.join(prefixes, ["n", "p"], "left_semi").where("group_size > 1")
+    # As a table the classes can be joined with a hot text's rows split over many tasks.
+    return stored(classes.select("sha", "keep_id", "group_size"), "classes")
 
 
 def exact_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
