@@ -159,7 +159,7 @@ _MERGED = _ANOM + _SEM + f""", merged AS (
              WHEN 'volume_spike' THEN 'Log volume spike: Z-score=' || z_score || ', current=' || current_value
                   || ' logs/bucket vs baseline mean=' || baseline_mean
              WHEN 'new_error_pattern' THEN 'Novel error pattern detected: similarity=' || similarity
-                  || ' below threshold=0.7. Nearest known pattern: ''' || substr(nearest_message, 1, 60) || ''''
+                  || ' below threshold=0.7. Nearest known pattern: ''' || nearest_message || ''''
              ELSE 'Multiple anomaly signals: statistical Z-score=' || z_score || ', semantic similarity=' || similarity
            END AS description
     FROM merged)"""
