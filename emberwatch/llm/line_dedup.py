@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberwatch.llm.common import ascii_lower
+from emberwatch.llm.common import ascii_lower, stored
 
 BLANK = " \t\n\x0b\x0c\r"
 
@@ -37,6 +37,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     held = lines.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
     common = held.groupBy("h1", "h2").agg(F.count("*").alias("docs"), F.max("id").alias("keep")).where(
         F.col("docs") >= min_docs).select("h1", "h2", "keep")
+    # As a table it can be joined with a hot line's rows split over many tasks.
+    common = stored(common, "common-lines")
     gone = lines.join(common, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keep")))
     gone = gone.groupBy(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).agg(
         F.sort_array(F.collect_set("pos")).alias("cut"))
