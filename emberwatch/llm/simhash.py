@@ -211,6 +211,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     heads = labelled.groupBy("label").agg(
         F.min("id").alias("component_id"),
         F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("head"))
+    # As a table it can be joined with a large class's rows split over many tasks.
+    heads = stored(heads, "heads")
     out = labelled.join(heads, "label")
     return out.select(F.col("id").alias(id_col), "th", "fp", "shingles", "component_id",
                       (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))).alias("stays"))
