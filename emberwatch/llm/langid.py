@@ -141,7 +141,10 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
     known = docs.where(usable & docs[lang_col].isNotNull() & docs[id_col].isNotNull())
     chosen = known.select(known[id_col].alias("id"), known[lang_col].alias("lang"),
                           F.xxhash64(F.lit(5), known[id_col]).alias("h")).distinct()
-    chosen = chosen.withColumn("rank", F.row_number().over(order_by)).where(F.col("rank") <= docs_per_lang)
+    # First the best of each of 64 parts of a language, then the best of those: no task reads a whole language.
+    part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id")
+    for window in (part, order_by):
+        chosen = chosen.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= docs_per_lang)
     picked = chosen.select("id", "lang").limit(docs_per_lang * (max_langs + 1)).toPandas()
     langs = sorted(set(picked["lang"]))
     if not langs:
