@@ -116,6 +116,12 @@ def novel_vs_baseline(queries: DataFrame, baseline: DataFrame, *, threshold: flo
             .withColumn("distance", F.lit(1.0) - F.col("similarity")))
 
 
+def _nearer(best: np.ndarray, near: np.ndarray, sims: np.ndarray, ids: np.ndarray | float) -> np.ndarray:
+    """Id of the nearest stored row after new similarities: the larger one, at a tie the smaller id."""
+    closer = np.isnan(best) | (sims > best) | ((sims == best) & (ids < near))
+    return np.where(closer, ids, near)
+
+
 def _greedy(threshold: float):
     """Leader clustering of one bounded block whose rows are already unlike all earlier leaders."""
 
@@ -123,22 +129,27 @@ def _greedy(threshold: float):
         pdf = pdf.sort_values(["ts", "id"], kind="stable").reset_index(drop=True)
         m = unit_rows(pdf["embedding"])
         best = pdf["best"].to_numpy(dtype=float, na_value=np.nan)
+        near, ids = pdf["near"].to_numpy(dtype=float, na_value=np.nan), pdf["id"].to_numpy(dtype=float)
         leader = np.zeros(len(pdf), dtype=bool)
         for i in range(len(pdf)):
             if np.isnan(best[i]) or best[i] < threshold:
                 leader[i] = True
                 sims = np.round(m[i + 1:] @ m[i], 9)
+                near[i + 1:] = _nearer(best[i + 1:], near[i + 1:], sims, ids[i])
                 best[i + 1:] = np.fmax(best[i + 1:], sims)
         # A row decided "known" needs no further use; its best is the similarity when it arrived.
-        return pdf.assign(best=best, leader=leader)
+        return pdf.assign(best=best, near=pd.array(near).astype("Int64"), leader=leader)
 
     return run
 
 
 def _prune(pdf: pd.DataFrame, leaders: pd.DataFrame) -> pd.DataFrame:
     if len(pdf) and len(leaders):
-        sims = np.round(unit_rows(pdf["embedding"]) @ unit_rows(leaders["embedding"]).T, 9).max(axis=1)
-        pdf = pdf.assign(best=np.fmax(pdf["best"].to_numpy(dtype=float, na_value=np.nan), sims))
+        leaders = leaders.sort_values("id", kind="stable")
+        all_sims = np.round(unit_rows(pdf["embedding"]) @ unit_rows(leaders["embedding"]).T, 9)
+        sims, ids = all_sims.max(axis=1), leaders["id"].to_numpy(dtype=float)[all_sims.argmax(axis=1)]
+        best, near = (pdf[c].to_numpy(dtype=float, na_value=np.nan) for c in ("best", "near"))
+        pdf = pdf.assign(best=np.fmax(best, sims), near=pd.array(_nearer(best, near, sims, ids)).astype("Int64"))
     return pdf
 
 
@@ -152,18 +163,18 @@ def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows:
     (a hot series is cut into parts of about ``block_rows``) and known ones drop out.
     """
     shared_dir(logs_vec.sparkSession)
-    plain = "tenant_id string, service string, id long, ts timestamp, embedding array<float>, best double"
-    cols = ["tenant_id", "service", "id", "ts", "embedding", "best"]
+    plain = "tenant_id string, service string, id long, ts timestamp, embedding array<float>, best double, near long"
+    cols = ["tenant_id", "service", "id", "ts", "embedding", "best", "near"]
     rest = logs_vec.select(*SERIES, F.col("id").cast("long").alias("id"), "ts",
                            F.col("embedding").cast("array<float>").alias("embedding"),
-                           F.lit(None).cast("double").alias("best"))
+                           F.lit(None).cast("double").alias("best"), F.lit(None).cast("long").alias("near"))
     out: DataFrame | None = None
     while True:
         head = newest(rest, SERIES, ["ts", "id"], block_rows).drop("_rank")
         settled = (head.groupBy(*SERIES).applyInPandas(_greedy(threshold), plain + ", leader boolean")
                    .checkpoint())
         novel = (settled.where(F.col("leader") & F.col("best").isNotNull() & ~F.isnan("best"))
-                 .select(*SERIES, "id", "ts", F.col("best").alias("similarity")))
+                 .select(*SERIES, "id", "ts", F.col("best").alias("similarity"), F.col("near").alias("nearest_id")))
         out = novel if out is None else out.unionByName(novel)
         # Every row up to the last one of the block is decided; later rows go to the next round.
         last = settled.groupBy(*SERIES).agg(F.max(F.struct("ts", "id")).alias("_last"))
@@ -180,8 +191,19 @@ def semantic_novelty(logs_vec: DataFrame, *, threshold: float = 0.7, block_rows:
                   .applyInPandas(lambda a, b: _prune(a, b)[cols], plain))
         undecided = F.col("best").isNull() | F.isnan("best") | (F.col("best") < threshold)
         rest = pruned.where(undecided).checkpoint()
-    return out.withColumns({"distance": F.lit(1.0) - F.col("similarity"),
-                            "anomaly_type": F.lit("new_error_pattern")})
+    return novelty_severity(out.withColumns({"distance": F.lit(1.0) - F.col("similarity"),
+                                             "anomaly_type": F.lit("new_error_pattern")}))
+
+
+def novelty_per_bucket(novel: DataFrame, logs: DataFrame, *, bucket_s: int = 60) -> DataFrame:
+    """The most distant novel log of each (tenant, service, bucket), as ``merge_detectors`` takes it: with the message
+    of the stored log it came nearest to. Ties go to the smaller id."""
+    order = F.struct("distance", (-F.col("id")).alias("_i"))
+    top = (novel.withColumn("bucket", bucket_start(F.col("ts"), bucket_s)).groupBy(*SERIES, "bucket")
+           .agg(F.max_by(F.struct("id", "similarity", "distance", "nearest_id", "anomaly_type", "severity", "confidence"), order).alias("_t"))
+           .select(*SERIES, "bucket", "_t.*"))
+    said = logs.select(F.col("log_id").alias("nearest_id"), "tenant_id", F.col("message").alias("nearest_message"))
+    return top.join(said, ["nearest_id", "tenant_id"], "left")
 
 
 def evict_oldest(baseline: DataFrame, *, max_size: int, batch: int, chunk_s: int = 3600) -> DataFrame:

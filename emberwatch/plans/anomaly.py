@@ -86,7 +86,7 @@ QUERIES = {
     "zscore_per_event": lambda t: op.zscore_per_event(t.logs, window_s=DAY, bucket_s=HOUR, slice_s=60)
         .withColumn("ts", iso(F.col("ts"))),
     "semantic_novelty": lambda t: op.semantic_novelty(error_vectors(t), threshold=0.3)
-        .select("tenant_id", "service", "id", F.round("similarity", 6).alias("similarity")),
+        .select("tenant_id", "service", "id", F.round("similarity", 6).alias("similarity"), "nearest_id", "severity"),
     "novel_vs_baseline": lambda t: op.novel_vs_baseline(*novel_split(t), threshold=0.5)
         .select("tenant_id", "service", "query_id", "item_id", "similarity", F.round("distance", 6).alias("distance")),
     "novelty_severity": lambda t: semantic_results(t).select(
@@ -129,6 +129,25 @@ _ANOM = SCORED + """, anom AS (
            round(baseline_mean, 4) AS baseline_mean, round(z, 4) AS z_score, 3e0 AS threshold
     FROM scored WHERE baseline_points >= 5 AND z > 3),
   spikes AS (SELECT * FROM anom QUALIFY row_number() OVER (PARTITION BY tenant_id, service, bucket ORDER BY metric) = 1)"""
+NOVELTY_SEVERITY = "CASE WHEN {0} > 0.7 THEN 'CRITICAL' WHEN {0} > 0.5 THEN 'HIGH' WHEN {0} > 0.3 THEN 'MEDIUM' ELSE 'LOW' END"
+
+
+def novelty_fold(source: str, id_col: str, time_col: str, threshold: float) -> str:
+    """The rule one row at a time: stored rows of a series as a list; the nearest is the most similar, then smallest id."""
+    return f"""arrivals AS (
+        SELECT tenant_id, service, CAST({id_col} AS BIGINT) AS id, {time_col} AS seen_at, CAST(embedding AS DOUBLE[]) AS e,
+               row_number() OVER (PARTITION BY tenant_id, service ORDER BY {time_col}, {id_col}) AS n FROM {source}),
+      novelty AS (
+        SELECT tenant_id, service, n, id, seen_at, CAST(NULL AS DOUBLE) AS sim, CAST(NULL AS BIGINT) AS nearest_id,
+               [{{'id': id, 'e': e}}] AS stored FROM arrivals WHERE n = 1
+        UNION ALL
+        SELECT tenant_id, service, n, id, seen_at, best.s, -best.i,
+               CASE WHEN best.s < {threshold} THEN list_append(stored, {{'id': id, 'e': e}}) ELSE stored END
+        FROM (SELECT o.tenant_id, o.service, o.n, o.id, o.seen_at, o.e, f.stored,
+                     list_max(list_transform(f.stored, lambda x: {{'s': round(list_cosine_similarity(x.e, o.e), 9), 'i': -x.id}})) AS best
+              FROM novelty f JOIN arrivals o ON o.tenant_id = f.tenant_id AND o.service = f.service AND o.n = f.n + 1))"""
+
+
 _SEM = """, sem0 AS (
     SELECT CAST(user_id % 5 AS VARCHAR) AS tenant_id, event_type AS service,
            CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket,
@@ -186,23 +205,14 @@ ORACLES = {
              round((n - baseline_mean) / baseline_std, 4) AS z_score
       FROM per_event WHERE (n - baseline_mean) / baseline_std > 3
       QUALIFY row_number() OVER (PARTITION BY tenant_id, service, bucket, metric ORDER BY ts, log_id) = 1""",
-    "semantic_novelty": """WITH RECURSIVE ordered AS (
-        SELECT tenant_id, service, vec_id, CAST(embedding AS DOUBLE[]) AS e,
-               row_number() OVER (PARTITION BY tenant_id, service ORDER BY created_at, vec_id) AS n FROM vec_v),
-      fold AS (
-        SELECT tenant_id, service, n, vec_id, CAST(NULL AS DOUBLE) AS sim, [e] AS stored FROM ordered WHERE n = 1
-        UNION ALL
-        SELECT tenant_id, service, n, vec_id, sim,
-               CASE WHEN sim < 0.3 THEN list_append(stored, e) ELSE stored END
-        FROM (SELECT o.tenant_id, o.service, o.n, o.vec_id, o.e, f.stored,
-                     round(list_max(list_transform(f.stored, lambda s: list_cosine_similarity(s, o.e))), 9) AS sim
-              FROM fold f JOIN ordered o ON o.tenant_id = f.tenant_id AND o.service = f.service AND o.n = f.n + 1))
-      SELECT tenant_id, service, vec_id AS id, round(sim, 6) AS similarity FROM fold WHERE sim < 0.3""",
+    "semantic_novelty": f"""WITH RECURSIVE {novelty_fold("vec_v", "vec_id", "created_at", 0.3)}
+      SELECT tenant_id, service, id, round(sim, 6) AS similarity, nearest_id, {NOVELTY_SEVERITY.format('1 - sim')} AS severity
+      FROM novelty WHERE sim < 0.3""",
     "novel_vs_baseline": """WITH halves AS (
         SELECT *, CAST(embedding AS DOUBLE[]) AS e, avg(vec_id) OVER (PARTITION BY tenant_id, service) AS mid FROM vec_v),
       best AS (
         SELECT q.tenant_id, q.service, q.vec_id AS query_id, c.vec_id AS item_id,
-               round(greatest(0, least(1, list_cosine_similarity(q.e, c.e))), 6) AS similarity
+               round(list_cosine_similarity(q.e, c.e), 6) AS similarity
         FROM halves q JOIN halves c ON q.tenant_id = c.tenant_id AND q.service = c.service
         WHERE q.vec_id > q.mid AND c.vec_id <= c.mid
         QUALIFY row_number() OVER (PARTITION BY q.tenant_id, q.service, q.vec_id

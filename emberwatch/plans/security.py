@@ -121,6 +121,9 @@ def _scan_sql(rules, tag="p"):
 _ctes_i, _last_i = _chain("src", _INJ, "i")
 _ctes_p, _last_p = _chain(_last_i, _PII, "p")
 _FULL = f"WITH {_SRC}, {_ctes_i}, {_ctes_p}"
+#: The log table with redacted messages, as ``clean``.
+CLEAN = (f"src AS (SELECT *, message AS txt FROM logs_v), {_ctes_i}, {_ctes_p}, "
+         f"clean AS (SELECT * EXCLUDE (message, txt), txt AS message FROM {_last_p})")
 _JSON_LIST = "'[' || CASE WHEN {0} = '' THEN '' ELSE '\"' || replace({0}, ',', '\",\"') || '\"' END || ']'"
 
 ORACLES = {

@@ -59,7 +59,8 @@ ORACLES = {
       WHERE bucket + 3600 <= (SELECT epoch(max(ts)) FROM logs_v)"""),
     "stream_cooldown": anomaly.ORACLES["alert_cooldown"],
     "stream_correlate": correlate.ORACLES["correlate"],
-    "stream_novelty": anomaly.ORACLES["semantic_novelty"],
+    "stream_novelty": with_views(f"""WITH RECURSIVE {anomaly.novelty_fold("vec_v", "vec_id", "created_at", 0.3)}
+        SELECT tenant_id, service, id, round(sim, 6) AS similarity FROM novelty WHERE sim < 0.3"""),
     "stream_pass_rate": with_views("""
         SELECT tenant_id, CAST(count(*) FILTER (faithfulness_score > 0.7 AND hallucination_score > 0.7) AS BIGINT) AS passed,
                count(*) AS seen,
