@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.text import tokens
 from emberwatch.operators.ordered import newest
-from emberwatch.operators.vectors import blocked_scores, hash_bands
+from emberwatch.operators.vectors import blocked_scores, fit_cells, in_cells
 from emberwatch.session import saved
 
 
@@ -67,12 +67,21 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, *, k: int = 10, block_ro
     return blocked_scores(queries, vectors, ["tenant_id"], k=k, block_rows=block_rows)
 
 
-def vector_topk_ann(queries: DataFrame, vectors: DataFrame, *, k: int = 10, dim: int, bands: int = 16,
-                    bits: int = 5, block_rows: int = 4096) -> DataFrame:
-    """Approximate top ``k``: candidates share a hash-table cell; cells are scored in bounded blocks."""
-    q = hash_bands(queries.select("tenant_id", "query_id", "embedding"), dim=dim, bands=bands, bits=bits)
-    v = hash_bands(vectors.select("tenant_id", "item_id", "embedding"), dim=dim, bands=bands, bits=bits)
-    return blocked_scores(q, v, ["tenant_id", "_band", "_code"], k=k, block_rows=block_rows, distinct=True)
+def vector_topk_ann(queries: DataFrame, vectors: DataFrame, *, k: int = 10, cells: int = 16, probes: int = 12,
+                    sample: int = 20_000, block_rows: int = 4096) -> DataFrame:
+    """Approximate top ``k``: every vector lies in the cell of its nearest centre, and a query is scored exactly
+    against its ``probes`` nearest cells, in bounded blocks.
+
+    Centres come from a sample of at most ``sample`` vectors; all vectors are indexed. The share of pairs scored is
+    about ``probes / cells``. Vectors that lie in clusters reach a recall above 0.9 with few probes; for vectors
+    without any structure, as in the test tables, it takes three quarters of the cells, and no index does much better.
+    """
+    centres = fit_cells(vectors, cells=cells, sample=sample)
+    if not len(centres):
+        return blocked_scores(queries, vectors, ["tenant_id"], k=k, block_rows=block_rows)
+    q = in_cells(queries.select("tenant_id", "query_id", "embedding"), centres, probes)
+    v = in_cells(vectors.select("tenant_id", "item_id", "embedding"), centres, 1)
+    return blocked_scores(q, v, ["tenant_id", "_cell"], k=k, block_rows=block_rows, distinct=True)
 
 
 def rrf(*ranked: DataFrame, k: int = 60, names: tuple[str, ...] = ("bm25", "vector")) -> DataFrame:

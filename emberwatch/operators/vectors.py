@@ -1,4 +1,4 @@
-"""Exact nearest-neighbour scoring in bounded blocks, and hash tables for approximate search."""
+"""Exact nearest-neighbour scoring in bounded blocks, and cells for approximate search."""
 
 from __future__ import annotations
 
@@ -84,22 +84,35 @@ def blocked_scores(queries: DataFrame, corpus: DataFrame, keys: list[str], *, k:
             .cogroup(_blocks(c, sizes, keys, "item_id", "cb", "qb").groupBy(*group))
             .applyInPandas(score, schema))
     if distinct:
-        # The same pair can meet under several keys (hash tables): keep it once.
+        # Under several keys (cells) a query has a list for each: one list of distinct items.
         plain = [x for x in keys if not x.startswith("_")]
         best = best.groupBy(*plain, "query_id", "item_id").agg(F.max("similarity").alias("similarity"))
         keys = plain
     return newest(best, [*keys, "query_id"], [F.desc("similarity"), "item_id"], k, rank="rank")
 
 
-def hash_bands(df: DataFrame, *, dim: int, bands: int = 16, bits: int = 6, seed: int = 7) -> DataFrame:
-    """One row per (row, band) with the sign pattern of ``bits`` random projections."""
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim))
-    weights = (1 << np.arange(bits)).astype("int64")
+def fit_cells(vectors: DataFrame, *, cells: int, sample: int = 20_000, rounds: int = 10) -> np.ndarray:
+    """Cell centres by spherical k-means on at most ``sample`` vectors, chosen by a hash of the id."""
+    rows = vectors.select("embedding", F.xxhash64("item_id").alias("_h")).orderBy("_h").limit(sample).toPandas()
+    m = unit_rows(rows["embedding"]) if len(rows) else np.zeros((0, 1))
+    centres = m[:min(cells, len(m))].copy()
+    for _ in range(rounds if len(m) else 0):
+        at = (m @ centres.T).argmax(axis=1)
+        for j in range(len(centres)):
+            mean = m[at == j].sum(axis=0)
+            if np.linalg.norm(mean) > 0:
+                centres[j] = mean / np.linalg.norm(mean)
+    return centres
 
-    @F.pandas_udf("array<long>")
-    def sign_codes(vectors: pd.Series) -> pd.Series:
-        signs = (np.array(vectors.tolist(), dtype="float64") @ planes.T) > 0
-        codes = signs.reshape(len(vectors), bands, bits).astype("int64") @ weights
-        return pd.Series(list(codes))
 
-    return df.select("*", F.posexplode(sign_codes("embedding")).alias("_band", "_code"))
+def in_cells(df: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
+    """One row per (row, cell) for the ``probes`` nearest cells, as column ``_cell``."""
+
+    @F.pandas_udf("array<int>")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        near = np.argsort(-(unit_rows(vectors) @ centres.T), axis=1, kind="stable")[:, :probes]
+        return pd.Series(list(near.astype("int32")))
+
+    return df.withColumn("_cell", F.explode(nearest("embedding")))

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from emberwatch.operators import retrieval as op
 from emberwatch.plans.fixtures import Tables, with_views
 
-DIM = 64
-
 
 def full_corpus(t: Tables) -> DataFrame:
     return t.past.withColumn("text", F.concat_ws(" ", "description", "root_cause"))
@@ -48,7 +46,7 @@ QUERIES = {
     "bm25_topk_epsilon": lambda t: op.bm25_topk(t.kbq, full_corpus(t), idf="epsilon")
         .select("tenant_id", "query_id", "incident_id", "score", "rank"),
     "vector_topk": lambda t: op.vector_topk(*all_vectors(t)).select("tenant_id", "query_id", "item_id", "similarity", "rank"),
-    "vector_topk_ann": lambda t: op.vector_topk_ann(*all_vectors(t), dim=DIM, bands=8, bits=3).select(
+    "vector_topk_ann": lambda t: op.vector_topk_ann(*all_vectors(t)).select(
         "tenant_id", "query_id", "item_id", "similarity", "rank"),
     "rrf": lambda t: (lambda f: f.select("tenant_id", "query_id", "item_id", *_ranks(f), F.round("rrf_score", 9).alias("rrf_score")))(fused(t)),
     "rerank_topk": lambda t: op.rerank_topk(fused(t)).select("tenant_id", "query_id", "item_id", "score", "final_rank"),

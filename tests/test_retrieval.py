@@ -47,10 +47,21 @@ def test_ann_recall(spark):
     c = spark.createDataFrame(data, "tenant_id string, item_id long, embedding array<float>")
     q = c.where("item_id % 20 < 3").withColumnRenamed("item_id", "query_id")
     exact = set(rows(retrieval.vector_topk(q, c, k=5).select("query_id", "item_id")))
-    near = set(rows(retrieval.vector_topk_ann(q, c, k=5, dim=16, bands=12, bits=4, block_rows=50).select("query_id", "item_id")))
+    near = set(rows(retrieval.vector_topk_ann(q, c, k=5, cells=20, probes=4, block_rows=50).select("query_id", "item_id")))
     assert len(exact & near) / len(exact) > 0.9
 
 
+def test_ann_recall_without_clusters(spark):
+    c = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(
+        (F.col("label") % 5).cast("string").alias("tenant_id"), F.col("vec_id").alias("item_id"), "embedding")
+    q = c.withColumnRenamed("item_id", "query_id")
+    exact = set(rows(retrieval.vector_topk(q, c).select("query_id", "item_id")))
+    near = retrieval.vector_topk_ann(q, c).select("query_id", "item_id", "rank")
+    assert near.groupBy("query_id").count().agg(F.max("count")).first()[0] == 10
+    assert len(exact & set(rows(near.select("query_id", "item_id")))) / len(exact) >= 0.9
+    assert retrieval.vector_topk_ann(q, c.limit(0)).count() == 0
+
+
 def test_bm25_formula_ties_and_negative_idf(spark):
     docs = ["red apple pie", "red car", "green pear apple apple", "blue sky over red sea", "grey fox"]
     corpus = spark.createDataFrame([(f"d{i}", "t", i, d) for i, d in enumerate(docs)], "incident_id string, tenant_id string, n int, text string"
