@@ -21,19 +21,17 @@ def week_label(ts: Column) -> Column:
     return F.format_string("logs_y%04d_w%02d", F.year(thursday), F.weekofyear(thursday))
 
 
-def write_weekly(logs: DataFrame, path: str, *, ts_col: str = "ts", files_per_week: int = 1,
-                 mode: str = "append") -> None:
+def write_weekly(logs: DataFrame, path: str, *, ts_col: str = "ts", parts: int | None = None, mode: str = "append") -> None:
     """Write logs partitioned by week, sorted so tenant and time filters skip row groups.
 
-    A hot week is spread over ``files_per_week`` tasks instead of one.
+    Rows are dealt by ranges of (week, tenant, time) with equal numbers of rows, so a hot week or tenant is spread over
+    as many tasks and files as it has rows for, and a quiet week lies in one file. ``parts`` is the number of ranges
+    (default: the session's shuffle partitions).
     """
-    salt = F.pmod(F.xxhash64("tenant_id", ts_col), F.lit(files_per_week))
-    (logs.withColumn("week", week_start(F.col(ts_col)))
-         .withColumn("_salt", salt)
-         .repartition("week", "_salt")
-         .sortWithinPartitions("week", "tenant_id", ts_col)
-         .drop("_salt")
-         .write.mode(mode).partitionBy("week").parquet(path))
+    order = ["week", "tenant_id", ts_col]
+    dated = logs.withColumn("week", week_start(F.col(ts_col)))
+    dealt = dated.repartitionByRange(*([parts] if parts else []), *order)
+    dealt.sortWithinPartitions(*order).write.mode(mode).partitionBy("week").parquet(path)
 
 
 def read_weekly(spark: SparkSession, path: str, *, start: str, end: str, ts_col: str = "ts") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from emberwatch.operators.evaluate import is_passed
 from emberwatch.operators.ingest import bad_tenants, batch_dedup_trace, dead_letter, sink_rows, upsert_latest
 from emberwatch.session import shared_dir
-from emberwatch.sources.tables import week_start
+from emberwatch.sources.tables import week_start, write_weekly
 
 
 def bucket_counts_stream(logs: DataFrame, *, bucket_s: int = 60, lateness: str = "10 minutes") -> DataFrame:
@@ -54,13 +54,18 @@ def log_sink(logs: DataFrame, path: str, checkpoint: str, *, trigger: dict | Non
         if dedup_traces:
             batch = batch_dedup_trace(batch.withColumn("_b", F.lit(0)), batch="_b", order="log_id").drop("_b")
         rows = sink_rows(batch).withColumn("week", week_start(F.col("ts")))
-        (rows.sortWithinPartitions("week", "tenant_id", "ts")
+        (rows.repartitionByRange("week", "tenant_id", "ts").sortWithinPartitions("week", "tenant_id", "ts")
          .write.mode("overwrite").partitionBy("week").parquet(f"{path}/batch={batch_id}"))
 
     writer = logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
 
 
+def compact_sink(spark: SparkSession, path: str, out: str, *, parts: int | None = None) -> None:
+    """Rewrite all batches of ``log_sink`` into the weekly layout at ``out``, few large files instead of many small ones."""
+    write_weekly(spark.read.parquet(path).drop("batch", "week"), out, parts=parts, mode="overwrite")
+
+
 def change_log_sink(rows: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
     """Keyed updates as an append-only change log; ``read_current`` merges it per key on read."""
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -75,6 +80,11 @@ def read_current(spark: SparkSession, path: str, keys: list[str], *, seq: str) -
     return upsert_latest(log, log.limit(0), keys, seq=seq)
 
 
+def compact_changes(spark: SparkSession, path: str, out: str, keys: list[str], *, seq: str) -> None:
+    """Merge a change log into one snapshot at ``out``, itself a change log: later batches written beside it merge on."""
+    read_current(spark, path, keys, seq=seq).write.mode("overwrite").parquet(f"{out}/batch=-1")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder name under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -89,7 +89,7 @@ def test_weekly_layout_prunes(spark, tmp_path):
     df = spark.createDataFrame([(i, "t", d, "{}") for i, d in enumerate(days)], "log_id int, tenant_id string, ts timestamp, metadata string")
     labels = {r[0]: r[1] for r in df.select(week_start(F.col("ts")).cast("string"), week_label(F.col("ts"))).distinct().collect()}
     assert labels == {"2024-12-23": "logs_y2024_w52", "2024-12-30": "logs_y2025_w01", "2025-01-06": "logs_y2025_w02"}
-    write_weekly(df, str(tmp_path / "logs"), files_per_week=2)
+    write_weekly(df, str(tmp_path / "logs"), parts=4)
     got = read_weekly(spark, str(tmp_path / "logs"), start="2024-12-31 00:00:00", end="2025-01-02 00:00:00")
     assert sorted(r.log_id for r in got.collect()) == [3, 4]
     plan = got._jdf.queryExecution().executedPlan().toString()

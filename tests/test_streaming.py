@@ -154,6 +154,11 @@ def test_change_log_merges_on_read(spark):
     got = {r.id: (r.v, r.created_at) for r in flows.read_current(spark, path, ["id"], seq="seq").collect()}
     assert got["a"][0] == "new" and got["b"][0] == "only"
     assert got["a"][1] == got["b"][1]  # creation time of the first version stays
+    snapshot = flows.scratch(spark, "snapshot")
+    flows.compact_changes(spark, path, snapshot, ["id"], seq="seq")
+    spark.createDataFrame([("b", 2, "newer", T0 + dt.timedelta(2))], df.schema).write.parquet(f"{snapshot}/batch=0")
+    later = {r.id: (r.v, r.created_at) for r in flows.read_current(spark, snapshot, ["id"], seq="seq").collect()}
+    assert later == {"a": ("new", got["a"][1]), "b": ("newer", got["b"][1])}
 
 
 def test_topics_by_files(spark):
