@@ -345,3 +345,10 @@ def test_quality_of_odd_rows(spark, nasty, nasty_rows, nothing):
     one_kind = quality.classify(nasty, labels.where("quality = 1")).collect()
     assert {r.score for r in one_kind} == {0.5}
     assert quality.classify(nothing, labels).count() == 0
+
+
+def test_buckets_are_files_of_one_length(spark, nasty, tmp_path):
+    pieces = packing.pack(nasty, tokenizer_file("byte_bpe_50k.json"))
+    packing.write_buckets(pieces, f"{tmp_path}/buckets")
+    got = spark.read.parquet(f"{tmp_path}/buckets")
+    assert got.count() == pieces.count() and got.where("size(ids) <> length").count() == 0
