@@ -43,8 +43,8 @@ def detected(t: Tables) -> DataFrame:
 def pipeline_incidents(t: Tables) -> DataFrame:
     """Incidents of the detected alerts with the size of their context before and after reduction."""
     incidents = correlate.incident_fields(correlate.correlate(detected(t), window_s=WINDOW_S, chunk_s=7 * DAY), window_s=WINDOW_S)
-    lines = context.context_tagged(context.context_logs_before(incidents, clean_logs(t), minutes=24 * 60))
-    stats = context.compression_stats(lines).select(F.col("set_id").alias("incident_id"), "tenant_id", "log_count", "log_count_out")
+    lines = context.context_logs_before(incidents, clean_logs(t), minutes=24 * 60)
+    stats = context.compression_sizes(lines).select(F.col("set_id").alias("incident_id"), "tenant_id", "log_count", "log_count_out")
     return (incidents.join(stats, ["incident_id", "tenant_id"], "left").fillna(0, ["log_count", "log_count_out"])
             .select("incident_id", "tenant_id", iso(F.col("created_at")).alias("created_at"), "is_cascade", "severity",
                     F.array_join("alert_ids", ",").alias("alert_ids"), F.array_join("affected_services", ",").alias("affected_services"),

@@ -24,7 +24,7 @@ def reduced(t: Tables) -> DataFrame:
 
 
 def stats(t: Tables) -> DataFrame:
-    return context.compression_stats(context.context_tagged(ctx(t)))
+    return context.compression_sizes(ctx(t))
 
 
 def looked_up(t: Tables) -> DataFrame:
