@@ -6,8 +6,9 @@ counts of the bytes that followed it. A byte seen c times after a context with n
 context, without the bytes already ruled out; below the empty context all bytes not ruled out are equal. The counts
 are frozen after training, so a text's code length is a sum over its bytes and the shortest language wins.
 
-Training reads a bounded sample: up to `docs_per_lang` whole documents of each language (fixed choice by a hash of
-the id), of at most `max_langs` languages. Prediction reads the text alone. Ties go to the first language by name.
+Training reads a bounded sample of every language that occurs: up to `docs_per_lang` whole documents of each (fixed
+choice by a hash of the id). Languages are frozen in groups whose cost table stays below `table_mb`, and a worker holds
+one group at a time: a text's code lengths are those of one table of all languages. Prediction reads the text alone. Ties go to the first language by name.
 Null texts and texts without a letter are `und` with score 0, as is everything when nothing could be learned. Rows
 are scored one by one, so repeated rows and null ids are no matter; other columns play no part.
 """
@@ -23,9 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from emberwatch.llm.common import stored
+
 #: Bytes scored at a time.
 SPAN = 1 << 18
 UNKNOWN = "und"
+#: Rows of the sample that are broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 
 
 def folded(text: str | None) -> bytes:
@@ -61,6 +66,20 @@ class Model:
         return total
 
 
+@dataclass
+class Models:
+    """One model for each group of languages, by name."""
+
+    parts: list[Model]
+
+    @property
+    def langs(self) -> list[str]:
+        return [lang for part in self.parts for lang in part.langs]
+
+    def code_lengths(self, data: bytes) -> np.ndarray:
+        return np.concatenate([part.code_lengths(data) for part in self.parts])
+
+
 def gram_counts(data: bytes, order: int) -> list[tuple[int, int, int]]:
     """(context length, packed context and byte, count) of a text for every context length."""
     raw = np.frombuffer(data, np.uint8).astype(np.int64)
@@ -74,9 +93,10 @@ def gram_counts(data: bytes, order: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def freeze(counts: dict[str, dict[int, dict[int, int]]], order: int, least: int = 2) -> Model:
+def freeze(counts: dict[str, dict[int, dict[int, int]]], order: int, least: int = 2, common: np.ndarray | None = None) -> Model:
     """counts: language -> context length -> packed (context, byte) -> count. Contexts of the full order that were
-    met less than `least` times in all are left to their suffix: the trees grow deep only where there is evidence."""
+    met less than `least` times in all are left to their suffix: the trees grow deep only where there is evidence.
+    For a group of languages, common has the packed contexts of the full order that all languages together met as often."""
     langs = sorted(counts)
     grams = {(lang, k): (np.array(list(c), np.int64), np.array(list(c.values()), np.float64))
              for lang in langs for k, c in counts[lang].items()}
@@ -100,7 +120,10 @@ def freeze(counts: dict[str, dict[int, dict[int, int]]], order: int, least: int
         both = [packed.get((lang, k), nothing) for lang in langs]
         known, at = np.unique(np.concatenate([g // size for g, _ in both]), return_inverse=True)
         met = np.bincount(at, np.concatenate([c for _, c in both]), len(known))
-        contexts.append(known[met >= (least if k == order else 1)])
+        if k == order and common is not None:
+            contexts.append(known[np.isin(known, pack(common, k - 1))])
+        else:
+            contexts.append(known[met >= (least if k == order else 1)])
     first = np.cumsum([0] + [len(c) for c in contexts])
     bits = np.empty((int(first[-1]), size, len(langs)), np.float32)
     for at, lang in enumerate(langs):
@@ -134,23 +157,32 @@ def freeze(counts: dict[str, dict[int, dict[int, int]]], order: int, least: int
     return Model(langs, symbols, size, order, rows.reshape(-1), bits.reshape(-1, len(langs)))
 
 
+def grouped(sizes: list[tuple[str, int, int]], limit: float) -> list[list[str]]:
+    """Languages, by name, in groups whose table has at most `limit` bytes; sizes: (language, contexts, bytes that occur)."""
+    groups, contexts, symbols = [], 0, 0
+    for lang, own, seen in sorted(sizes):
+        contexts, symbols = contexts + own, symbols + seen
+        if not groups or 4 * contexts * (min(symbols, 256) + 1) * (len(groups[-1]) + 1) > limit:
+            groups.append([])
+            contexts, symbols = own, seen
+        groups[-1].append(lang)
+    return groups
+
+
 def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          order: int = 3, docs_per_lang: int = 100, max_langs: int = 64) -> Model | None:
+          order: int = 3, docs_per_lang: int = 100, table_mb: int = 512) -> Models | None:
     """Fit on the sample; usable tells the rows that may be learned from."""
     order_by = Window.partitionBy("lang").orderBy("h", "id")
     known = docs.where(usable & docs[lang_col].isNotNull() & docs[id_col].isNotNull())
-    chosen = known.select(known[id_col].alias("id"), known[lang_col].alias("lang"),
+    chosen = known.select(known[id_col].alias("id"), known[lang_col].cast("string").alias("lang"),
                           F.xxhash64(F.lit(5), known[id_col]).alias("h")).distinct()
     # First the best of each of 64 parts of a language, then the best of those: no task reads a whole language.
     part = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h", "id")
     for window in (part, order_by):
         chosen = chosen.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= docs_per_lang)
-    picked = chosen.select("id", "lang").limit(docs_per_lang * (max_langs + 1)).toPandas()
-    langs = sorted(set(picked["lang"]))
-    if not langs:
-        return None
-    if len(langs) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    wanted = stored(chosen.select("id").distinct(), "sample")
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,38 +193,60 @@ def train(docs: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str
                     [pa.array([lang] * len(made), pa.string()), pa.array(k, pa.int32()), pa.array(g, pa.int64()),
                      pa.array(c, pa.int64())], names=["lang", "k", "g", "c"])
 
-    # At most docs_per_lang * max_langs ids.
-    wanted = F.broadcast(docs.sparkSession.createDataFrame(picked[["id"]].drop_duplicates(), known.select(F.col(id_col).alias("id")).schema))
-    texts = known.select(known[id_col].alias("id"), known[lang_col].alias("lang"), known[text_col].cast("string").alias("t"))
+    texts = known.select(known[id_col].alias("id"), known[lang_col].cast("string").alias("lang"), known[text_col].cast("string").alias("t"))
     texts = texts.join(wanted, "id", "left_semi").select("lang", "t")
     sums = texts.mapInArrow(run, "lang string, k int, g long, c long").groupBy("lang", "k", "g").agg(F.sum("c").alias("c"))
-    counts: dict[str, dict[int, dict[int, int]]] = {}
-    for lang, k, g, c in sums.toPandas().itertuples(index=False):
-        counts.setdefault(lang, {}).setdefault(k, {})[g] = c
-    return freeze(counts, order) if counts else None
-
-
-def predict(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    sums = stored(sums, "grams")
+    context = F.shiftright("g", 8)
+    sizes = sums.groupBy("lang", "k", context.alias("context")).agg(F.count("*").alias("n")).groupBy("lang").agg(
+        F.count("*").alias("contexts"), F.sum(F.when(F.col("k") == 0, F.col("n"))).alias("seen"))
+    groups = grouped([(r.lang, r.contexts, r.seen) for r in sizes.collect()], table_mb * 2 ** 20)
+    if len(groups) > 1:
+        met = sums.where(F.col("k") == order).groupBy(context.alias("context")).agg(F.sum("c").alias("met")).where("met >= 2")
+        sums = sums.join(met.withColumn("k", F.lit(order)), (sums["k"] == order) & (context == met["context"]), "left").select(
+            "lang", sums["k"], "g", "c", F.col("met").isNotNull().alias("met"))
+        sums = stored(sums, "grams-met")
+    models = []
+    for langs in groups:
+        rows = sums.where(F.col("lang").isin(langs)).toPandas()
+        counts: dict[str, dict[int, dict[int, int]]] = {}
+        for lang, k, g, c in rows[["lang", "k", "g", "c"]].itertuples(index=False):
+            counts.setdefault(lang, {}).setdefault(k, {})[g] = c
+        common = np.unique(rows["g"][(rows["k"] == order) & rows["met"]].to_numpy() >> 8) if len(groups) > 1 else None
+        models.append(freeze(counts, order, common=common))
+    return Models(models) if models else None
+
+
+def predict(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score: the share of the shortest code among all languages' probabilities."""
     spark = docs.sparkSession
-    # At most max_langs languages and the contexts of the bounded sample.
-    shared = spark.sparkContext.broadcast(model)
+    # Each table has at most table_mb, or one language.
+    shared = [spark.sparkContext.broadcast(model) for model in (models.parts if models else [])]
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            langs, scores = [], []
-            for text in batch.column(text_col):
-                text = text.as_py()
-                if own is None or not has_letter(text):
-                    langs.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                bits = own.code_lengths(folded(text))
-                best = int(bits.argmin())
-                langs.append(own.langs[best])
-                scores.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
+            column = batch.column(text_col)
+            langs, best, total = [UNKNOWN] * len(column), np.full(len(column), np.inf), np.zeros(len(column))
+            for table in shared:
+                own = table.value
+                for i, text in enumerate(column):
+                    text = text.as_py()
+                    if not has_letter(text):
+                        continue
+                    bits = own.code_lengths(folded(text))
+                    least = bits.min()
+                    share = np.exp2(np.maximum(least - bits, -1000)).sum()
+                    if least < best[i]:
+                        langs[i] = own.langs[int(bits.argmin())]
+                        total[i] = share + (total[i] * np.exp2(max(least - best[i], -1000)) if total[i] else 0)
+                        best[i] = least
+                    else:
+                        total[i] += share * np.exp2(max(best[i] - least, -1000))
+                if len(shared) > 1:  # the next group takes its place; value reads it again
+                    del own
+                    table.__dict__.pop("_value", None)
+            scores = np.divide(1, total, out=np.zeros(len(column)), where=total > 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())],
                                              names=[*batch.schema.names, "lang_pred", "score"])
 

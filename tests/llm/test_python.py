@@ -259,6 +259,21 @@ def test_language_of_odd_rows(nasty, nasty_rows, nothing):
     assert langid.identify(nothing).count() == 0 and langid.keep_identified(nothing).count() == 0
 
 
+def test_more_languages_than_one_table_holds(spark):
+    """70 languages, each in a script or vocabulary of its own; groups give what one table gives."""
+    rnd = random.Random(4)
+    rows = []
+    for n in range(70):
+        words = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(12)]
+        rows += [(100 * n + i, " ".join(rnd.choice(words) for _ in range(30)), f"l{n:02d}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = {r.doc_id: r for r in langid.identify(docs, table_mb=4096).collect()}
+    assert all(whole[i].lang_pred == lang for i, _, lang in rows)
+    parts = {r.doc_id: r for r in langid.identify(docs, table_mb=2).collect()}
+    assert len(langid.train(docs, ~langid.held_out(docs.doc_id), table_mb=2).parts) > 1
+    assert all(parts[i].lang_pred == r.lang_pred and abs(parts[i].score - r.score) < 1e-3 for i, r in whole.items())
+
+
 # Packing
 
 
