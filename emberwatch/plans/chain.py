@@ -19,9 +19,13 @@ def clean_logs(t: Tables) -> DataFrame:
 
 
 def log_vectors(t: Tables, logs: DataFrame) -> DataFrame:
-    """Error logs with a vector of the embeddings table (by id, round and round)."""
-    vectors = t.embeddings.where("vec_id < 500").select(F.col("vec_id").alias("_v"), "embedding")
-    return (logs.where(F.col("level").isin(*anomaly.ERROR_LEVELS)).withColumn("_v", F.col("log_id") % 500).join(vectors, "_v")
+    """Error logs with a vector of the embeddings table: all vectors by their position in the order of ids, round and
+    round, so that every error log has one. Without any vector there are none."""
+    places = t.embeddings.select("vec_id").orderBy("vec_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
+    places = t.spark.createDataFrame(places, "vec_id long, _v long")
+    vectors = t.embeddings.join(places, "vec_id").select("_v", "embedding")
+    place = F.pmod("log_id", F.lit(max(1, t.embeddings.count())))
+    return (logs.where(F.col("level").isin(*anomaly.ERROR_LEVELS)).withColumn("_v", place).join(vectors, "_v")
             .select("tenant_id", "service", F.col("log_id").alias("id"), "ts", "embedding"))
 
 

@@ -106,3 +106,15 @@ def test_eviction(spark):
         left = anomaly.evict_oldest(df, max_size=10, batch=3, chunk_s=chunk)
         assert sorted(rows(left.select("tenant_id", "id"))) == sorted(
             (t, i) for t, n in sizes.items() for i in evict_one_by_one(range(n), 10, 3))
+
+
+def test_every_error_log_of_the_chain_has_a_vector(spark):
+    """1,200 vectors with gaps between their ids: all of them enter, and no error log is dropped."""
+    from types import SimpleNamespace
+
+    from emberwatch.plans.chain import log_vectors
+
+    embeddings = spark.range(1200).selectExpr("id * 3 AS vec_id", "array(cast(id AS float)) AS embedding")
+    logs = spark.range(3000).selectExpr("id AS log_id", "'t' AS tenant_id", "'s' AS service", "'ERROR' AS level", "timestamp_seconds(id) AS ts")
+    got = {r.id: r.embedding[0] for r in log_vectors(SimpleNamespace(spark=spark, embeddings=embeddings), logs).collect()}
+    assert got == {i: float(i % 1200) for i in range(3000)}
