@@ -3,12 +3,14 @@
 Each page is cut into elements; every element's subtree gets a hash of its tags and text. Spark counts, per host, in
 how many different pages a subtree occurs (copies of a whole page count once), and subtrees found in many pages of
 the host are deleted: menus, headers, footers, sidebars, notices and adverts are what a site repeats. Elements whose
-tag, role or class names such a part go even where they occur once, as do head, forms, scripts, styles and comments.
+tag, role or class names such a part go even where they occur once, as do head, forms, scripts, styles and comments;
+but a class, id or role says nothing of an element with an article or most of the page's text inside, which is a
+wrapper, and if all articles of a page lie in parts named by their tag (a form around the page), these are no parts.
 
-The article is not a template, however often its passages recur: where a page has an article (or main) element, the
-text is taken from inside it, and there a recurring subtree is deleted only if it is a container (no heading,
-paragraph or other prose) holding at most half of the article's text. Where a page has none, all of the body counts,
-and a recurring subtree goes if it holds at most half of the body's text.
+Where a page has an article (or main) element, the text is taken from inside it, and there a recurring subtree is
+deleted only if it holds at most half of the article's text; headings, paragraphs and other prose need more evidence
+than containers. Where a page has none, all of the body counts, and a recurring subtree goes if it holds at most half
+of the body's text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
 order by two line feeds. Null or empty html gives an empty text. Rows are told apart by their content, so repeated
@@ -37,10 +39,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 #: Elements that stand inside a line of text.
 INLINE = set("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span "
              "strike strong sub sup time tt u var wbr br img".split())
-#: Prose, which inside an article is never taken for a template.
+#: Prose, which inside an article needs more evidence to be taken for a template.
 PROSE = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption tr".split()) | INLINE
 NOT_TEXT = set("head title script style noscript template iframe object svg canvas nav footer aside form button select "
                "textarea input dialog menu noembed noframes audio video map".split())
+#: Those of them that may stand around the article of a page.
+AROUND = set("nav header footer aside form dialog menu".split())
 #: Words of a class, id or role that name a part beside the article.
 PARTS = set("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar "
             "navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside widget cookie cookies consent gdpr "
@@ -58,42 +62,47 @@ ENDS_OWN = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 NAMED = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 SPACE = re.compile(r"\s+")
+FOLDS = 65536
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "root", "hash", "chars", "blocks")
+    __slots__ = ("tag", "parent", "dropped", "root", "named", "at", "holds", "hash", "chars", "blocks")
 
-    def __init__(self, tag: str, parent: Element | None, dropped: bool, root: bool) -> None:
-        self.tag, self.parent, self.dropped, self.root = tag, parent, dropped, root
+    def __init__(self, tag: str, parent: Element | None, dropped: bool, root: bool, named: str = "", at: int = -1) -> None:
+        self.tag, self.parent, self.dropped, self.root, self.named, self.at, self.holds = tag, parent, dropped, root, named, at, False
         self.hash, self.chars, self.blocks = xxhash.xxh64(tag), 0, []
 
 
-def names_part(tag: str, attrs: str, in_article: bool) -> bool:
-    """Whether tag or attributes name a part that is not article text."""
+def names_part(tag: str, attrs: str, in_article: bool) -> str:
+    """What names a part that is not article text: its tag, a name among its attributes, or that it is not shown."""
     if tag in NOT_TEXT or tag == "header" and not in_article:
-        return True
+        return "tag" if tag in AROUND else "unseen"
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return ""
+    part = ""
     for name, *values in ATTRIBUTE.findall(attrs):
         value, name = next((v for v in values if v), ""), name.lower()
         if name == "style":
             if re.search(r"display\s*:\s*none", value, re.I):
-                return True
+                return "unseen"
         elif name == "aria-hidden":
             if value.lower() == "true":
-                return True
+                return "unseen"
         elif name in ("class", "id", "role") and tag not in ("html", "body"):
             own = BESIDE if tag in ("article", "main") else PARTS - TITLES if in_article else PARTS
             if any(w.lower() in own for w in NAMED.findall(value)):
-                return True
-    return re.search(r"(?:^|\s)hidden(?=[\s/]|$)", attrs) is not None
+                part = "name"
+    return "unseen" if re.search(r"(?:^|\s)hidden(?=[\s/]|$)", attrs) else part
 
 
-def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
-    """Blocks as (text, hashes of the deletable subtrees around it), and all hashes of deletable subtrees."""
+def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[str, list[int]]], list[int]]:
+    """Blocks as (text, hashes of the deletable subtrees around it), and all hashes of deletable subtrees. The hash of
+    prose inside an article is odd, every other even. spared: where elements start that are no parts, whatever their name."""
     top = Element("", None, False, False)
     at, made, text, pos, n_roots = top, [], [], 0, 0
     elements: list[Element] = []
+    marked: list[Element] = []  # elements with a name of a part
+    free = False  # whether an article is outside of all parts named by their tag
 
     def flush() -> None:
         if text:
@@ -169,10 +178,26 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
             said(" ")
         if tag in VOID or attrs.endswith("/") and tag in ("path", "circle", "rect", "use"):
             continue
-        dropped = at.dropped or names_part(tag, attrs, at.root)
+        named = names_part(tag, attrs, at.root)
+        if m.start() in spared:
+            named = ""
+        dropped = at.dropped or named != ""
         root = tag in ("article", "main") and not dropped
         n_roots += root
-        new = Element(tag, at, dropped, at.root or root)
+        new = Element(tag, at, dropped, at.root or root, named, m.start())
+        if named and named != "unseen":
+            marked.append(new)
+        if tag in ("article", "main") and not named and not spared:
+            around, up = set(), at
+            while up is not top and up.named != "unseen":
+                around.add(up.named)
+                up = up.parent
+            if up is top:
+                free |= "tag" not in around
+                up = at
+                while up is not top:
+                    up.holds = True
+                    up = up.parent
         up = at
         while up is not None:
             up.hash.update(b"<" + tag.encode())
@@ -189,15 +214,38 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
         leave()
     flush()
 
+    if marked and not spared:
+        # In a page with an article, only what is in the article is measured against it.
+        article = any(x.holds for x in marked) or any(x.tag in ("article", "main") for x in elements)
+
+        def wraps(e: Element) -> bool:
+            if e.named == "tag":
+                return e.holds and not free
+            if e.tag in ("article", "main"):
+                return False
+            if e.holds:
+                return True
+            up = e.parent
+            while up is not top and up.tag not in ("article", "main"):
+                up = up.parent
+            return (up is not top or not article) and 2 * e.chars > up.chars
+
+        again = frozenset(e.at for e in marked if wraps(e))
+        if again:
+            return parse(page, again)
+
     inside = n_roots > 0
     whole = sum(len(line) for line, e in made if e.root or not inside)
 
     def deletable(e: Element) -> bool:
         if not e.chars or e.tag in ("html", "body", "article", "main"):  # a page is never its own template
             return False
-        return 2 * e.chars <= whole and not (inside and e.tag in PROSE) if e.root or not inside else True
+        return 2 * e.chars <= whole if e.root or not inside else True
+
+    def key(e: Element) -> int:
+        return (e.hash.intdigest() - (1 << 63)) & ~1 | (inside and e.root and e.tag in PROSE)
 
-    hashes = {id(e): e.hash.intdigest() - (1 << 63) for e in elements if deletable(e)}
+    hashes = {id(e): key(e) for e in elements if deletable(e)}
     blocks = []
     for line, e in made:
         if e.root or not inside:
@@ -211,9 +259,11 @@ def parse(page: str) -> tuple[list[tuple[str, list[int]]], list[int]]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = 5, min_share: float = 0.05) -> DataFrame:
+            min_pages: int = 5, min_share: float = 0.05, prose_pages: int = 20, prose_share: float = 0.5,
+            prose_enough: int = 1000) -> DataFrame:
     """One row per page: id, url, text, n_chars. A subtree is a template when it is in at least min_pages different
-    pages of its host, and in at least min_share of them."""
+    pages of its host, and in at least min_share of them; prose inside articles when it is in at least
+    prose_pages, and in at least prose_share of them or in prose_enough."""
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +271,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             made = [parse(x.as_py() or "") for x in batch.column("html")]
             blocks = pa.array([[{"line": line, "around": around} for line, around in b] for b, _ in made],
                               pa.list_(pa.struct([("line", pa.string()), ("around", pa.list_(pa.int64()))])))
-            trees = pa.array([t for _, t in made], pa.list_(pa.int64()))
+            trees = pa.array([[{"tree": t, "held": t in held} for t in own] for b, own in made for held in [{x for _, a in b for x in a}]],
+                             pa.list_(pa.struct([("tree", pa.int64()), ("held", pa.bool_())])))
             keep = [batch.column(c) for c in ("id", "url", "host", "page")]
             yield pa.RecordBatch.from_arrays([*keep, blocks, trees], names=["id", "url", "host", "page", "blocks", "trees"])
 
@@ -230,19 +281,26 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     body = F.coalesce(pages[html_col].cast("string"), F.lit(""))
     rows = pages.select(pages[id_col].alias("id"), url.alias("url"), host.alias("host"), F.xxhash64(body).alias("page"), body.alias("html"))
     schema = (f"id {kind}, url string, host string, page long, blocks array<struct<line: string, around: array<bigint>>>, "
-              "trees array<bigint>")
+              "trees array<struct<tree: bigint, held: boolean>>")
     parsed = stored(rows.mapInArrow(run, schema), "pages")
-    once = parsed.select("host", "page", F.explode("trees").alias("tree")).distinct()
+    once = parsed.select("host", "page", F.explode("trees").alias("t")).select("host", "page", "t.tree", "t.held").distinct()
     seen = once.groupBy("host", "tree").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     sizes = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
-    recurring = seen.join(sizes, "host").where(F.col("pages") >= min_share * F.col("all_pages")).select("host", "tree")
+    prose = F.col("tree").bitwiseAND(F.lit(1)) == 1
+    bar = F.when(prose, F.greatest(F.lit(prose_pages), F.least(F.lit(prose_enough), prose_share * F.col("all_pages")))).otherwise(
+        F.greatest(F.lit(min_pages), min_share * F.col("all_pages")))
+    recurring = seen.join(sizes, "host").where(F.col("pages") >= bar).select("host", "tree")
     recurring = stored(recurring, "templates")
-    cut = once.join(recurring, ["host", "tree"]).groupBy("host", "page").agg(F.collect_set("tree").alias("cut"))
-    # Blocks with nothing deletable around them are final: only pages with others are shuffled to their cuts.
-    parsed = parsed.select("id", "url", "host", "page", "blocks", F.exists("blocks", lambda b: F.size(b["around"]) > 0).alias("open"))
-    rest = parsed.where("open").join(cut, ["host", "page"], "left")
+    cut = once.where("held").join(recurring, ["host", "tree"]).groupBy("host", "page").agg(F.collect_set("tree").alias("cut"))
+    cut = stored(cut, "cuts")
+    # Only pages with a cut are shuffled to it, and the few that share a folded key with them; the folded keys are
+    # broadcast, 65,536 at most.
+    folded = F.pmod(F.xxhash64("host", "page"), F.lit(FOLDS)).alias("fold")
+    folds = F.broadcast(cut.select(folded).distinct())
+    parsed = parsed.select("id", "url", "host", "page", "blocks", folded)
+    rest = parsed.join(folds, "fold", "left_semi").join(cut, ["host", "page"], "left")
     left = F.filter("blocks", lambda b: F.col("cut").isNull() | ~F.arrays_overlap(b["around"], F.col("cut")))
-    out = rest.select("id", "url", left.alias("blocks")).unionByName(parsed.where("NOT open").select("id", "url", "blocks"))
+    out = rest.select("id", "url", left.alias("blocks")).unionByName(parsed.join(folds, "fold", "left_anti").select("id", "url", "blocks"))
     text = F.array_join(F.transform("blocks", lambda b: b["line"]), "\n\n")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long"))

@@ -159,6 +159,24 @@ def test_odd_pages(spark):
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+def texts(spark, rows):
+    return {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_wrappers_are_no_parts_and_notices_in_articles_go(spark):
+    own = "<p>Own words of page {n}, quite a few of them, and some more.</p>"
+    notice = "<p>Buy our <b>paper</b> today.</p>"
+    rows = [(n, "http://n.example/", f"<article>{own.format(n=n)}{notice}<ul><li>Follow us<li>Item {n}</ul></article>") for n in range(30)]
+    around = ("<div class='layout has-sidebar'>{}</div>", "<section id='page-share'>{}</section>", "<form>{}</form>", "<body><div class='ad'>x</div><div class='widget'><form>{}</form></div>")
+    rows += [(100 + i, "http://w.example/", a.format(f"<article>{own.format(n=i)}</article>")) for i, a in enumerate(around)]
+    rows += [(200, "http://v.example/", f"<div class='layout has-sidebar'>{own.format(n=200)}</div><div class='ad'>Buy</div>"),
+             (201, "http://v.example/", f"<aside><article>Teaser</article></aside><main><div class='widget'>{own.format(n=201)}</div><div class='share'>Share</div></main>"),
+             (202, "http://v.example/", f"<div hidden><article>Gone</article></div>{own.format(n=202)}")]
+    said = "Own words of page {}, quite a few of them, and some more."
+    want = {n: f"{said.format(n)}\n\nItem {n}" for n in range(30)} | {100 + i: said.format(i) for i in range(4)}
+    assert texts(spark, rows) == want | {n: said.format(n) for n in (200, 201, 202)}
+
+
 # Token counts
 
 
