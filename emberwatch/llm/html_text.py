@@ -10,7 +10,7 @@ wrapper, and if all articles of a page lie in parts named by their tag (a form a
 Where a page has an article (or main) element, the text is taken from inside it, and there a recurring subtree is
 deleted only if it holds at most half of the article's text; headings, paragraphs and other prose need more evidence
 than containers. Where a page has none, all of the body counts, and a recurring subtree goes if it holds at most half
-of the body's text.
+of the body's text. The pages that make a template grow with the host only up to a fixed number.
 
 Character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined in page
 order by two line feeds. Null or empty html gives an empty text. Rows are told apart by their content, so repeated
@@ -259,10 +259,10 @@ def parse(page: str, spared: frozenset[int] = frozenset()) -> tuple[list[tuple[s
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-            min_pages: int = 5, min_share: float = 0.05, prose_pages: int = 20, prose_share: float = 0.5,
+            min_pages: int = 5, min_share: float = 0.05, enough: int = 50, prose_pages: int = 20, prose_share: float = 0.5,
             prose_enough: int = 1000) -> DataFrame:
     """One row per page: id, url, text, n_chars. A subtree is a template when it is in at least min_pages different
-    pages of its host, and in at least min_share of them; prose inside articles when it is in at least
+    pages of its host, and in at least min_share of them or in `enough`; prose inside articles when it is in at least
     prose_pages, and in at least prose_share of them or in prose_enough."""
     kind = pages.schema[id_col].dataType.simpleString()
 
@@ -288,7 +288,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     sizes = parsed.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("all_pages"))
     prose = F.col("tree").bitwiseAND(F.lit(1)) == 1
     bar = F.when(prose, F.greatest(F.lit(prose_pages), F.least(F.lit(prose_enough), prose_share * F.col("all_pages")))).otherwise(
-        F.greatest(F.lit(min_pages), min_share * F.col("all_pages")))
+        F.least(F.lit(enough), min_share * F.col("all_pages")))
     recurring = seen.join(sizes, "host").where(F.col("pages") >= bar).select("host", "tree")
     recurring = stored(recurring, "templates")
     cut = once.where("held").join(recurring, ["host", "tree"]).groupBy("host", "page").agg(F.collect_set("tree").alias("cut"))

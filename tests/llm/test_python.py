@@ -177,6 +177,12 @@ def test_wrappers_are_no_parts_and_notices_in_articles_go(spark):
     assert texts(spark, rows) == want | {n: said.format(n) for n in (200, 201, 202)}
 
 
+def test_templates_of_a_hot_host(spark):
+    """A menu on 60 of 3,000 pages (2 %) is one, as it is on a small host."""
+    rows = [(n, "http://hot.example/", f"<p>Own words of page {n}, quite a few of them.</p>" + "<div>Section menu</div>" * (n < 60)) for n in range(3000)]
+    assert texts(spark, rows) == {n: f"Own words of page {n}, quite a few of them." for n in range(3000)}
+
+
 # Token counts
 
 
