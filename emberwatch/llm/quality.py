@@ -2,13 +2,13 @@
 
 The text view sees what is written: byte pairs of the whole text, hashed, and the make-up of its words and lines. The
 metadata view sees what is known about the document: its source (hashed), its language label and its stated length.
-Each view is a logistic regression. In every round each view labels the pool documents it is most sure of, in
-the proportion of the labels, for the other view, and both are fitted again; a document once labelled leaves the
-pool. Then each view is calibrated by logistic scaling on labelled documents that neither was fitted on, and a last
+Each view is a logistic regression. In every round all unlabelled documents are scored, each view labels those it is
+most sure of, source by source and in the proportion of the labels, for the other view, and both are fitted again; a
+document once labelled leaves the pool. Then each view is calibrated by logistic scaling on labelled documents that neither was fitted on, and a last
 regression on those weighs the two calibrated views into one probability, which scores all documents.
 
-Fitting reads bounded samples, chosen by a hash of the id: `labelled` documents with a label and `pool` documents
-without one; scoring covers every document and its whole text. If there are no labels of both kinds nothing is
+Fitting reads `labelled` documents with a label, chosen by a hash of the id, and the documents that got a label in a
+round, 2 * `per_round` at most; scoring in the rounds and at the end covers every document and its whole text. If there are no labels of both kinds nothing is
 learned and every score is 0.5. Labels that are null are ignored, and of several labels of an id the lowest counts.
 Null texts, sources, languages and lengths are values of their own. Rows are scored one by one, so repeated rows and
 null ids are no matter; other columns play no part; no rows give no rows.
@@ -17,13 +17,16 @@ null ids are no matter; other columns play no part; no rows give no rows.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from emberwatch.llm.common import stored
 
 PAIRS = 1 << 10
 SHAPE = 12
@@ -113,35 +116,47 @@ def calibrated(z: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray,
             rounds: int, per_round: int) -> Model:
-    """y are the labels of the first rows; a fifth of them is held for calibration."""
-    held = np.arange(len(y)) % 5 == 0
-    if min(held.sum(), (~held).sum()) == 0 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
-        held = np.zeros(len(y), bool)
+    """Co-training with a pool in memory."""
     free = np.ones(len(pool_text), bool)
-    given = {"text": ([], []), "meta": ([], [])}
-
-    def fitted(x: np.ndarray, pool: np.ndarray, extra: tuple[list, list]) -> np.ndarray:
-        rows, labels = extra
-        return fit(np.concatenate((x[~held], pool[rows])) if rows else x[~held], np.concatenate((y[~held], labels)) if rows else y[~held])
+    pools = {"text": pool_text, "meta": pool_meta}
 
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    weights = {v: fitted(*views[v], given[v]) for v in views}
-    good = max(1, round(per_round * y[~held].mean()))
-    for _ in range(rounds):
+    def pick(weights: dict[str, np.ndarray], good: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
         for teacher, pupil in (("text", "meta"), ("meta", "text")):
             at = np.nonzero(free)[0]
             if len(at) < per_round:
                 break
-            order = at[np.argsort(views[teacher][1][at] @ weights[teacher], kind="stable")]
-            for rows, label in ((order[-good:], 1.0), (order[:per_round - good], 0.0)):
-                given[pupil][0].extend(rows.tolist())
-                given[pupil][1].extend([label] * len(rows))
-                free[rows] = False
-        weights = {v: fitted(*views[v], given[v]) for v in views}
+            order = at[np.argsort(pools[teacher][at] @ weights[teacher], kind="stable")]
+            rows = np.concatenate((order[-good:], order[:per_round - good]))
+            free[rows] = False
+            yield pupil, pools[pupil][rows], (np.arange(len(rows)) < good).astype(float)
+
+    return taught(text, meta, y, pick, rounds, per_round)
+
+
+def taught(text: np.ndarray, meta: np.ndarray, y: np.ndarray,
+           pick: Callable[[dict[str, np.ndarray], int], Iterator[tuple[str, np.ndarray, np.ndarray]]], rounds: int,
+           per_round: int) -> Model:
+    """y are the labels of the rows; a fifth of them is held for calibration. pick gives, for weights and the number of
+    good ones, the view that learns, its rows and their labels."""
+    held = np.arange(len(y)) % 5 == 0
+    if min(held.sum(), (~held).sum()) == 0 or len(set(y[held])) < 2 or len(set(y[~held])) < 2:
+        held = np.zeros(len(y), bool)
+    views = {"text": text, "meta": meta}
+    given = {v: ([x[~held]], [y[~held]]) for v, x in views.items()}
+    weights = {v: fit(*map(np.concatenate, given[v])) for v in views}
+    good = max(1, round(per_round * y[~held].mean()))
+    for _ in range(rounds):
+        found = list(pick(weights, good))
+        if not found:
+            break
+        for pupil, rows, labels in found:
+            given[pupil][0].append(rows)
+            given[pupil][1].append(labels)
+        weights = {v: fit(*map(np.concatenate, given[v])) for v in views}
     base = held if held.any() else np.ones(len(y), bool)
     scales, outs = {}, []
     for v in ("text", "meta"):
-        z = views[v][0][base] @ weights[v]
+        z = views[v][base] @ weights[v]
         scales[v] = fit(np.stack((z, np.ones(len(z))), axis=1), y[base], 1e-3)
         outs.append(calibrated(z, scales[v]))
     combine = fit(_views(*outs), y[base], 1e-2)
@@ -164,34 +179,75 @@ COLUMNS = {"id": "doc_id", "text": "text", "source": "source", "lang": "lang", "
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", label_id: str = "doc_id", labelled: int = 2000,
-          pool: int = 2000, rounds: int = 6, per_round: int = 100, columns: dict[str, str] | None = None) -> Model | None:
-    """Fit on the bounded samples."""
+          rounds: int = 6, per_round: int = 100, columns: dict[str, str] | None = None) -> Model | None:
+    """Fit on the labelled sample and what all other documents teach."""
     columns = COLUMNS | (columns or {})
     marks = labels.where(labels[label_col].isNotNull() & labels[label_id].isNotNull()).groupBy(
         labels[label_id].alias("id")).agg(F.min(labels[label_col].cast("double")).alias("y"))
     ids = docs.select(docs[columns["id"]].alias("id")).where("id IS NOT NULL").distinct().join(marks, "id", "left")
     ids = ids.withColumn("h", F.xxhash64(F.lit(7), "id"))
-    chosen = ids.where("y IS NOT NULL").orderBy("h", "id").limit(labelled).unionByName(
-        ids.where("y IS NULL").orderBy("h", "id").limit(pool)).select("id", "y").toPandas()  # at most labelled + pool ids
+    chosen = ids.where("y IS NOT NULL").orderBy("h", "id").limit(labelled).select("id", "y").toPandas()
     if chosen["y"].dropna().nunique() < 2:
         return None
     spark = docs.sparkSession
-    wanted = F.broadcast(spark.createDataFrame(chosen, ids.select("id", "y").schema))
+    kind = docs.schema[columns["id"]].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, meta = _matrices(batch)
             packed = [pa.array([row.tobytes() for row in x.astype(np.float32)], pa.binary()) for x in (text, meta)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), *packed], names=["id", "y", "text", "meta"])
-
-    rows = _features(docs, columns).join(wanted, "id")
-    kind = docs.schema[columns["id"]].dataType.simpleString()
-    sample = rows.mapInArrow(run, f"id {kind}, y double, text binary, meta binary")
-    # Arrow keeps the numbers packed: some 6 KB a row, at most labelled + pool rows.
-    sample = sample.toArrow().to_pandas().sort_values(["id", "text", "meta"], kind="stable").drop_duplicates("id")
-    known = sample["y"].notna().to_numpy()
-    text, meta = (np.stack([np.frombuffer(x, np.float32) for x in sample[c]]) for c in ("text", "meta"))
-    return cotrain(text[known], meta[known], sample["y"].to_numpy()[known], text[~known], meta[~known], rounds, per_round)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *packed], names=["id", "text", "meta"])
+
+    def features(wanted: list) -> dict:
+        """id -> (text, meta); some 6 KB for each of at most labelled or 2 * per_round ids."""
+        few = F.broadcast(spark.createDataFrame([(x,) for x in wanted], f"id {kind}"))
+        rows = _features(docs, columns).join(few, "id", "left_semi").mapInArrow(run, f"id {kind}, text binary, meta binary")
+        rows = rows.toArrow().to_pandas().sort_values(["id", "text", "meta"], kind="stable").drop_duplicates("id")
+        return {i: tuple(np.frombuffer(x, np.float32) for x in own) for i, *own in rows.itertuples(index=False)}
+
+    taken: set = set()
+
+    def pick(weights: dict[str, np.ndarray], good: int) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 512):
+                    part = batch.slice(lo, 512)
+                    z = [pa.array(x @ weights[v]) for v, x in zip(("text", "meta"), _matrices(part))]
+                    yield pa.RecordBatch.from_arrays([part.column("id"), part.column("s"), *z], names=["id", "s", "text", "meta"])
+
+        # Numbers only are joined: texts stay where they are read.
+        free = _features(docs.where(docs[columns["id"]].isNotNull()), columns).mapInArrow(scored, f"id {kind}, s string, text double, meta double")
+        free = free.join(marks.select("id"), "id", "left_anti")
+        if taken:
+            free = free.join(F.broadcast(spark.createDataFrame([(x,) for x in taken], f"id {kind}")), "id", "left_anti")
+        free = stored(free, "sure")
+        lists = []
+        for teacher in ("text", "meta"):
+            for label, sure in ((1.0, F.col(teacher)), (0.0, -F.col(teacher))):
+                # The surest of every source first: each task keeps a bounded list of each.
+                place = F.row_number().over(Window.partitionBy("s").orderBy(F.desc("sure"), "id"))
+                best = free.select("id", "s", sure.alias("sure")).where("sure > 0").withColumn("place", place).where(F.col("place") <= 2 * per_round)
+                best = best.orderBy("place", F.desc("sure"), "id").limit(2 * per_round)
+                lists.append(best.select("id", "place", "sure", F.lit(teacher).alias("teacher"), F.lit(label).alias("label")))
+        top = lists[0].unionByName(lists[1]).unionByName(lists[2]).unionByName(lists[3]).toPandas()
+        top = top.sort_values(["place", "sure", "id"], ascending=[True, False, True], kind="stable")
+        picked = []
+        for teacher, pupil in (("text", "meta"), ("meta", "text")):
+            for label, most in ((1.0, good), (0.0, per_round - good)):
+                own = [i for i in dict.fromkeys(top["id"][(top["teacher"] == teacher) & (top["label"] == label)]) if i not in taken][:most]
+                taken.update(own)
+                picked += [(pupil, i, label) for i in own]
+        made = features([i for _, i, _ in picked]) if picked else {}
+        for pupil, view in (("meta", 1), ("text", 0)):
+            own = [(made[i][view], label) for v, i, label in picked if v == pupil]
+            if own:
+                yield pupil, np.stack([x for x, _ in own]), np.array([label for _, label in own])
+
+    known = features(chosen["id"].tolist())
+    order = sorted(known)
+    y = dict(zip(chosen["id"], chosen["y"]))
+    text, meta = (np.stack([known[i][view] for i in order]) for view in (0, 1))
+    return taught(text, meta, np.array([y[i] for i in order]), pick, rounds, per_round)
 
 
 def score_quality(docs: DataFrame, model: Model | None, threshold: float = 0.5, columns: dict[str, str] | None = None) -> DataFrame:

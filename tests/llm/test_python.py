@@ -376,6 +376,28 @@ def test_views_teach_each_other():
     assert ((model.score(text[600:], meta[600:]) > 0.5) == truth[600:]).mean() > 0.97
 
 
+def test_every_unlabelled_document_may_teach(spark, monkeypatch):
+    """One source has 3 of 2,600 unlabelled documents: its surest are given a label."""
+    text = {0: "zzzz qqqq !!!! " * 4, 1: "good plain words of a text " * 3}
+    rows = [(i, f"{text[i % 2]}{i}", "rare" if 2600 <= i < 2603 else "common", "en", 60) for i in range(2700)]
+    labels = [(i, i % 2) for i in range(40)] + [(i, i % 2) for i in range(2603, 2700)]
+    met = []
+    taught = quality.taught
+
+    def watched(text, meta, y, pick, *rest):
+        def spy(weights, good):
+            for pupil, rows, marks in pick(weights, good):
+                met.append((pupil, rows))
+                yield pupil, rows, marks
+        return taught(text, meta, y, spy, *rest)
+
+    monkeypatch.setattr(quality, "taught", watched)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    assert quality.train(docs, spark.createDataFrame(labels, "doc_id long, quality int"), rounds=1, per_round=20) is not None
+    rare = quality.meta_features("rare", "en", 60)[:quality.SOURCES] > 0
+    assert any(pupil == "meta" and (rows[:, :quality.SOURCES][:, rare] > 0).any() for pupil, rows in met)
+
+
 def test_quality_of_odd_rows(spark, nasty, nasty_rows, nothing):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (5, 1), (10, 0), (None, 1), (12, None), (14, 0)], "doc_id long, quality int")
     got = quality.classify(nasty, labels).collect()
