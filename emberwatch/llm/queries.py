@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import (
-    decontam, exact_dedup, html_text, langid, license_scan, line_dedup, packing, quality, simhash, token_counts,
+    decontam, exact_dedup, html_text, langid, license_scan, line_dedup, packing, periodic, quality, simhash, token_counts,
 )
 from emberwatch.llm.common import table
 
@@ -66,6 +66,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_digest(table(spark, sf_dir, "documents"))
+
+
+def periodic_digest(docs: DataFrame) -> DataFrame:
+    """Runs and collapsed words as digests, of documents a tenth of which are made periodic first."""
+    out = periodic.periodic_runs(periodic.planted(docs)).withColumn("best", periodic.strongest(F.col("runs")))
+    listed = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("best")
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"),
+        best["period"].alias("period"), F.floor(1000 * best["length"] / best["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(listed, lambda r: F.concat(r, F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("text", 256).alias("collapsed_sha256"))
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -158,6 +174,7 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL,
