@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-#: Texts of up to so many characters are encoded in one call.
-SPAN = 1_000_000
-
-
-def byte_bpe(path: str) -> Callable[[str], list[int]]:
-    """Encoder of a byte-level BPE tokenizers file: the file's own vocabulary and pattern run by tiktoken, which is
-    several times as fast; its special tokens keep their ids. Ids equal the tokenizers library's (tested)."""
-    from public_tokenizers import PATTERN
-
+def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ids by token bytes of a byte-level BPE tokenizers file, and ids of its special tokens by their text."""
     with open(path, encoding="utf-8") as file:
         made = json.load(file)
     special = {x["content"]: x["id"] for x in made["added_tokens"]}
@@ -37,11 +31,26 @@ def byte_bpe(path: str) -> Callable[[str], list[int]]:
     own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     rest = [b for b in range(256) if b not in set(own)]
     back = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
-    ranks = {bytes(back[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}
+    return {bytes(back[c] for c in token): i for token, i in made["model"]["vocab"].items() if token not in special}, special
+
+
+def byte_bpe(path: str) -> Callable[[str], list[int]]:
+    """Encoder of a byte-level BPE tokenizers file: the file's own vocabulary and pattern run by tiktoken, which is
+    several times as fast; its special tokens keep their ids. Ids equal the tokenizers library's (tested), which takes
+    the texts whose white space is too long for tiktoken's pattern."""
+    from public_tokenizers import PATTERN
+
+    ranks, special = byte_vocabulary(path)
     encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    library = lru_cache(maxsize=1)(lambda: library_encoder(path))
 
     def encode(text: str) -> list[int]:
-        return encoding.encode(text, allowed_special="all")
+        try:
+            return encoding.encode(text, allowed_special="all")
+        except BaseException as failure:  # tiktoken gives up on very long white space, by an error or a panic
+            if not isinstance(failure, ValueError) and type(failure).__name__ != "PanicException":
+                raise
+        return library()(text)
 
     return encode
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberwatch.llm import (
-    decontam, exact_dedup, html_text, langid, license_scan, line_dedup, packing, periodic, quality, simhash, token_counts,
+    align, decontam, exact_dedup, html_text, langid, license_scan, line_dedup, mixing, packing, periodic, quality, simhash, token_counts,
 )
 from emberwatch.llm.common import table
 
@@ -66,6 +66,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.link_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_digest(table(spark, sf_dir, "documents"))
 
@@ -82,6 +86,10 @@ def periodic_digest(docs: DataFrame) -> DataFrame:
         F.sha2("text", 256).alias("collapsed_sha256"))
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 OP1_SQL = r"""
 WITH words AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
@@ -174,7 +182,9 @@ QUERIES: dict[str, Query] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_license_scan": op10_license_scan,
+    "op11_token_alignment": op11_token_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_mixing": op13_mixing,
 }
 
 ORACLES: dict[str, str] = {"op1_decontaminate": OP1_SQL, "op8_exact_dedup": OP8_SQL, "op9_line_dedup": OP9_SQL,
