@@ -106,7 +106,7 @@ def flat_tokens(lists: list[np.ndarray], side: Side, texts: list[bytes]) -> Toke
     last = np.concatenate([[0], running.to_numpy()])[listed.offsets.to_numpy()]
     end = pc.subtract(running, pa.array(last[:-1]).take(document))
     joined = side.pieces.take(ids)
-    data = memoryview(joined.buffers()[2] or b"")
+    data = memoryview(joined.buffers()[2] or b"").cast("B")  # a signed view is not equal to bytes
     whole = np.array([bool(t) and data[lo:hi] == t for t, lo, hi in zip(texts, last[:-1].tolist(), last[1:].tolist())], bool)
     return Tokens(ids, document, end, whole)
 
