@@ -46,10 +46,15 @@ def dot(a: Column, b: Column) -> Column:
                        F.lit(0.0), lambda acc, x: acc + x)
 
 
+def signed_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity in [-1, 1]; 0 if either vector is zero."""
+    raw = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0))))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity clipped to [0, 1]; 0 if either vector is zero."""
-    raw = F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(raw, F.lit(0.0))))
+    return F.greatest(F.lit(0.0), signed_cosine(a, b))
 
 
 def ab_variant(id_col: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.scoring import distance_severity, severity_rank, stable_id, zscore_severity
 from emberwatch.functions.text import iso
 from emberwatch.operators.ordered import attach, newest, running, with_chunk
-from emberwatch.operators.vectors import blocked_scores, unit_rows
+from emberwatch.operators.vectors import nearest_exact, unit_rows
 from emberwatch.session import shared_dir
 
 ERROR_LEVELS = ("ERROR", "FATAL")
@@ -108,10 +108,11 @@ def novelty_severity(df: DataFrame, *, distance: str = "distance") -> DataFrame:
 
 
 def novel_vs_baseline(queries: DataFrame, baseline: DataFrame, *, threshold: float = 0.7,
-                      block_rows: int = 4096) -> DataFrame:
+                      block_rows: int = 4096, cell_rows: int = 2048) -> DataFrame:
     """Queries whose best cosine against the frozen baseline of their (tenant, service) is below
-    the threshold. A series without baseline is a cold start and yields nothing."""
-    best = blocked_scores(queries, baseline, SERIES, k=1, block_rows=block_rows)
+    the threshold. A series without baseline is a cold start and yields nothing. A query that is found to be
+    known in its nearest cells meets no other."""
+    best = nearest_exact(queries, baseline, SERIES, k=1, block_rows=block_rows, cell_rows=cell_rows, enough=threshold)
     return (best.where(F.col("similarity") < threshold)
             .withColumn("distance", F.lit(1.0) - F.col("similarity")))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.scoring import price
 from emberwatch.functions.text import clip, short_iso
 from emberwatch.operators.ordered import CHUNK, newest, running, window_join, with_chunk
-from emberwatch.operators.vectors import blocked_scores
+from emberwatch.operators.vectors import nearest_exact
 
 DEFAULT_SCORE = 0.75  # fixed value: score of an unreadable judgement
 NO_LOGS = "No recent error logs available for verification."  # fixed value
@@ -33,7 +33,7 @@ def ground_truth_lookup(rca: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def similarity_proxy(rca_vectors: DataFrame, past_vectors: DataFrame, past: DataFrame, *, threshold: float = 0.85) -> DataFrame:
     """Nearest past incident of the tenant if similar enough and with a root cause."""
-    best = blocked_scores(rca_vectors, past_vectors, ["tenant_id"], k=1).where(F.col("similarity") >= threshold)
+    best = nearest_exact(rca_vectors, past_vectors, ["tenant_id"], k=1, least=threshold).where(F.col("similarity") >= threshold)
     known = past.where(F.coalesce("root_cause", F.lit("")) != "").select(
         "tenant_id", F.col("incident_id").alias("item_id"), F.col("root_cause").alias("past_root_cause"))
     return best.join(known, ["tenant_id", "item_id"])

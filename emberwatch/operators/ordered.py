@@ -80,3 +80,13 @@ def newest(df: DataFrame, keys: list[str], order: list, k: int | None, *, rank:
         return df
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
+
+
+def full_ranks(df: DataFrame, keys: list[str], order: list, chunk: Column, *, rank: str = "rank") -> DataFrame:
+    """Rank of every row per key in ``order``. ``chunk`` never falls along the order, so rows are ranked inside their chunk
+    and only the sizes of chunks are added up per key."""
+    cut = df.withColumn(CHUNK, chunk.cast("long"))
+    sizes = cut.groupBy(*keys, CHUNK).agg(F.count("*").alias("_n"))
+    before = sizes.select(*keys, CHUNK, (F.sum("_n").over(_across(keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    inside = cut.withColumn("_in", F.row_number().over(_within(keys).orderBy(*order)))
+    return attach(inside, before, keys).withColumn(rank, (F.col("_in") + F.col("_before")).cast("int")).drop(CHUNK, "_in", "_before")

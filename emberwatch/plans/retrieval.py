@@ -13,8 +13,8 @@ def full_corpus(t: Tables) -> DataFrame:
     return t.past.withColumn("text", F.concat_ws(" ", "description", "root_cause"))
 
 
-def bm25(t: Tables) -> DataFrame:
-    return op.bm25_topk(t.kbq, full_corpus(t)).withColumnRenamed("incident_id", "item_id")
+def bm25(t: Tables, k: int | None = 10) -> DataFrame:
+    return op.bm25_topk(t.kbq, full_corpus(t), k=k).withColumnRenamed("incident_id", "item_id")
 
 
 def all_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -22,16 +22,13 @@ def all_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
     return q, t.vec.select("tenant_id", F.col("vec_id").alias("item_id"), "embedding")
 
 
-def near(t: Tables) -> DataFrame:
-    return op.vector_topk(t.qvec, t.kbvec)
-
-
 def fused(t: Tables) -> DataFrame:
-    return op.rrf(bm25(t), near(t))
+    """Whole lists, every rank."""
+    return op.rrf(bm25(t, None), op.vector_topk(t.qvec, t.kbvec, k=None))
 
 
 def hybrid(t: Tables) -> DataFrame:
-    return op.hybrid_search(t.kbq, op.corpus_recent(t.past), t.qvec, t.kbvec, depth=10)
+    return op.hybrid_search(t.kbq, op.corpus_recent(t.past), t.qvec, t.kbvec)
 
 
 def _ranks(df: DataFrame) -> list:
@@ -49,7 +46,7 @@ QUERIES = {
     "vector_topk_ann": lambda t: op.vector_topk_ann(*all_vectors(t)).select(
         "tenant_id", "query_id", "item_id", "similarity", "rank"),
     "rrf": lambda t: (lambda f: f.select("tenant_id", "query_id", "item_id", *_ranks(f), F.round("rrf_score", 9).alias("rrf_score")))(fused(t)),
-    "rerank_topk": lambda t: op.rerank_topk(fused(t)).select("tenant_id", "query_id", "item_id", "score", "final_rank"),
+    "rerank_topk": lambda t: op.fused_topk(t.kbq, full_corpus(t), t.qvec, t.kbvec).select("tenant_id", "query_id", "item_id", "score", "final_rank"),
     "hybrid_search": lambda t: hybrid(t).select(
         "tenant_id", "query_id", F.coalesce("item_id", F.lit("-")).alias("item_id"),
         F.coalesce("final_rank", F.lit(0)).alias("final_rank"), "novel"),
@@ -84,19 +81,18 @@ def _bm25(corpus: str, idf: str = "raw") -> str:
   words AS (
     SELECT tenant_id, query_id, item_id, score,
            row_number() OVER (PARTITION BY query_id ORDER BY score DESC, created_at DESC, item_id DESC) AS rank
-    FROM scores WHERE score > 0 QUALIFY rank <= 10)"""
+    FROM scores WHERE score > 0)"""
 
 
 _FULL = "SELECT tenant_id, incident_id, created_at, description || ' ' || root_cause AS text FROM past_v"
 _NEAR = f"""near AS (
     SELECT q.tenant_id, q.query_id, v.item_id, {_COS.format('q.embedding', 'v.embedding')} AS similarity
     FROM qvec_v q JOIN kbvec_v v ON v.tenant_id = q.tenant_id),
-  near10 AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near QUALIFY rank <= 10),
+  near_ranks AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, item_id) AS rank FROM near),
   fused AS (
     SELECT tenant_id, query_id, item_id, w.rank AS bm25_rank, n.rank AS vector_rank,
            coalesce(1e0 / (60 + w.rank), 0) + coalesce(1e0 / (60 + n.rank), 0) AS rrf_score
-    FROM words w FULL JOIN near10 n USING (tenant_id, query_id, item_id)),
+    FROM words w FULL JOIN near_ranks n USING (tenant_id, query_id, item_id)),
   top3 AS (
     SELECT tenant_id, query_id, item_id, round(rrf_score, 9) AS score,
            row_number() OVER (PARTITION BY query_id ORDER BY round(rrf_score, 9) DESC, item_id) AS final_rank
@@ -104,9 +100,9 @@ _NEAR = f"""near AS (
 
 ORACLES = {
     "corpus_recent": f"WITH c AS ({_FULL}) SELECT tenant_id, incident_id, sha256(text) AS text_hash FROM c",
-    "bm25_topk": f"WITH {_bm25(_FULL)} SELECT * FROM words",
-    "bm25_topk_floor": f"WITH {_bm25(_FULL, 'floor')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words",
-    "bm25_topk_epsilon": f"WITH {_bm25(_FULL, 'epsilon')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words",
+    "bm25_topk": f"WITH {_bm25(_FULL)} SELECT * FROM words WHERE rank <= 10",
+    "bm25_topk_floor": f"WITH {_bm25(_FULL, 'floor')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words WHERE rank <= 10",
+    "bm25_topk_epsilon": f"WITH {_bm25(_FULL, 'epsilon')} SELECT tenant_id, query_id, item_id AS incident_id, score, rank FROM words WHERE rank <= 10",
     "vector_topk": f"""SELECT q.tenant_id, q.vec_id AS query_id, v.vec_id AS item_id,
              {_COS.format('q.embedding', 'v.embedding')} AS similarity,
              row_number() OVER (PARTITION BY q.vec_id ORDER BY similarity DESC, v.vec_id) AS rank
