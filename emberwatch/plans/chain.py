@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from emberwatch.functions.text import iso
 from emberwatch.operators import anomaly, context, correlate, security
+from emberwatch.operators.ordered import full_ranks
 from emberwatch.plans.anomaly import DAY, HOUR, NOVELTY_SEVERITY, SCORED, novelty_fold
 from emberwatch.plans.fixtures import Tables, with_views
 from emberwatch.plans.security import CLEAN
@@ -21,10 +22,9 @@ def clean_logs(t: Tables) -> DataFrame:
 def log_vectors(t: Tables, logs: DataFrame) -> DataFrame:
     """Error logs with a vector of the embeddings table: all vectors by their position in the order of ids, round and
     round, so that every error log has one. Without any vector there are none."""
-    places = t.embeddings.select("vec_id").orderBy("vec_id").rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    places = t.spark.createDataFrame(places, "vec_id long, _v long")
-    vectors = t.embeddings.join(places, "vec_id").select("_v", "embedding")
-    place = F.pmod("log_id", F.lit(max(1, t.embeddings.count())))
+    placed = full_ranks(t.embeddings.select("vec_id", "embedding"), [], ["vec_id"], F.floor(F.col("vec_id") / 4096))
+    vectors = placed.select((F.col("rank") - 1).cast("long").alias("_v"), "embedding")
+    place = F.pmod("log_id", F.greatest(F.lit(1).cast("long"), t.embeddings.agg(F.count("*")).scalar()))
     return (logs.where(F.col("level").isin(*anomaly.ERROR_LEVELS)).withColumn("_v", place).join(vectors, "_v")
             .select("tenant_id", "service", F.col("log_id").alias("id"), "ts", "embedding"))
 
@@ -71,8 +71,10 @@ _ALERTS = f"""WITH RECURSIVE {CLEAN},
     FROM scored WHERE baseline_points >= 5 AND z > 3),
   spikes AS (SELECT * FROM anom QUALIFY row_number() OVER (PARTITION BY tenant_id, service, bucket ORDER BY metric) = 1),
   vectors AS (
-    SELECT l.tenant_id, l.service, l.log_id, l.ts, v.embedding FROM clean l JOIN embeddings v ON v.vec_id = l.log_id % 500
-    WHERE l.level IN ('ERROR', 'FATAL') AND v.vec_id < 500),
+    SELECT l.tenant_id, l.service, l.log_id, l.ts, v.embedding FROM clean l
+    JOIN (SELECT embedding, row_number() OVER (ORDER BY vec_id) - 1 AS place FROM embeddings) v
+      ON v.place = l.log_id % (SELECT count(*) FROM embeddings)
+    WHERE l.level IN ('ERROR', 'FATAL')),
   {novelty_fold("vectors", "log_id", "ts", THRESHOLD)},
   sem AS (
     SELECT n.tenant_id, n.service, CAST(floor(epoch(n.seen_at) / 3600) AS BIGINT) * 3600 AS bucket, n.sim, 1 - n.sim AS distance,

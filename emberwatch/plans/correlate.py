@@ -40,7 +40,7 @@ QUERIES = {
     "correlate": lambda t: members(t).select("incident_id", "tenant_id", "is_cascade", "alert_id"),
     "incident_fields": lambda t: _flat(incidents(t)),
     "incident_counts": lambda t: op.incident_counts(incidents(t)),
-    "incident_severity": lambda t: op.incident_severity(t.incidents, t.alerts.where(F.col("status") == "open"))
+    "incident_severity": lambda t: op.incident_severity(t.incidents, t.alerts)
         .select("incident_id", "tenant_id", "severity"),
 }
 
@@ -84,7 +84,7 @@ ORACLES = {
         SELECT i.incident_id, i.tenant_id, a.severity,
                CASE a.severity WHEN 'CRITICAL' THEN 4 WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 WHEN 'LOW' THEN 1 ELSE 0 END AS r
         FROM (SELECT incident_id, tenant_id, unnest(alert_ids) AS alert_id FROM incidents_v) i
-        JOIN alerts_v a ON a.alert_id = i.alert_id AND a.tenant_id = i.tenant_id AND a.status = 'open')
+        JOIN alerts_v a ON a.alert_id = i.alert_id AND a.tenant_id = i.tenant_id)
       SELECT i.incident_id, i.tenant_id, coalesce(m.severity, 'HIGH') AS severity
       FROM incidents_v i LEFT JOIN (SELECT incident_id, arg_max(severity, r) AS severity FROM ranked GROUP BY 1) m
         ON m.incident_id = i.incident_id""",

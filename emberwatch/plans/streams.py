@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.text import iso
 from emberwatch.plans import anomaly, correlate
 from emberwatch.plans.fixtures import Tables, with_views
-from emberwatch.sources.tables import read_weekly
+from emberwatch.sources.tables import read_table
 from emberwatch.streaming import flows, stateful
 
 HOUR = 3600
@@ -31,13 +31,13 @@ def _sink(t: Tables) -> DataFrame:
 
 
 def _compacted(t: Tables) -> DataFrame:
-    """Streamed into the sink, compacted into the weekly layout, read for part of it."""
+    """Streamed into the sink, compacted into the weekly layout, read whole: a row lost or doubled anywhere shows."""
     logs = t.logs.withColumn("metadata", F.from_json("metadata", "map<string,string>"))
     path, weekly = flows.scratch(t.spark, "sink"), flows.scratch(t.spark, "compacted")
     flows.log_sink(flows.as_stream(logs, "logs"), path, flows.scratch(t.spark, "sink-state"), trigger={"availableNow": True}).awaitTermination()
     flows.compact_sink(t.spark, path, weekly)
-    rows = read_weekly(t.spark, weekly, start="2024-01-09 06:00:00", end="2024-01-20 18:00:00")
-    return rows.groupBy("tenant_id", "service").agg(F.count("*").alias("logs"), F.max("log_id").alias("newest"))
+    return read_table(t.spark, weekly).groupBy(F.col("week").cast("string").alias("week"), "tenant_id", "service").agg(
+        F.count("*").alias("logs"), F.countDistinct("log_id").alias("ids"), F.max("log_id").alias("newest"))
 
 
 QUERIES = {
@@ -78,8 +78,8 @@ ORACLES = {
                count(*) AS seen,
                count(*) FILTER (faithfulness_score > 0.7 AND hallucination_score > 0.7) / count(*) AS pass_rate
         FROM evals_v GROUP BY tenant_id"""),
-    "weekly_layout": with_views("""SELECT tenant_id, service, count(*) AS logs, max(log_id) AS newest FROM logs_v
-        WHERE ts >= TIMESTAMP '2024-01-09 06:00:00' AND ts < TIMESTAMP '2024-01-20 18:00:00' GROUP BY ALL"""),
+    "weekly_layout": with_views("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, tenant_id, service, count(*) AS logs,
+        count(DISTINCT log_id) AS ids, max(log_id) AS newest FROM logs_v GROUP BY ALL"""),
     "log_sink": with_views("""
         SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, tenant_id, count(*) AS logs, count(DISTINCT log_id) AS ids
         FROM logs_v GROUP BY ALL"""),
