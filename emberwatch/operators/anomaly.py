@@ -223,13 +223,18 @@ def evict_oldest(baseline: DataFrame, *, max_size: int, batch: int, chunk_s: int
 def merge_detectors(stat: DataFrame, sem: DataFrame, keys: list[str]) -> DataFrame:
     """One result per key from both detectors; when both fired, 'combined' with the higher severity
     (tie: statistical) and the larger confidence."""
-    s, m = F.col("s"), F.col("m")
     left = stat.select(*keys, F.struct("anomaly_type", "severity", "confidence", "z_score",
                                        "current_value", "baseline_mean").alias("s"))
     right = sem.select(*keys, F.struct("anomaly_type", "severity", "confidence", "similarity",
                                        "nearest_message").alias("m"))
+    return merged_columns(left.join(right, keys, "full"), keys)
+
+
+def merged_columns(joined: DataFrame, keys: list[str]) -> DataFrame:
+    """Results of both detectors per key as structs ``s`` and ``m``, one of them null where the other fired alone, as one."""
+    s, m = F.col("s"), F.col("m")
     both = s.isNotNull() & m.isNotNull()
-    return (left.join(right, keys, "full")
+    return (joined
             .select(*keys,
                     F.when(both, "combined").otherwise(F.coalesce(s.anomaly_type, m.anomaly_type))
                      .alias("anomaly_type"),

@@ -45,10 +45,9 @@ def spend_so_far(incidents: DataFrame, evals: DataFrame, *, chunk_s: int = 3600)
     return sums.where("_kind = 1").select("incident_id", "tenant_id", F.col("_sum").cast("double").alias("spend"))
 
 
-def route(incidents: DataFrame, tenants: DataFrame, spend: DataFrame, *, low_skip: bool = False,
-          standard_model: str = STANDARD_MODEL, fallback: str = OVER_BUDGET_MODEL) -> DataFrame:
-    """Model, reason and prompt variant per incident of a known tenant. ``spend`` (incident_id, tenant_id, spend) is
-    what was spent that day when the incident came in, see ``spend_so_far``; none counts as zero."""
+def routed_columns(incidents: DataFrame, tenants: DataFrame, *, low_skip: bool = False, standard_model: str = STANDARD_MODEL,
+                   fallback: str = OVER_BUDGET_MODEL) -> DataFrame:
+    """Model, reason and prompt variant of incidents that carry ``severity`` and ``spend``."""
     severity = F.upper(F.coalesce("severity", F.lit("MEDIUM")))
     over = F.coalesce(F.col("spend"), F.lit(0.0)) >= F.col("token_budget_usd_daily")
     premium = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv]),
@@ -58,13 +57,20 @@ def route(incidents: DataFrame, tenants: DataFrame, spend: DataFrame, *, low_ski
         F.concat(F.lit("severity_"), "severity", F.lit("_tier_"), "model_tier"))
     routed = (incidents.withColumn("severity", severity)
               .join(tenants.select("tenant_id", "model_tier", "token_budget_usd_daily"), "tenant_id")
-              .join(spend.select("incident_id", "tenant_id", "spend"), ["incident_id", "tenant_id"], "left")
               .withColumns({"model_id": model, "reason": reason, "prompt_variant": ab_variant(F.col("incident_id"))}))
     if low_skip:
         routed = routed.where((F.col("severity") != "LOW") | (F.col("reason") == "budget_exceeded"))
     return routed.drop("spend", "token_budget_usd_daily")
 
 
+def route(incidents: DataFrame, tenants: DataFrame, spend: DataFrame, **options) -> DataFrame:
+    """Model, reason and prompt variant per incident of a known tenant. ``spend`` (incident_id, tenant_id, spend) is
+    what was spent that day when the incident came in, see ``spend_so_far``; none counts as zero. Options as in
+    ``routed_columns``."""
+    spent = incidents.join(spend.select("incident_id", "tenant_id", "spend"), ["incident_id", "tenant_id"], "left")
+    return routed_columns(spent, tenants, **options)
+
+
 def routing_counts(routed: DataFrame) -> DataFrame:
     return routed.groupBy("model_id", "severity", "tenant_id").agg(F.count("*").alias("selections"))
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.text import iso
-from emberwatch.plans import anomaly, correlate
+from emberwatch.plans import anomaly, context, correlate, investigate
 from emberwatch.plans.fixtures import Tables, with_views
 from emberwatch.sources.tables import read_table
-from emberwatch.streaming import flows, stateful
+from emberwatch.streaming import flows, settled, stateful
 
 HOUR = 3600
 
@@ -40,7 +40,47 @@ def _compacted(t: Tables) -> DataFrame:
         F.count("*").alias("logs"), F.countDistinct("log_id").alias("ids"), F.max("log_id").alias("newest"))
 
 
+def _cache(t: Tables) -> DataFrame:
+    """Entries and questions as one stream of events."""
+    entries = t.entries.select("tenant_id", F.col("created_at").alias("at"), F.lit(0).alias("kind"), F.col("entry_id").cast("long").alias("id"),
+                               F.col("rca_result").alias("result"), F.col("embedding").cast("array<double>").alias("embedding"))
+    asked = t.vec.select("tenant_id", F.col("created_at").alias("at"), F.lit(1).alias("kind"), F.col("vec_id").cast("long").alias("id"),
+                         F.lit(None).cast("string").alias("result"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return settled.cache_lookup_stream(_ticking(entries.unionByName(asked), "at"), threshold=0.5)
+
+
+def _ticking(df: DataFrame, at: str) -> DataFrame:
+    return flows.as_stream(settled.with_tick(df, at), "timed")
+
+
+def _merged(t: Tables) -> DataFrame:
+    at = F.timestamp_seconds("bucket")
+    stat = anomaly.flagship(t).select("tenant_id", "service", "bucket", at.alias("at"), "anomaly_type", "severity", "confidence", "z_score",
+                                      "current_value", "baseline_mean")
+    sem = anomaly.semantic_results(t).select("tenant_id", "service", "bucket", at.alias("at"), "anomaly_type", "severity", "confidence",
+                                             "similarity", "nearest_message")
+    return settled.merge_detectors_stream(_ticking(stat, "at"), _ticking(sem, "at"), ["tenant_id", "service", "bucket"])
+
+
+def _steps(t: Tables) -> DataFrame:
+    """Steps of an investigation a minute apart; investigations start an hour apart."""
+    at = F.timestamp_seconds(1704067200 + F.regexp_extract("rca_id", "[0-9]+", 0).cast("long") * 3600 + F.col("step_number") * 60)
+    return settled.step_stream(_ticking(t.steps.select("rca_id", "step_number", "step_type", at.alias("at")), "at"), first=0)
+
+
 QUERIES = {
+    "stream_cache_lookup": lambda t: flows.run_to_table(_cache(t)).select(
+        "tenant_id", "query_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.coalesce("similarity", F.lit(-1.0)).alias("similarity"),
+        "cache_hit"),
+    "stream_merge_detectors": lambda t: flows.run_to_table(_merged(t)).select(
+        "tenant_id", "service", "bucket", "anomaly_type", "severity", F.round("confidence", 4).alias("confidence")),
+    "stream_zscore_per_event": lambda t: flows.run_to_table(settled.zscore_per_event_stream(
+        _ticking(t.logs.select("tenant_id", "service", "log_id", "ts", "level"), "ts"), window_s=anomaly.DAY, bucket_s=HOUR))
+        .withColumn("ts", iso(F.col("ts"))),
+    "stream_route": lambda t: flows.run_to_table(settled.route_stream(
+        _ticking(settled.spend_events(context.severe_incidents(t), t.evals), "at"), t.tenants))
+        .select("incident_id", "tenant_id", "severity", "model_id", "reason", "prompt_variant"),
+    "stream_steps": lambda t: flows.run_to_table(_steps(t)),
     "weekly_layout": _compacted,
     "stream_bucket_counts": _buckets,
     "stream_zscore": lambda t: anomaly.zscore_columns(flows.run_to_table(stateful.zscore_stream(
@@ -59,6 +99,11 @@ QUERIES = {
 }
 
 ORACLES = {
+    "stream_cache_lookup": context.ORACLES["cache_lookup"],
+    "stream_merge_detectors": anomaly.ORACLES["merge_detectors"],
+    "stream_zscore_per_event": anomaly.ORACLES["zscore_per_event"],
+    "stream_route": context.ORACLES["route"],
+    "stream_steps": investigate.ORACLES["step_stream_filter"],
     "stream_bucket_counts": with_views("""
         WITH b AS (
           SELECT tenant_id, service, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS bucket,
