@@ -146,6 +146,17 @@ def cache_lookup_stream(events: DataFrame, *, threshold: float = 0.92, ttl_s: in
                 outputStructType="tenant_id string, query_id long, item_id long, similarity double, cache_hit boolean, rca_result string"))
 
 
+def moments(values: list[int]) -> tuple[int, float, float]:
+    """Count, mean and population deviation, rounded as the batch form's aggregates round them: values that lie on the
+    threshold fall on the same side."""
+    mean = spread = 0.0
+    for n, x in enumerate(values, 1):
+        step = x - mean
+        mean += step / n
+        spread += step * (step - step / n)
+    return len(values), sum(values) / len(values) if values else 0.0, (spread / len(values)) ** 0.5 if values else 0.0
+
+
 class Crossing(Settled):
     """State: counts of the buckets of the last two windows of a series, the open one last."""
 
@@ -175,7 +186,7 @@ class Crossing(Settled):
             if not base:
                 closed = [p for p in past if p[0] <= bucket - self.bucket_s]
                 base = {"errors": [p[1] for p in closed if p[1]], "volume": [p[2] for p in closed]}
-                base = {m: (len(v), float(np.mean(v)) if v else 0.0, float(np.std(v)) if v else 0.0) for m, v in base.items()}
+                base = {m: moments(v) for m, v in base.items()}
             for column, metric in ((1, "errors"), (2, "volume")):
                 if metric == "errors" and not error:
                     continue
