@@ -15,6 +15,11 @@ size; a group yields a spanning forest of its links, not its pairs, so groups of
 Wide limits on 64 bits would also link strangers. With check_bits every text has 64 further bits, taken from the same
 hashes by a fixed mixing, and a link needs check_bits or fewer differing bits among all 128 as well.
 
+A limit that finds texts of 0.8 common shingles leaves segments too short to be keys. drop_similar therefore takes 256 bits
+and finds candidates by bands of minima of the shingle hashes (12 bands of 5 minima: 99 % of pairs at 0.8 share one; keys
+have 64 bits at every size of the corpus). Candidates must pass the ring of the four 64-bit words, and then the full
+distance. Texts whose bits are all equal are one node.
+
 Documents take the smallest id of their connected component; rows sharing an id stay apart unless linked. Null ids
 are kept and label a component only if all its ids are null. Other columns play no part; an empty table gives no rows.
 """
@@ -224,3 +229,120 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.col(id_col).alias("__id"), F.col("th").alias("__th"))
     th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
     return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_anti")
+
+
+#: Words of a wide fingerprint, bands of minima and minima of a band.
+WIDE, BANDS, DEPTH = 4, 12, 5
+_FACTORS = np.random.default_rng(42).integers(1, 2**63, BANDS * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None, words: int) -> tuple[list[int], list[int]]:
+    """256 bits as four numbers and the keys of the bands; a text without words has zeros and one key, its own kind."""
+    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(found)
+    if len(found) <= words:
+        spans = [(0, len(joined))] if found else []
+    else:
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1)
+        spans = list(zip([0, *ends[:-words].tolist()], (ends[words - 1:] - 1).tolist()))
+    ones, least = np.zeros((WIDE, 64), np.int64), np.full(BANDS * DEPTH, 2**64 - 1, np.uint64)
+    digest = xxhash.xxh64_digest
+    for lo in range(0, len(spans), 4096):
+        h = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans[lo:lo + 4096]]), ">u8").astype(np.uint64)
+        least = np.minimum(least, (mixed(h)[:, None] * _FACTORS).min(axis=0))
+        for word in range(WIDE):
+            ones[word] += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            h = mixed(h)
+    keys = [xxhash.xxh64_intdigest(least[b * DEPTH:(b + 1) * DEPTH].tobytes(), b) for b in range(BANDS)]
+    return [majority(o, len(spans)) for o in ones], keys
+
+
+def ring_passes(apart: np.ndarray, limit: int) -> np.ndarray:
+    """Whether in each row of word distances a chain around the ring keeps every proportional budget, its whole included."""
+    m = apart.shape[1]
+    budgets = np.arange(1, m + 1) * limit / m
+    passed = np.zeros(len(apart), bool)
+    for first in range(m):
+        left = np.flatnonzero(~passed & (apart[:, first] <= budgets[0]))
+        sums = np.cumsum(np.roll(apart[left], -first, axis=1), axis=1)
+        passed[left] = (sums <= budgets).all(axis=1)
+    return passed
+
+
+def band_forest(bits: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Links of a group of wide fingerprints (rows of words) that join all that its links join."""
+    links: list[tuple[int, int]] = []
+    left = np.arange(len(bits))
+    while len(left) > 1:
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            near = left[ring_passes(np.bitwise_count(bits[left] ^ bits[at]).astype(np.int64), limit)]
+            if len(near):
+                links += [(at, int(x)) for x in near]
+                front += near.tolist()
+                left = np.setdiff1d(left, near, assume_unique=True)
+    return links
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, limit: int = 46,
+            block: int = BLOCK) -> DataFrame:
+    """One row per document: id, th, component_id and stays, as near_duplicates; links at limit or fewer of 256 bits."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    longs = pa.list_(pa.int64())
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(t.as_py(), words) for t in batch.column("t")]
+            columns = [pa.array([np.array(m[i], np.uint64).view(np.int64) for m in made], longs) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("th"), *columns], names=["id", "th", "bits", "keys"])
+
+    rows = docs.select(docs[id_col].alias("id"), F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit(""))).alias("th"),
+                       docs[text_col].cast("string").alias("t"))
+    made = stored(rows.mapInArrow(sketched, f"id {kind}, th long, bits array<long>, keys array<long>"), "sketches")
+    word = [F.col("bits")[i].alias(f"w{i}") for i in range(WIDE)]
+    node = F.struct(*word)
+    # Texts of equal bits are linked; of a node's keys those of any of its texts count.
+    keys = made.select(node.alias("node"), F.posexplode("keys").alias("band", "key")).distinct()
+    counts = keys.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = keys.join(counts, ["band", "key"])
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.least(own, j) * blocks + F.greatest(own, j))
+    pair = F.explode(F.when(blocks <= 2, F.array(F.lit(0))).otherwise(pairs)).alias("pair")
+    groups = shared.select("band", "key", "node", pair).groupBy("band", "key", "pair").agg(
+        F.sort_array(F.collect_list("node")).alias("own")).where(F.size("own") > 1)
+    # Near copies share most bands: a group is compared once, whatever the number of bands in which it comes.
+    groups = groups.select("own").groupBy(F.xxhash64("own").alias("h")).agg(F.first("own").alias("own")).select("own")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("own")
+            bits = np.stack([lists.values.field(f"w{i}").to_numpy() for i in range(WIDE)], axis=1).view(np.uint64)
+            at, ends = lists.offsets.to_numpy(), []
+            for lo, hi in zip(at[:-1], at[1:]):
+                found = band_forest(bits[lo:hi], limit)
+                if found:
+                    ends.append(np.array(found) + lo)
+            u, v = (np.concatenate(ends) if ends else np.empty((0, 2), np.int64)).T
+            ints = bits.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ints[x, i])) for x in (u, v) for i in range(WIDE)],
+                                             names=[f"{s}{i}" for s in "uv" for i in range(WIDE)])
+
+    found = groups.mapInArrow(linked, ", ".join(f"{s}{i} long" for s in "uv" for i in range(WIDE))).distinct()
+    ends = [F.struct(*[F.col(f"{s}{i}").alias(f"w{i}") for i in range(WIDE)]).alias(s) for s in "uv"]
+    labels = stored(components(stored(found.select(*ends), "links")).select("node", "label"), "classes")
+    labelled = made.select("id", "th", node.alias("node")).join(labels, "node", "left").select(
+        "id", "th", F.coalesce("label", "node").alias("label"))
+    heads = stored(labelled.groupBy("label").agg(F.min("id").alias("component_id"), F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("head")),
+                   "heads")
+    return labelled.join(heads, "label").select(
+        F.col("id").alias(id_col), "th", "component_id",
+        (F.col("id").eqNullSafe(F.col("head.id")) & (F.col("th") == F.col("head.th"))).alias("stays"))
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each component of similar texts, all columns. Identical rows stay or go together."""
+    gone = similar(docs, id_col, text_col, **options).where("NOT stays").select(F.col(id_col).alias("__id"), F.col("th").alias("__th"))
+    th = F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
+    return docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (th == F.col("__th")), "left_anti")

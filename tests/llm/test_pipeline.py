@@ -55,12 +55,12 @@ def by_hand(spark, rows, items):
         if row[1] not in keep or (row[0] if row[0] is not None else -1) > (keep[row[1]][0] if keep[row[1]][0] is not None else -1):
             keep[row[1]] = row
     out["exact_dedup"] = left = list(keep.values())
-    prints = [simhash.fingerprint(r[1], 5, True) for r in left]
+    prints = [simhash.sketch(r[1], 5) for r in left]
     label = list(range(len(left)))
     for i, a in enumerate(prints):
         for j, b in enumerate(prints[:i]):
-            near = (a[0] ^ b[0]).bit_count()
-            if near <= 10 and near + (a[1] ^ b[1]).bit_count() <= 22:
+            apart = sum((x ^ y).bit_count() for x, y in zip(a[0], b[0]))
+            if apart <= 46 and any(x == y for x, y in zip(a[1], b[1])):
                 old, new = label[i], label[j]
                 label = [new if x == old else x for x in label]
     groups = {}
