@@ -25,9 +25,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by fingerprints of five-word shingles, the one with the smallest id stays. A share of 0.8
-    common shingles is a cosine of 0.89, whose angle flips 0.15 of the bits: 19 of 128, give or take 4; 22 may differ.
-    The 64 bits that are searched may differ in 10; wider rings have segments too short to be keys."""
-    return simhash.drop_near_duplicates(docs, words=5, max_bits=10, check_bits=22)
+    common shingles is a cosine of 0.89, whose angle flips 0.15 of the bits: 39 of 256, give or take 6; 46 may differ."""
+    return simhash.drop_similar(docs, words=5, limit=46)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
