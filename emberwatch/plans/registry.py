@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from emberwatch.plans.fixtures import Tables
 
 GROUPS = ("ingest", "security", "anomaly", "correlate", "context", "chain", "retrieval", "investigate", "portal",
-          "streams")
+          "streams", "rollups")
 
 
 def _modules():
