@@ -58,18 +58,18 @@ def evidence_lines(results: DataFrame, logs: DataFrame, *, hours: int = 1) -> Da
     return met.select("rca_id", "tenant_id", "service", "log_id", "line")
 
 
-def evidence_logs(results: DataFrame, logs: DataFrame, *, k: int, max_chars: int | None = None) -> DataFrame:
-    """Newest ``k`` error lines of the result's service as one text. Built once per (tenant, service), then
-    joined; ``evidence_lines`` gives all lines before each result as rows."""
-    top = newest(logs.where(F.col("level").isin("ERROR", "FATAL")), ["tenant_id", "service"],
-                 [F.desc("ts"), F.desc("log_id")], k)
-    line = F.concat(short_iso(F.col("ts")), F.lit("Z ["), "level", F.lit("]: "), "message")
-    parts = F.array_sort(F.collect_list(F.struct("_rank", line.alias("line"))))
+def evidence_logs(results: DataFrame, logs: DataFrame, *, k: int, hours: int = 1, max_chars: int | None = None) -> DataFrame:
+    """Newest ``k`` error lines of the result's service in the ``hours`` up to the result, as one text; nothing later than the
+    result is evidence for it. ``evidence_lines`` gives all of them as rows."""
+    at = logs.select("tenant_id", "service", "log_id", F.col("ts").alias("_ts"))
+    lines = evidence_lines(results, logs, hours=hours).join(at, ["tenant_id", "service", "log_id"])
+    top = newest(lines, ["tenant_id", "rca_id"], [F.desc("_ts"), F.desc("log_id")], k)
+    parts = F.array_sort(F.collect_list(F.struct("_rank", "line")))
     text = F.array_join(F.transform(parts, lambda p: p["line"]), "\n")
     if max_chars is not None:
         text = F.substring(text, 1, max_chars)
-    evidence = top.groupBy("tenant_id", "service").agg(text.alias("_e"))
-    return (results.join(evidence, ["tenant_id", "service"], "left")
+    evidence = top.groupBy("tenant_id", "rca_id").agg(text.alias("_e"))
+    return (results.join(evidence, ["tenant_id", "rca_id"], "left")
             .withColumn("evidence", F.coalesce("_e", F.lit(NO_LOGS))).drop("_e"))
 
 

@@ -64,6 +64,7 @@ QUERIES = {
     "context_logs": lambda t: ctx(t).select("set_id", "service", "log_id", "level"),
     "context_text": lambda t: context.context_lines(ctx(t)).select(
         "set_id", "tenant_id", "position", F.sha2("line", 256).alias("line_hash")),
+    "context_block": lambda t: context.context_text(ctx(t)).select("set_id", "tenant_id", "log_count", F.sha2("text", 256).alias("text_hash")),
     "context_compress": lambda t: reduced(t).select("set_id", "log_id"),
     "compression_stats": lambda t: stats(t).withColumn("compression_ratio", F.round("compression_ratio", 6)),
     "requests_by_flag": lambda t: context.requests_by_flag(stats(t)),
@@ -149,6 +150,8 @@ ORACLES = {
     "context_logs": f"WITH {_CTX} SELECT set_id, service, log_id, level FROM ctx",
     "context_text": f"""WITH {_CTX} SELECT set_id, tenant_id, sha256(line) AS line_hash,
         row_number() OVER (PARTITION BY set_id, tenant_id ORDER BY ts, log_id) AS position FROM ctx""",
+    "context_block": f"""WITH {_CTX} SELECT set_id, tenant_id, count(*) AS log_count,
+        sha256(string_agg(line, chr(10) ORDER BY ts, log_id)) AS text_hash FROM ctx GROUP BY ALL""",
     "context_compress": f"WITH {_RED} SELECT set_id, log_id FROM reduced",
     "compression_stats": f"WITH {_RED} SELECT * FROM stats",
     "requests_by_flag": f"WITH {_RED} SELECT tenant_id, was_compressed, count(*) AS requests FROM stats GROUP BY ALL",

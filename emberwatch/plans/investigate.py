@@ -67,6 +67,8 @@ QUERIES = {
         F.sha2(F.coalesce("observation", F.lit("")), 256).alias("observation_hash")),
     "tool_calls": lambda t: op.tool_calls(op.steps_explode(json_steps(t))),
     "observations_text": lambda t: op.observations(t.steps),
+    "observations_block": lambda t: op.observations_text(t.steps, max_chars=2000).select(
+        "rca_id", "tenant_id", F.sha2("observations", 256).alias("text_hash")),
     "result_validate": _validated,
     "step_stream_filter": lambda t: op.step_stream_filter(t.steps).select("rca_id", "step_number", "step_type"),
     "eval_input": lambda t: results(t).select("rca_id", "incident_id", "tenant_id", "service", "severity", "is_cascade"),
@@ -75,6 +77,8 @@ QUERIES = {
     "eval_mode": modes,
     "evidence_logs": lambda t: ev.evidence_lines(near_results(t), t.logs, hours=24).select(
         "rca_id", "log_id", F.sha2("line", 256).alias("line_hash")),
+    "evidence_block": lambda t: ev.evidence_logs(near_results(t), t.logs, k=20, hours=24, max_chars=3000).select(
+        "rca_id", F.sha2("evidence", 256).alias("text_hash")),
     "judge_parse": lambda t: ev.judge_parse(t.judged, "judged").select("rca_id", "score"),
     "cost": lambda t: ev.cost(t.rca).select("rca_id", F.round("cost_usd", 6).alias("cost_usd")),
     "passed": lambda t: ev.passed(t.evals).select("eval_id", F.coalesce(F.col("passed").cast("string"), F.lit("null")).alias("passed")),
@@ -132,6 +136,8 @@ ORACLES = {
         sha256(coalesce(observation, '')) AS observation_hash FROM steps_v""",
     "tool_calls": "SELECT tenant_id, action AS tool, count(*) AS calls FROM steps_v WHERE action IS NOT NULL GROUP BY ALL",
     "observations_text": "SELECT rca_id, tenant_id, step_number, coalesce(observation, '') AS observation FROM steps_v",
+    "observations_block": """SELECT rca_id, tenant_id, sha256(substr(string_agg(coalesce(observation, ''), ' ' ORDER BY step_number), 1, 2000)) AS text_hash
+      FROM steps_v GROUP BY ALL""",
     "result_validate": """WITH j AS (
         SELECT *, json_valid(output) AS good, CASE WHEN json_valid(output) THEN output END AS o FROM outputs_v)
       SELECT rca_id, CASE WHEN error = 'rate_limit' THEN 'api_error' WHEN error IS NOT NULL THEN 'unexpected_error'
@@ -164,6 +170,18 @@ ORACLES = {
       SELECT n.rca_id, l.log_id, sha256((PYISO(ts)) || 'Z [' || level || ']: ' || message) AS line_hash
       FROM near n JOIN logs_v l ON l.tenant_id = n.tenant_id AND l.service = n.service
        AND l.ts <= n.at AND l.ts > n.at - INTERVAL 24 HOUR WHERE level IN ('ERROR', 'FATAL')""",
+    "evidence_block": f"""WITH {_RESULTS}, near AS (
+        SELECT r.rca_id, r.tenant_id, r.service,
+               make_timestamp((SELECT min(epoch_us(ts)) FROM logs_v) + CAST(l.n AS BIGINT) * 1800000000) AS at
+        FROM results r JOIN (SELECT rca_id, input_tokens % 600 AS n FROM rca_v) l ON l.rca_id = r.rca_id),
+      lines AS (
+        SELECT n.rca_id, (PYISO(ts)) || 'Z [' || level || ']: ' || message AS line,
+               row_number() OVER (PARTITION BY n.rca_id ORDER BY ts DESC, log_id DESC) AS nth
+        FROM near n JOIN logs_v l ON l.tenant_id = n.tenant_id AND l.service = n.service
+         AND l.ts <= n.at AND l.ts > n.at - INTERVAL 24 HOUR WHERE level IN ('ERROR', 'FATAL'))
+      SELECT n.rca_id, sha256(coalesce(substr(e.text, 1, 3000), 'NO_LOGS_TEXT')) AS text_hash
+      FROM near n LEFT JOIN (SELECT rca_id, string_agg(line, chr(10) ORDER BY nth) AS text FROM lines WHERE nth <= 20 GROUP BY 1) e
+        ON e.rca_id = n.rca_id""".replace("NO_LOGS_TEXT", ev.NO_LOGS.replace("'", "''")),
     "judge_parse": f"SELECT rca_id, coalesce({_SCORE}, 0.75) AS score FROM judged_v",
     "cost": """SELECT rca_id, round((input_tokens * CASE WHEN model_used IN ('gpt-4', 'gpt-4-turbo') THEN 1e-2 ELSE 1e-3 END
         + output_tokens * CASE WHEN model_used IN ('gpt-4', 'gpt-4-turbo') THEN 3e-2 ELSE 2e-3 END) / 1e3, 6) AS cost_usd FROM rca_v""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from emberwatch.functions.text import iso
 from emberwatch.plans import anomaly, context, correlate, investigate
 from emberwatch.plans.fixtures import Tables, with_views
+from emberwatch.sources import topics
 from emberwatch.sources.tables import read_table
 from emberwatch.streaming import flows, settled, stateful
 
@@ -68,7 +69,21 @@ def _steps(t: Tables) -> DataFrame:
     return settled.step_stream(_ticking(t.steps.select("rca_id", "step_number", "step_type", at.alias("at")), "at"), first=0)
 
 
+def _topic(t: Tables) -> DataFrame:
+    """Logs through a topic (its file form): written as keyed messages by one stream, read and parsed by another."""
+    base = flows.scratch(t.spark, "topics")
+    logs = t.logs.select("tenant_id", "service", "log_id", "level", "message")
+    topics.write_topic(topics.to_messages(flows.as_stream(logs, "logs")), topic="logs.enriched", path=base,
+                       checkpoint=flows.scratch(t.spark, "topic-state"), available_now=True).awaitTermination()
+    read = topics.read_topic(t.spark, topic="logs.enriched", path=base)
+    parsed = read.select("key", F.from_json("value", logs.schema).alias("m")).select("key", "m.*")
+    return flows.run_to_table(parsed, name="from-topic")
+
+
 QUERIES = {
+    "topic_logs": lambda t: _topic(t).groupBy("key", "service", "level").agg(
+        F.count("*").alias("logs"), F.countDistinct("log_id").alias("ids"), F.count_if(F.col("key") == F.col("tenant_id")).alias("keyed"),
+        F.sum(F.length("message")).alias("chars")),
     "stream_cache_lookup": lambda t: flows.run_to_table(_cache(t)).select(
         "tenant_id", "query_id", F.coalesce("item_id", F.lit(-1)).alias("item_id"), F.coalesce("similarity", F.lit(-1.0)).alias("similarity"),
         "cache_hit"),
@@ -99,6 +114,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "topic_logs": with_views("""SELECT tenant_id AS key, service, level, count(*) AS logs, count(DISTINCT log_id) AS ids, count(*) AS keyed,
+        CAST(sum(length(message)) AS BIGINT) AS chars FROM logs_v GROUP BY ALL"""),
     "stream_cache_lookup": context.ORACLES["cache_lookup"],
     "stream_merge_detectors": anomaly.ORACLES["merge_detectors"],
     "stream_zscore_per_event": anomaly.ORACLES["zscore_per_event"],

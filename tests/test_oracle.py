@@ -8,7 +8,7 @@ from emberwatch.plans import registry
 
 SF_DIR = "/root/testdata/sf0.001"
 QUERIES, ORACLES = registry.queries(), registry.oracle_sql()
-EAGER = {"semantic_novelty", "log_sink", "pipeline_alerts", "pipeline_incidents", "weekly_layout", *[n for n in QUERIES if n.startswith(("stream_", "rollup_"))]}
+EAGER = {"semantic_novelty", "log_sink", "pipeline_alerts", "pipeline_incidents", "weekly_layout", "topic_logs", *[n for n in QUERIES if n.startswith(("stream_", "rollup_"))]}
 TOP_K = ("recent_errors", "query_logs", "service_dependencies", "recent_logs", "investigations", "bm25_topk", "vector_topk")
 
 
