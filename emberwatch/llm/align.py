@@ -126,10 +126,11 @@ def common_ends(a: Tokens, b: Tokens) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(met["at_a"].to_numpy()), np.sort(met["at_b"].to_numpy())
 
 
-def id_counts(tokens: Tokens, cuts: np.ndarray, name: str) -> pa.Table:
-    """(group, id, how often) of one side."""
+def id_counts(tokens: Tokens, cuts: np.ndarray, several: np.ndarray, name: str) -> pa.Table:
+    """(group, id, how often) of one side, for the groups of several tokens."""
     groups = np.repeat(np.arange(len(cuts)), np.diff(cuts, prepend=-1))
-    return pa.table({"group": pa.array(groups), name: tokens.ids}).group_by(["group", name], use_threads=False).aggregate(
+    mask = several[groups]
+    return pa.table({"group": pa.array(groups[mask]), name: tokens.ids.filter(pa.array(mask))}).group_by(["group", name], use_threads=False).aggregate(
         [([], "count_all")]).rename_columns(["group", name, f"n_{name}"]).sort_by([("group", "ascending"), (name, "ascending")])
 
 
@@ -139,15 +140,16 @@ def merged(tables: list[pa.Table]) -> pa.Table:
         ["document", "pair", "times"])
 
 
-def id_pairs(a: pa.Table, b: pa.Table, of: np.ndarray, width: int) -> Iterator[pa.Table]:
+def id_pairs(a: pa.Table, b: pa.Table, single: pa.Table, of: np.ndarray, width: int) -> Iterator[pa.Table]:
     """Tables of (document, pair = a * width + b, times); no pair of a document stands in two of them.
 
-    of has each group's document. A block of groups is joined at a time; documents with more than BLOCK combinations of
-    ids are taken alone, in passes over their A ids.
+    of has each group's document; ``single`` has the pairs of groups of one token on both sides. A block of groups is joined at
+    a time; documents with more than BLOCK combinations of ids are taken alone, in passes over their A ids.
     """
     groups = len(of)
     each = (np.bincount(a["group"].to_numpy(), minlength=groups) * np.bincount(b["group"].to_numpy(), minlength=groups))
-    by_document = np.bincount(of, weights=each, minlength=int(of.max()) + 1 if groups else 0)
+    documents = int(of.max()) + 1 if groups else 0
+    by_document = np.bincount(of, weights=each, minlength=documents) + np.bincount(single["document"].to_numpy(), minlength=documents)
 
     def joined(part: pa.Table, other: pa.Table) -> pa.Table:
         both = part.join(other, keys=["group"], join_type="inner", use_threads=False)
@@ -157,6 +159,8 @@ def id_pairs(a: pa.Table, b: pa.Table, of: np.ndarray, width: int) -> Iterator[p
 
     def blocks(part: pa.Table, other: pa.Table) -> Iterator[pa.Table]:
         """Joins of neighbouring A rows that meet about BLOCK rows together."""
+        if not len(part):
+            return
         met = np.bincount(other["group"].to_numpy(), minlength=groups)[part["group"].to_numpy()]
         block = np.cumsum(met) // BLOCK
         starts = np.flatnonzero(np.diff(block, prepend=-1))
@@ -169,15 +173,18 @@ def id_pairs(a: pa.Table, b: pa.Table, of: np.ndarray, width: int) -> Iterator[p
     large = np.flatnonzero(by_document > BLOCK)
     few = ~np.isin(of, large)
     small_a, small_b = (t.filter(pa.array(few[t["group"].to_numpy()])) for t in (a, b))
-    if len(small_a):
-        yield merged([merged([x]) for x in blocks(small_a, small_b)])
+    plain = single.filter(pa.array(~np.isin(single["document"].to_numpy(), large))) if len(large) else single
+    if len(small_a) or len(plain):
+        yield merged([plain, *(merged([x]) for x in blocks(small_a, small_b))])
     for document in large:
         own_a, own_b = (t.filter(pa.array(of[t["group"].to_numpy()] == document)) for t in (a, b))
+        plain = single.filter(pa.array(single["document"].to_numpy() == document))
         passes = int(by_document[document] // BLOCK) + 1
         for turn in range(passes):
             part = own_a.filter(pa.array(own_a["a"].to_numpy() % passes == turn))
-            if len(part):
-                yield merged([merged([x]) for x in blocks(part, own_b)])
+            alone = plain.filter(pa.array(plain["pair"].to_numpy() // width % passes == turn))
+            if len(part) or len(alone):
+                yield merged([alone, *(merged([x]) for x in blocks(part, own_b))])
 
 
 def group_texts(a: Tokens, b: Tokens, cuts: tuple[np.ndarray, np.ndarray], groups: np.ndarray, sides: tuple[Side, Side]) -> pa.Array:
@@ -212,7 +219,11 @@ def align_slice(texts: list[str | None], sides: tuple[Side, Side], with_groups:
     }
     if with_groups:
         columns["groups"] = listed
-    pairs = id_pairs(id_counts(a, cuts[0], "a"), id_counts(b, cuts[1], "b"), of, len(sides[1].pieces))
+    width = len(sides[1].pieces)
+    alone = (np.diff(cuts[0], prepend=-1) == 1) & (np.diff(cuts[1], prepend=-1) == 1)
+    left, right = (t.ids.to_numpy()[c[alone]].astype(np.int64) for t, c in zip((a, b), cuts))
+    single = pa.table({"document": pa.array(of[alone]), "pair": pa.array(left * width + right), "times": pa.array(np.ones(len(left), np.int64))})
+    pairs = id_pairs(id_counts(a, cuts[0], ~alone, "a"), id_counts(b, cuts[1], ~alone, "b"), single, of, width)
     return columns, list(pairs)
 
 
