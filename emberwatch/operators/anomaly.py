@@ -255,6 +255,7 @@ def anomaly_description(merged: DataFrame, *, threshold: float = 0.7, preview: i
     wire = F.coalesce(F.try_element_at(
         F.create_map(*[F.lit(x) for pair in WIRE_TYPES.items() for x in pair]), kind), F.lit("statistical"))
     near = F.coalesce(F.col("nearest_message"), F.lit(""))
+    # The words of the sentences that reviewers are given.
     described = (
         F.when(kind == "error_rate_spike", F.concat(
             F.lit("Error rate spike: Z-score="), text("z_score"), F.lit(", current="), text("current_value"),

@@ -19,6 +19,8 @@ from emberwatch.session import saved
 
 #: Documents of one length class differ in length by this factor at most.
 LENGTH_STEP = 1.2
+#: Postings of all queries together that are read without a look at their bounds.
+WHOLE = 2_000_000
 #: Rounding of scores, and more than all sums differ by.
 SLACK = 1e-6
 
@@ -46,10 +48,13 @@ class Bm25Index:
         return (parts.groupBy("tenant_id", "query_id", "incident_id", "at").agg(F.sum(F.col("weight") * F.col("part")).alias("_s"))
                 .withColumn("score", F.round("_s", self.decimals)).where("score > 0").drop("_s"))
 
-    def top(self, k: int) -> tuple[DataFrame, DataFrame]:
-        """The k best per query with their rank, and the blocks that were read for them."""
+    def top(self, k: int, whole: int = WHOLE) -> tuple[DataFrame, DataFrame]:
+        """The k best per query with their rank, and the blocks that were read for them. Up to ``whole`` postings are read in
+        one pass, as a second one costs more than it spares."""
         bounds = saved(self.bounds(), "bm25-bounds")
         query = ["tenant_id", "query_id"]
+        if (bounds.agg(F.sum("n")).first()[0] or 0) <= whole:
+            return newest(self.scored(bounds), query, best_first(), k, rank="rank"), bounds
         first = newest(bounds, query, [F.desc("bound"), "block"], k + 4).drop("_rank")
         found = saved(self.scored(first), "bm25-first")
         kth = newest(found, query, [F.desc("score")], k).where(F.col("_rank") == k).select(*query, F.col("score").alias("_kth"))
@@ -129,4 +134,4 @@ def bm25_index(queries: DataFrame, corpus: DataFrame, *, k1: float = 1.5, b: flo
     blocks = placed.groupBy("tenant_id", "term", "block").agg(
         F.max("part").alias("top"), F.count("*").alias("n"), F.collect_list(F.struct("incident_id", "at", "part")).alias("rows"))
     weights = wanted.join(terms, ["tenant_id", "term"]).select("tenant_id", "query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-    return Bm25Index(saved(weights, "bm25-weights"), saved(blocks, "bm25-blocks"), decimals)
+    return Bm25Index(weights, saved(blocks, "bm25-blocks"), decimals)

@@ -89,6 +89,7 @@ def manual_trigger_payload(incidents: DataFrame, alerts: DataFrame, *, model: st
     """Investigation requests for incidents chosen by hand; severity HIGH without alerts."""
     services = F.array_join("affected_services", ", ")
     cascade = F.initcap(F.col("is_cascade").cast("string"))
+    # The words of the two texts of a request.
     return (incident_severity(incidents, alerts).select(
         "incident_id", "tenant_id", "alert_ids", "affected_services", "is_cascade", "severity",
         F.lit(model).alias("model_id"), F.lit(variant).alias("prompt_variant"),

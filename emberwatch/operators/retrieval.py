@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import signed_cosine
-from emberwatch.operators.bm25 import bm25_index
+from emberwatch.operators.bm25 import WHOLE, bm25_index
 from emberwatch.operators.ordered import newest
 from emberwatch.operators.vectors import (
     blocked_scores, byte_codes, cell_centres, code_shortlist, in_cells, nearest_exact, probes_for, sampled, vector_ranks,
@@ -24,7 +24,7 @@ def corpus_recent(past: DataFrame, *, k: int | None = None) -> DataFrame:
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, *, k: int | None = 10, k1: float = 1.5, b: float = 0.75,
-              idf: str = "raw", decimals: int = 6, block_docs: int = 64) -> DataFrame:
+              idf: str = "raw", decimals: int = 6, block_docs: int = 64, whole: int = WHOLE) -> DataFrame:
     """Top ``k`` documents per query by Okapi BM25, each tenant's corpus on its own; all of positive score without ``k``.
 
     Queries: query_id, tenant_id, query. Corpus: incident_id, tenant_id, created_at, text. Tokens are
@@ -35,7 +35,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, *, k: int | None = 10, k1:
     positive one). Ties: newer document first. Posting blocks that cannot reach the k-th score are not read (``bm25.py``).
     """
     index = bm25_index(queries, corpus, k1=k1, b=b, idf=idf, decimals=decimals, block_docs=block_docs)
-    return (index.every() if k is None else index.top(k)[0]).drop("at")
+    return (index.every() if k is None else index.top(k, whole)[0]).drop("at")
 
 
 def vector_topk(queries: DataFrame, vectors: DataFrame, *, k: int | None = 10, block_rows: int = 4096, cell_rows: int = 2048) -> DataFrame:

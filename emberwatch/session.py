@@ -47,8 +47,19 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def run_dir(spark: SparkSession) -> str:
+    """Folder of this application below the shared one: all that its queries write on the way."""
+    return f"{shared_dir(spark)}/run-{spark.sparkContext.applicationId}"
+
+
+def clear_run(spark: SparkSession) -> bool:
+    """Remove what this application's queries have written on the way, once their results are stored elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again, for a result that several branches of a plan use."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write to the run's folder and read again, for a result that several branches of a plan use."""
+    path = f"{run_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from emberwatch.operators.evaluate import is_passed
 from emberwatch.operators.ingest import bad_tenants, batch_dedup_trace, dead_letter, sink_rows, upsert_latest
-from emberwatch.session import shared_dir
+from emberwatch.session import run_dir
 from emberwatch.sources.tables import week_start, write_weekly
 
 
@@ -86,8 +86,8 @@ def compact_changes(spark: SparkSession, path: str, out: str, keys: list[str], *
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder name under the run's folder."""
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def as_stream(df: DataFrame, name: str = "source") -> DataFrame:

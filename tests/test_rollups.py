@@ -120,3 +120,12 @@ def test_quantiles_of_any_period(spark):
                 assert abs(place - rank) <= 0.005 + 1 / len(own)
     merged = rollups.merge_quantiles(rollups.read_partials(spark, path).withColumn("hour", F.lit(T0)))
     assert merged.agg(F.max(F.length("sketch"))).first()[0] < 40_000
+
+
+def test_run_folder_can_be_dropped(spark):
+    from emberwatch.session import clear_run, run_dir, saved
+
+    kept = saved(spark.range(5), "five")
+    assert kept.count() == 5 and os.path.isdir(run_dir(spark).removeprefix("file:"))
+    assert clear_run(spark) and not os.path.isdir(run_dir(spark).removeprefix("file:"))
+    assert saved(spark.range(3), "three").count() == 3

@@ -41,8 +41,8 @@ def slow_bm25(queries, texts, k1=1.5, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("block_docs", [1, 7, 64])
-def test_bm25_blocks_lose_nothing(spark, block_docs):
+@pytest.mark.parametrize(("block_docs", "whole"), [(1, 0), (7, 0), (64, 0), (64, 10**6)])
+def test_bm25_blocks_lose_nothing(spark, block_docs, whole):
     rng = random.Random(block_docs)
     words = [f"w{i}" for i in range(40)]
     texts = [" ".join(rng.choices(words, weights=[1 / (i + 1) for i in range(40)], k=rng.randint(1, 60))) for _ in range(400)]
@@ -50,7 +50,7 @@ def test_bm25_blocks_lose_nothing(spark, block_docs):
     want = slow_bm25(asked, texts)
     corpus, queries = corpus_of(spark, texts), queries_of(spark, asked)
     got = defaultdict(list)
-    for r in retrieval.bm25_topk(queries, corpus, k=12, block_docs=block_docs).orderBy("query_id", "rank").collect():
+    for r in retrieval.bm25_topk(queries, corpus, k=12, block_docs=block_docs, whole=whole).orderBy("query_id", "rank").collect():
         got[int(r.query_id[1:])].append((int(r.incident_id[1:]), r.score))
     for n, full in want.items():
         assert [i for i, _ in got[n]] == [i for i, _ in full[:12]]
@@ -72,7 +72,7 @@ def test_bm25_reads_a_tenth_of_a_common_word(spark):
         texts[i] += " rare"
     corpus, queries = corpus_of(spark, texts), queries_of(spark, ["common rare"])
     index = bm25.bm25_index(queries, corpus, block_docs=8)
-    top, read = index.top(5)
+    top, read = index.top(5, whole=0)
     assert [int(r.incident_id[1:]) for r in top.orderBy("rank").collect()] == [i for i, _ in slow_bm25(["common rare"], texts)[0][:5]]
     postings = index.blocks.agg(F.sum("n")).first()[0]
     assert postings > 2900 and read.agg(F.sum("n")).first()[0] <= postings / 10
