@@ -61,7 +61,7 @@ QUERIES = {
     "query_logs": lambda t: op.query_logs(t.logs, level="error", minutes=WEEK, limit=50).select("tenant_id", "service", "position", "log_id"),
     "service_dependencies": lambda t: op.service_dependencies(t.logs, minutes=WEEK, k=10),
     "error_timeline": lambda t: timeline(t).select("incident_id", "tenant_id", "position", "service", "log_id"),
-    "first_failing_service": lambda t: op.first_failing_service(timeline(t)),
+    "first_failing_service": lambda t: op.first_failing_before(log_incidents(t), t.logs, minutes=24 * 60),
     "steps_explode": lambda t: op.steps_explode(json_steps(t)).select(
         "rca_id", F.col("step_number").cast("long").alias("step_number"), F.coalesce("action", F.lit("-")).alias("action"),
         F.sha2(F.coalesce("observation", F.lit("")), 256).alias("observation_hash")),
