@@ -118,3 +118,13 @@ def test_every_error_log_of_the_chain_has_a_vector(spark):
     logs = spark.range(3000).selectExpr("id AS log_id", "'t' AS tenant_id", "'s' AS service", "'ERROR' AS level", "timestamp_seconds(id) AS ts")
     got = {r.id: r.embedding[0] for r in log_vectors(SimpleNamespace(spark=spark, embeddings=embeddings), logs).collect()}
     assert got == {i: float(i % 1200) for i in range(3000)}
+
+
+def test_description_has_plain_numbers(spark):
+    """Numbers as in the rule's own text: no exponent below 0.001 or from 1e7 on."""
+    df = spark.createDataFrame([("new_error_pattern", None, None, None, 0.0004, "m"), ("error_rate_spike", 3.5, 12345678.0, 0.0123, None, None)],
+                               "anomaly_type string, z_score double, current_value double, baseline_mean double, similarity double, nearest_message string"
+                               ).withColumns({"severity": F.lit("LOW"), "confidence": F.lit(0.5)})
+    got = {r.anomaly_type: r.description for r in anomaly.anomaly_description(df).collect()}
+    assert "similarity=0.0004 below" in got["new_error_pattern"]
+    assert "Z-score=3.5, current=12345678.0 errors/bucket vs baseline mean=0.0123" in got["error_rate_spike"]
