@@ -94,3 +94,12 @@ def test_weekly_layout_prunes(spark, tmp_path):
     assert sorted(r.log_id for r in got.collect()) == [3, 4]
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(week" in plan and "GreaterThanOrEqual(ts" in plan
+
+
+def test_tasks_are_kept_small_unless_set(spark):
+    from emberwatch.session import ADVISORY, prepare
+
+    other = spark.newSession()
+    assert prepare(other).conf.get(ADVISORY) == "16MB"
+    other.conf.set(ADVISORY, "8MB")
+    assert prepare(other).conf.get(ADVISORY) == "8MB"
