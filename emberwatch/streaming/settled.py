@@ -257,13 +257,14 @@ def spend_events(incidents: DataFrame, evals: DataFrame) -> DataFrame:
 def route_stream(events: DataFrame, tenants: DataFrame, *, lateness: str = "10 minutes", **options) -> DataFrame:
     """``route`` over a stream of ``spend_events``: an incident is routed once the watermark has passed it, by all costs of its
     tenant's day up to then. A cost that is later than that counts for no incident; one that is late, but within the
-    lateness, counts at its own time."""
+    lateness, counts at its own time. The table of tenants is broadcast: the micro-batch that only runs timers has no input, so
+    Spark takes its results for empty and would send all of them through the driver instead."""
     use_rocksdb(events.sparkSession)
     day = F.floor(F.unix_micros("at") / 86_400_000_000).cast("long")
     spent = (timed(events, "at", lateness, F.col("id").isNotNull()).withColumn("day", day).groupBy("tenant_id", "day").transformWithStateInPandas(
         statefulProcessor=Spend(), outputMode="Append", timeMode="EventTime",
         outputStructType="incident_id string, tenant_id string, severity string, spend double"))
-    return routed_columns(spent, tenants, **options)
+    return routed_columns(spent, F.broadcast(tenants), **options)
 
 
 class Steps(StatefulProcessor):

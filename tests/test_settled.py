@@ -158,3 +158,18 @@ def test_merged_detectors(spark):
     assert sorted(map(str, rows(got.select(want.columns)))) == sorted(map(str, rows(want)))
     assert 0 < seen[1] < seen[-1]  # single results come out as the watermark passes, not at the end only
     assert {"combined", "error_rate_spike", "new_error_pattern"} == {r.anomaly_type for r in got.collect()}
+
+
+def test_results_of_timers_do_not_pass_through_the_driver(spark):
+    tenants = spark.createDataFrame([("a", "standard", 1.0), ("b", "premium", 1.0)], "tenant_id string, model_tier string, token_budget_usd_daily double").coalesce(1)
+    events = spark.range(400).select(
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("tenant_id"), F.timestamp_seconds(1704067200 + F.col("id") * 997).alias("at"),
+        F.lit(1).alias("kind"), F.concat(F.lit("i"), "id").alias("id"), F.lit("LOW").alias("severity"), F.lit(0).cast("long").alias("nano"))
+    routed = settled.route_stream(flows.as_stream(settled.with_tick(events, "at")), tenants)
+    out = flows.scratch(spark, "routed")
+    query = (routed.writeStream.format("parquet").option("path", out).option("checkpointLocation", flows.scratch(spark, "routed-state"))
+             .trigger(availableNow=True).start())
+    query.awaitTermination()
+    # The last micro-batch has no input, only timers: its results are written by the tasks that made them.
+    files = spark.read.parquet(out).groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) == 400 and len(files) > 1
