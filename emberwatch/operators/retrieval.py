@@ -12,7 +12,7 @@ from emberwatch.functions.scoring import signed_cosine
 from emberwatch.operators.bm25 import WHOLE, bm25_index
 from emberwatch.operators.ordered import newest
 from emberwatch.operators.vectors import (
-    blocked_scores, byte_codes, cell_centres, code_shortlist, in_cells, nearest_exact, probes_for, sampled, vector_ranks,
+    blocked_scores, byte_codes, cell_centres, cells_of, code_shortlist, in_cells, nearest_exact, probes_for, sampled, shelves, vector_ranks,
 )
 from emberwatch.session import saved
 
@@ -46,14 +46,16 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, *, k: int | None = 10, b
 
 
 def vector_topk_ann(queries: DataFrame, vectors: DataFrame, *, k: int = 10, cells: int | None = None, probes: int | None = None,
-                    sample: int = 20_000, refine: int = 4, recall: float = 0.95, block_rows: int = 4096) -> DataFrame:
-    """Approximate top ``k``: codes of one byte per dimension are scanned in the nearest cells, and the ``refine * k``
+                    sample: int = 20_000, refine: int = 4, recall: float = 0.95, block_rows: int = 4096, shelf_rows: int = 16_384) -> DataFrame:
+    """Approximate top ``k``: codes of one byte per dimension are scanned around the nearest cells, and the ``refine * k``
     nearest codes of a query are scored again with the whole vectors.
 
     There are about as many cells as the square root of all vectors (4,096 at most); every vector lies in one. Centres come
     from a sample of at most ``sample`` vectors. How many cells a query probes is measured on that sample: as many as hold
     the share ``recall`` of true neighbours. Clustered vectors need a few, vectors without structure most of them; whole
-    vectors are compared for ``refine * k`` pairs per query in both cases.
+    vectors are compared for ``refine * k`` pairs per query in both cases. Near cells share a shelf of about ``shelf_rows``
+    vectors of a tenant. A query is sent to the shelves of its cells and scans them whole, so it costs a row per shelf and not
+    one per cell.
     """
     n = vectors.count()
     if not n:
@@ -61,12 +63,14 @@ def vector_topk_ann(queries: DataFrame, vectors: DataFrame, *, k: int = 10, cell
     m = sampled(vectors, sample)
     centres = cell_centres(m, cells or min(4096, max(1, round(n ** 0.5))))
     probes = probes or probes_for(m, centres, k, recall)
-    q = saved(in_cells(queries.select("tenant_id", "query_id", "embedding", byte_codes("embedding").alias("code")), centres, probes)
+    shelf = shelves(centres, cells_of(vectors, ["tenant_id"], shelf_rows))
+    q = saved(in_cells(queries.select("tenant_id", "query_id", "embedding", byte_codes("embedding").alias("code")), centres, probes, shelf)
               .drop("embedding"), "query-codes")
-    v = saved(in_cells(vectors.select("tenant_id", "item_id", "embedding", byte_codes("embedding").alias("code")), centres, 1)
+    v = saved(in_cells(vectors.select("tenant_id", "item_id", "embedding", byte_codes("embedding").alias("code")), centres, 1, shelf)
               .drop("embedding"), "vector-codes")
-    short = code_shortlist(q, v, ["tenant_id", "_cell"], short=refine * k, block_rows=block_rows)
+    short = code_shortlist(q, v, ["tenant_id", "_shelf"], short=refine * k, block_rows=block_rows, shelf_rows=shelf_rows)
     pairs = (short.join(queries.select("tenant_id", "query_id", F.col("embedding").alias("_q")), ["tenant_id", "query_id"])
+             .select("tenant_id", "query_id", "_q", F.explode("items.item_id").alias("item_id"))
              .join(vectors.select("tenant_id", "item_id", F.col("embedding").alias("_v")), ["tenant_id", "item_id"]))
     scored = pairs.select("tenant_id", "query_id", "item_id", F.round(signed_cosine(F.col("_q"), F.col("_v")), 6).alias("similarity"))
     return newest(scored, ["tenant_id", "query_id"], [F.desc("similarity"), "item_id"], k, rank="rank")

@@ -146,6 +146,31 @@ def test_byte_codes_find_neighbours(spark, n):
     assert vectors.probes_for(sample, centres, 10, 0.95) <= len(centres) / 3
 
 
+def test_queries_meet_few_shelves_of_codes(spark, monkeypatch):
+    """Vectors without structure: a query is sent to few shelves, not to most of as many cells as the square root."""
+    n = 1500
+    m = np.random.default_rng(11).standard_normal((n, 16))
+    c, met = frame_of(spark, m, "item_id"), []
+    plain = retrieval.code_shortlist
+
+    def seen(q, v, *keys, **how):
+        met.append((q.count(), v.count()))
+        return plain(q, v, *keys, **how)
+
+    monkeypatch.setattr(retrieval, "code_shortlist", seen)
+    got = defaultdict(set)
+    for r in retrieval.vector_topk_ann(c.withColumnRenamed("item_id", "query_id"), c, k=10).collect():
+        got[r.query_id].add(r.item_id)
+    assert met == [(n, n)]
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    hits = sum(len(got[i] & set(np.argsort(-np.round(unit @ unit[i], 6), kind="stable")[:10].tolist())) for i in range(0, n, 30))
+    assert hits / (10 * len(range(0, n, 30))) >= 0.9
+    # Several shelves and several blocks of items in each.
+    few = retrieval.vector_topk_ann(c.withColumnRenamed("item_id", "query_id").where("query_id % 30 = 0"), c, k=10, shelf_rows=100, block_rows=64)
+    hits = sum(r.item_id in got[r.query_id] for r in few.collect())
+    assert met[1][0] <= 50 * 15 and hits / 500 >= 0.9
+
+
 def slow_fused(texts, asked, doc_vectors, query_vectors, k):
     """Whole lists, fused; documents and vectors share their number."""
     words, out = slow_bm25(asked, texts), []
