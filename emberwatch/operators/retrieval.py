@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberwatch.functions.scoring import signed_cosine
-from emberwatch.operators.bm25 import WHOLE, bm25_index
+from emberwatch.operators.bm25 import WHOLE, best_first, bm25_index
 from emberwatch.operators.ordered import newest
 from emberwatch.operators.vectors import (
     blocked_scores, byte_codes, cell_centres, cells_of, code_shortlist, in_cells, nearest_exact, probes_for, sampled, shelves, vector_ranks,
@@ -120,8 +120,9 @@ def fused_topk(queries: DataFrame, corpus: DataFrame, query_vectors: DataFrame,
     """
     depth, query = proven_depth(k, rrf_k), ["tenant_id", "query_id"]
     index = bm25_index(queries, corpus)
-    words = index.top(depth)[0].withColumnRenamed("incident_id", "item_id")
-    near = vector_topk(query_vectors, vectors, k=depth)
+    near = saved(vector_topk(query_vectors, vectors, k=depth), "fused-near")
+    scanned = saved(index.scan(depth, near.withColumnRenamed("item_id", "incident_id")), "fused-words")
+    words = newest(scanned, query, best_first(), depth, rank="rank").withColumnRenamed("incident_id", "item_id")
     fused = saved(rrf(words, near, k=rrf_k), "fused")
     # A list that ends before the depth has no further ranks.
     names = ("bm25_rank", "vector_rank")
@@ -132,7 +133,8 @@ def fused_topk(queries: DataFrame, corpus: DataFrame, query_vectors: DataFrame,
     left = saved(fused.join(ends, query).withColumns({"_upper": F.col("rrf_score") + gain, **{f"_open_{n}": c for n, c in maybe.items()}})
                  .join(kth, query, "left").where(F.col("_upper") + slack >= F.coalesce("_kth", F.lit(0.0))), "fused-open")
     asked = left.select(*query, "item_id", *(f"_open_{n}" for n in names))
-    word_ranks = index.ranks(asked.where(F.col("_open_bm25_rank")).withColumnRenamed("item_id", "incident_id")).select(
+    own = scanned.join(asked.where(F.col("_open_bm25_rank")).select(*query, F.col("item_id").alias("incident_id")), [*query, "incident_id"], "left_semi")
+    word_ranks = index.places(own).select(
         *query, F.col("incident_id").alias("item_id"), F.col("rank").alias("_bm25"))
     near_ranks = vector_ranks(query_vectors, vectors, asked.where(F.col("_open_vector_rank")), ["tenant_id"]).select(
         *query, "item_id", F.col("rank").alias("_vector"))

@@ -64,6 +64,33 @@ def test_bm25_blocks_lose_nothing(spark, block_docs, whole):
     assert ranks == {p: full[p] for p in pairs if p in full}
 
 
+def test_bm25_chunks_are_scored_where_they_lie(spark):
+    """Chunks of few documents and queries give the whole list; rows leave a task per query and document, not per posting."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(12)], k=rng.randint(1, 40))) for _ in range(150)]
+    asked = [" ".join(f"w{i}" for i in rng.sample(range(12), 6)) for _ in range(5)] + ["none"]
+    want = slow_bm25(asked, texts)
+    index = bm25.bm25_index(queries_of(spark, asked), corpus_of(spark, texts))
+    small = {"chunk_docs": 16, "chunk_queries": 2}
+    pairs = spark.createDataFrame([("t", f"q{n}", f"d{i:05d}") for n in want for i in (3, 77, 149)], "tenant_id string, query_id string, incident_id string")
+    found = index.scan(4, pairs, **small).cache()
+    got = {(r.query_id, r.incident_id): r.score for r in found.collect()}
+    full = {(f"q{n}", f"d{i:05d}"): s for n, own in want.items() for i, s in own}
+    assert all(full[p] == pytest.approx(s, abs=2e-6) for p, s in got.items())
+    best = {(f"q{n}", f"d{i:05d}") for n, own in want.items() for i, _ in own[:4]}
+    assert best | {(r.query_id, r.incident_id) for r in pairs.collect() if (r.query_id, r.incident_id) in full} <= set(got)
+    places = {(r.query_id, r.incident_id): r["rank"] for r in index.places(found, **small).collect()}
+    assert places == {p: at for n, own in want.items() for at, (i, _) in enumerate(own, 1) if (p := (f"q{n}", f"d{i:05d}")) in got}
+    plan = index.scan(None)._jdf.queryExecution().executedPlan().toString()
+    assert "weight" not in plan.split("FlatMapCoGroupsInPandas")[0]  # no pair is joined or aggregated behind the tasks
+
+
+def test_scores_are_rounded_as_in_sql(spark):
+    x = [0.0000005, 1.0000005, 2.5, 0.1234565, 1.2345675, 7.9999995, -0.0000005, 3.1415926535, 123.4567895]
+    want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
+    assert bm25.half_up(np.array(x), 6).tolist() == want
+
+
 def test_bm25_reads_a_tenth_of_a_common_word(spark):
     """'common' is in a third of the documents, 'rare' in twenty; a tenth of the postings decides."""
     rng = random.Random(9)
