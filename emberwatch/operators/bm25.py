@@ -157,7 +157,7 @@ class Bm25Index:
 
     def every(self) -> DataFrame:
         """All positive scores with their rank."""
-        return full_ranks(self.scan(None), ["tenant_id", "query_id"], best_first(), F.floor(F.col("score") * -64))
+        return full_ranks(saved(self.scan(None), "bm25-every"), ["tenant_id", "query_id"], best_first(), F.floor(F.col("score") * -64))
 
     def ranks(self, pairs: DataFrame) -> DataFrame:
         """(tenant_id, query_id, incident_id, rank) of given pairs, those without a positive score left out."""
