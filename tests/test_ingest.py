@@ -103,3 +103,19 @@ def test_tasks_are_kept_small_unless_set(spark):
     assert prepare(other).conf.get(ADVISORY) == "16MB"
     other.conf.set(ADVISORY, "8MB")
     assert prepare(other).conf.get(ADVISORY) == "8MB"
+
+
+def test_lines_of_orders_are_dealt_by_their_number(spark, monkeypatch):
+    from emberwatch.plans import fixtures, registry
+
+    folder = "/root/testdata/sf0.001"
+    names = ["eval_summary", "investigations", "rca_insert_once", "rca_upsert"]
+    want = {n: sorted(rows(registry.queries()[n](spark, folder))) for n in names}
+    monkeypatch.setattr(fixtures, "LINES_PER_TASK", 500)
+    other = spark.newSession()
+    for broadcast in ("-1", "10MB"):
+        other.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        tasks = rows(fixtures.Tables(other, folder).lines.groupBy(F.spark_partition_id()).count())
+        assert len(tasks) >= 12 and max(n for _, n in tasks) < 1000
+        for n in names:
+            assert sorted(rows(registry.queries()[n](other, folder))) == want[n]
